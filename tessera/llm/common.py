@@ -59,3 +59,54 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     # at most 2 * per_class rows of two numbers, which is the bound of this broadcast
     rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_y", "_t")
     return sorted((r["_id"], r["_y"], r["_t"]) for r in rows.toLocalIterator())
+
+
+def portions(batch, column: int, max_bytes: int):
+    """Slices of an Arrow batch with about ``max_bytes`` of text each, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum([n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()])
+    first = 0
+    while first < len(ends):
+        upto = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + max_bytes, "right"))
+        upto = max(first + 1, upto)
+        yield batch.slice(first, upto - first)
+        first = upto
+
+
+def map_texts(docs: DataFrame, id_col: str, text_col: str, score, schema: str, max_bytes: int = 2_000_000) -> DataFrame:
+    """Apply ``score(texts) -> list of Arrow arrays`` to all rows, a few MB of text at a time.
+
+    The result has the id column as ``doc_id`` and the columns of ``schema``. Null
+    texts are passed as empty strings; other columns are ignored.
+    """
+    import pyarrow as pa
+
+    names = ["doc_id", *(c.split()[0] for c in schema.split(","))]
+
+    def run(batches):
+        for batch in batches:
+            for part in portions(batch, 1, max_bytes):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), *score(texts)], names=names)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, {schema}")
+
+
+def fit_logistic(x, y, l2: float = 1e-2, rounds: int = 40):
+    """Weights (bias last) of a logistic regression, by Newton's method."""
+    import numpy as np
+
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + l2 * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w)), grad)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
