@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,3 +111,20 @@ def fit_logistic(x, y, l2: float = 1e-2, rounds: int = 40):
         if np.abs(step).max() < 1e-9:
             break
     return w
+
+
+def text_column(score, kind: str, max_bytes: int = 300_000):
+    """A column function of a text column; ``score(texts)`` gives one value for each of a list of texts."""
+    def run(texts: pd.Series) -> pd.Series:
+        values = [t or "" for t in texts.tolist()]
+        out, first, held = [], 0, 0
+        for k, t in enumerate(values):
+            held += len(t)
+            if held >= max_bytes:
+                out += list(score(values[first : k + 1]))
+                first, held = k + 1, 0
+        if first < len(values):
+            out += list(score(values[first:]))
+        return pd.Series(out, dtype="int32" if kind == "int" else None)
+
+    return F.pandas_udf(run, kind)

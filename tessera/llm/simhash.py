@@ -225,8 +225,13 @@ def hex64(col) -> "F.Column":
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``docs`` that lead their component: one row each, all columns kept."""
-    lead = near_duplicates(docs, id_col, text_col, width).groupBy("component_id").agg(F.count("doc_id").alias("_copies"))
-    kept = docs.join(lead.select(F.col("component_id").alias("_lead")), F.col(id_col) == F.col("_lead"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    return kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    """The rows of ``docs`` with the smallest id of their component, all columns kept.
+
+    Repeated rows of one id stay once, the one with the smallest hash of its text.
+    Rows with a null id can't be told apart from one another and all stay.
+    """
+    lead = near_duplicates(docs, id_col, text_col, width).select(F.col("component_id").alias("_lead")).distinct()
+    kept = docs.join(lead, F.col(id_col) == F.col("_lead"), "left_semi")
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
+    first = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return first.unionByName(docs.where(F.col(id_col).isNull()))

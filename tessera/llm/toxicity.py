@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fit_logistic, held_out, labelled_sample, map_texts
+from tessera.llm.common import fit_logistic, held_out, labelled_sample, map_texts, text_column
 
 WINDOW, STRIDE = 72, 56  # bytes of normalised text
 SEGMENT, SHINGLE = 6, 5
@@ -182,6 +182,18 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     return map_texts(docs, id_col, text_col, score, "score double, predicted int", 300_000)
 
 
+def predicted(model: ToxicityModel):
+    """A column function: 1 for texts whose score reaches the threshold, else 0; null texts count as empty."""
+    state: list = []
+
+    def score(texts):
+        if not state:
+            state.append(model.compressors())
+        return (model.scores(model.features([normalise(t) for t in texts], state[0])) >= THRESHOLD).astype(np.int32)
+
+    return text_column(score, "int")
+
+
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score_documents(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
