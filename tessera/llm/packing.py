@@ -32,7 +32,7 @@ END_ID = 1
 SHARD_TOKENS = 500_000
 TASK_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
-CACHE = 300_000
+CACHE = 200_000
 _TAIL = ".,;:!?"
 _ODD = re.compile("[\x1c-\x1f]")  # white space for str.split, but not for the tokenizer
 

@@ -64,9 +64,19 @@ def _segments(text: bytes) -> np.ndarray:
 
 
 def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct segments and the number of different texts that have each."""
-    found = [_segments(t) for t in dict.fromkeys(texts)]
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+    """Distinct segments and the number of different texts that have each; summed up
+    a few million at a time, which bounds the memory that training takes."""
+    total, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found, held = [], 0
+    for k, text in enumerate(texts := list(dict.fromkeys(texts))):
+        found.append(_segments(text))
+        held += len(found[-1])
+        if held > 2_000_000 or k == len(texts) - 1:
+            some, n = np.unique(np.concatenate(found), return_counts=True)
+            total, back = np.unique(np.concatenate([total, some]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n]), minlength=len(total)).astype(np.int64)
+            found, held = [], 0
+    return total, counts
 
 
 def _dictionary(own, n_own: int, other, n_other: int) -> bytes:
