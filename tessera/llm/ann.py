@@ -39,7 +39,7 @@ class AnisotropicQuantiser:
         self.weight = weight  # of the parallel residual, against 1 across
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rounds: int = 6) -> "AnisotropicQuantiser":
+    def fit(cls, sample: np.ndarray, rounds: int = 6, weight: float | None = None) -> "AnisotropicQuantiser":
         d = sample.shape[1]
         x = _padded(sample)
         m = x.shape[1] // WIDTH
@@ -47,7 +47,7 @@ class AnisotropicQuantiser:
         draw = np.random.default_rng(11)
         parts = x.reshape(len(x), m, WIDTH)
         books = np.stack([parts[draw.integers(0, len(x), CENTROIDS), j] for j in range(m)]) + 1e-6 * draw.standard_normal((m, CENTROIDS, WIDTH))
-        made = cls(books, max(1.0, (d - 1) * share))
+        made = cls(books, max(1.0, (d - 1) * share) if weight is None else weight)
         u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         at = np.arange(m)[:, None] * CENTROIDS * WIDTH + np.arange(WIDTH)
         for _ in range(rounds):

@@ -90,9 +90,9 @@ SELECT conv_id, count(*) AS n_turns,
 FROM o GROUP BY conv_id""",
     "op4_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND NOT list_bool_or(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)))
+    AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
 ), c AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM v),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
