@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CACHE = 400_000
+CACHE = 600_000
 SLICE = 200_000
+SHORT = 40  # bytes of a word that is merged without a heap
 BATCH_CHARS = 4_000_000
+_ID = (1 << 24) - 1
+_TAIL = ".,;:!?"
+_LATIN_END = "\u02b0"  # all letters below are letters in every version of Unicode
 _DOUBLE_SPACE = re.compile(r"\s\s")
 
 
@@ -60,21 +65,27 @@ class SpeculativeBpe:
         self.ranks = {}
         for rank, (a, b) in enumerate(pairs):
             self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.longest = max(map(len, self.ids))
         self.size = len(self.bytes_of)
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
+        self.orders = {pair: rank << 24 | new for pair, (rank, new) in self.ranks.items()}
         self.cut = Tokenizer.from_str(content).pre_tokenizer.pre_tokenize_str
         self.letters = letters
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.words: dict[bytes, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of words, and of chunks of several words
+        self.reach: dict[bytes, int] = {}  # by its first two bytes, the length of the longest token
+        for token in self.ids:
+            if len(token) > 1:
+                self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 0))
         self.judged, self.fits = np.array([-1]), np.array([False])  # sorted pair codes, and the verdicts
         self.selfless = {n for token, n in self.ids.items() if self.merge(token) != [n]}
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the pair of lowest rank, leftmost first."""
-        ids = [self.ids[word[k : k + 1]] for k in range(len(word))]
+        ids = list(map(self.byte_ids.__getitem__, word))
         if len(ids) < 2:
             return ids
+        if len(ids) <= SHORT:
+            return self._merge_short(ids)
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         ranks = self.ranks
         heap = [(ranks[pair][0], k, ranks[pair][1], *pair) for k, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
@@ -94,11 +105,26 @@ class SpeculativeBpe:
                 heapq.heappush(heap, (found[0], left, found[1], ids[left], new))
         return [n for n in ids if n >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same without a heap: the least of a short list is found faster than kept."""
+        get, never = self.orders.get, 1 << 60
+        orders = [get(pair, never) for pair in zip(ids, ids[1:])]
+        while orders and (least := min(orders)) != never:
+            k = orders.index(least)
+            new = least & _ID
+            ids[k : k + 2] = (new,)
+            del orders[k]
+            if k < len(orders):
+                orders[k] = get((new, ids[k + 1]), never)
+            if k:
+                orders[k - 1] = get((ids[k - 1], new), never)
+        return ids
+
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        out, at, ids, longest, end = [], 0, self.ids, self.longest, len(word)
+        out, at, ids, reach, end = [], 0, self.ids, self.reach, len(word)
         while at < end:
-            for upto in range(min(end, at + longest), at, -1):
+            for upto in range(min(end, at + reach.get(word[at : at + 2], 1)), at, -1):
                 if (found := ids.get(word[at:upto])) is not None:
                     out.append(found)
                     at = upto
@@ -117,8 +143,9 @@ class SpeculativeBpe:
             at = np.searchsorted(self.judged, unique)
         return self.fits[at][back]
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Encode words not seen before."""
+        words = [w.encode() for w in new]
         proposed = [self.propose(w) for w in words]
         flat = np.fromiter((n for p in proposed for n in p), np.int64)
         sizes = np.array([len(p) for p in proposed])
@@ -132,16 +159,36 @@ class SpeculativeBpe:
         if self.selfless:
             wrong |= np.isin(flat, list(self.selfless))
         failing = np.logical_or.reduceat(wrong, ends - sizes)
-        for word, ids, fails in zip(words, proposed, failing):
-            self.words[word] = np.array(self.merge(word) if fails else ids, "<u4").tobytes()
+        for name, word, ids, fails in zip(new, words, proposed, failing):
+            ids = self.merge(word) if fails else ids
+            self.known[name] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _words(self, chunk: str) -> list[str]:
+        """A chunk's words. Plain letters, with marks after them or between lines, are cut here as
+        the pre-tokenizer would; it gets the rest."""
+        out = []
+        for k, line in enumerate(chunk.split("\n")):
+            if k:
+                out.append("\n")
+            body = line[1:] if line[:1] == " " and not k else line
+            core = body.rstrip(_TAIL)
+            if not core.isalpha() or not (core.isascii() or max(core) < _LATIN_END):
+                letters = self.letters
+                return [bytes(map(letters.__getitem__, piece)).decode() for piece, _ in self.cut(chunk)] if chunk else []
+            marks = len(body) - len(core)
+            out.append(line[: len(line) - marks])
+            if marks:
+                out.append(body[-marks:])
+        return out
 
     def _learn_chunks(self, chunks: list[str]) -> None:
-        letters = self.letters
-        cut = [[bytes(map(letters.__getitem__, piece)) for piece, _ in self.cut(c)] if c else [] for c in chunks]
-        if new := list(dict.fromkeys(w for ws in cut for w in ws if w not in self.words)):
+        known = self.known
+        cut = list(map(self._words, chunks))
+        if new := list(dict.fromkeys(w for ws in cut for w in ws if w not in known)):
             self.learn(new)
         for chunk, ws in zip(chunks, cut):
-            self.chunks[chunk] = b"".join([self.words[w] for w in ws])
+            if len(ws) != 1:
+                known[chunk] = b"".join([known[w] for w in ws])
 
     def _chunks(self, text: str) -> list[str]:
         # Words never span a single space between two other characters; runs of white space are cut whole.
@@ -152,12 +199,11 @@ class SpeculativeBpe:
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk; ``SLICE`` at a time, which bounds the caches for very long texts too."""
-        known, out = self.chunks, []
+        known, out = self.known, []
         for at in range(0, len(chunks), SLICE):
             part = chunks[at : at + SLICE]
-            if len(known) > CACHE or len(self.words) > CACHE:
+            if len(known) > CACHE:
                 known.clear()
-                self.words.clear()
             if new := [c for c in dict.fromkeys(part) if c not in known]:
                 self._learn_chunks(new)
             out += map(known.__getitem__, part)
