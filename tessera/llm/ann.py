@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.vectors import best_rows, block_pairs, dimension, distinct_vectors, ranked, unpack, usable
+from tessera.llm.vectors import BestSoFar, best_rows, block_pairs, dimension, distinct_vectors, ranked, unpack, usable
 
 SAMPLE = 4096  # rows that the codebooks are fitted to at most: those of smallest hash
 CENTROIDS = 16
@@ -139,7 +139,7 @@ def search(
     books = AnisotropicQuantiser.fit(fit_sample(rows)) if n else None
 
     def run(batches):
-        last, coded = None, None
+        best, last, coded = BestSoFar(k), None, None
         for batch in batches:
             for ids, data, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns)):
                 if (ids, data) != last:
@@ -147,7 +147,6 @@ def search(
                     vectors, owners = distinct_vectors(*unpack(ids, data), k + 1)
                     coded = books.pack(books.encode(vectors))
                 asked, points = unpack(q_ids, q_data)
-                out = [[], [], []]
                 for at in range(0, len(asked), 64):
                     tables = books.tables(points[at : at + 64])
                     for query, point, table in zip(asked[at : at + 64].tolist(), points[at : at + 64], tables):
@@ -155,10 +154,8 @@ def search(
                         if len(found) > rerank:
                             found = np.argpartition(scan(table, coded), len(found) - rerank)[len(found) - rerank :]
                         some, each = best_rows(query, found, exact_products(vectors[found], point), owners, k)
-                        out[0].append(np.full(len(some), query))
-                        out[1].append(some)
-                        out[2].append(each)
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+                        best.add(query, some, each)
+        yield from best.batches()
 
     pairs = block_pairs(rows, queries, max(1, d), n, n // every + 1, "ann")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")

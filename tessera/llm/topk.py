@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.vectors import best_rows, block_pairs, dimension, distinct_vectors, ranked, unpack, usable
+from tessera.llm.vectors import BestSoFar, best_rows, block_pairs, dimension, distinct_vectors, ranked, unpack, usable
 
 SCALE = 1024
 
@@ -74,23 +74,20 @@ def search(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
 
     def run(batches):
+        best, last, lists, owners = BestSoFar(k), None, None, []
         for batch in batches:
-            last, lists, owners = None, None, []
             for ids, data, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns)):
                 if (ids, data) != last:
                     last = (ids, data)
                     vectors, owners = distinct_vectors(*unpack(ids, data), k + 1)
                     lists = SortedLists(vectors.astype(np.int64))
                 asked, weights = unpack(q_ids, q_data)
-                out = [[], [], []]
                 for query, w in zip(asked.tolist(), weights.astype(np.int64)):
                     # k + 1, as the query's own vector is among them
                     found, scores, _ = lists.search(w, k + 1)
                     some, each = best_rows(query, found, scores, owners, k)
-                    out[0].append(np.full(len(some), query))
-                    out[1].append(some)
-                    out[2].append(each)
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+                    best.add(query, some, each)
+        yield from best.batches()
 
     pairs = block_pairs(rows, queries, max(1, d), n, n // every + 1, "topk")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")

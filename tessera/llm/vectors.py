@@ -98,6 +98,34 @@ def best_rows(query: int, found: np.ndarray, scores: np.ndarray, owners: list[np
     return ids[order], each[order]
 
 
+class BestSoFar:
+    """The k best rows of each query over all blocks that a task has met, so that its
+    output doesn't grow with their number."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
+
+    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if query in self.held:
+            ids, scores = (np.concatenate(pair) for pair in zip(self.held[query], (ids, scores)))
+            order = np.lexsort((ids, -scores))
+            ids, scores = ids[order], scores[order]
+            # a repeated row may lie in several blocks
+            new = np.append(True, (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1]))[: len(ids)]
+            ids, scores = ids[new][: self.k], scores[new][: self.k]
+        self.held[query] = (ids, scores)
+
+    def batches(self):
+        """Record batches (query_id, vec_id, score) of some thousand queries each."""
+        queries = list(self.held)
+        for at in range(0, len(queries), 2000):
+            part = queries[at : at + 2000]
+            found = [self.held[q] for q in part]
+            owner = np.repeat(np.array(part, np.int64), [len(ids) for ids, _ in found])
+            columns = [owner, np.concatenate([ids for ids, _ in found]), np.concatenate([scores for _, scores in found])]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of what the blocks found, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
