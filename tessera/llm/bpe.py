@@ -37,7 +37,7 @@ _LATIN_END = "\u02b0"  # all letters below are letters in every version of Unico
 _DOUBLE_SPACE = re.compile(r"\s\s")
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable letter by which a byte-level vocabulary file writes each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -51,7 +51,7 @@ class SpeculativeBpe:
         with open(path, encoding="utf-8") as file:
             content = file.read()
         spec = json.loads(content)
-        letters = _byte_letters()
+        letters = byte_letters()
         as_bytes = lambda token: bytes(letters[c] for c in token)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in self.special}

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tessera.llm.bpe import byte_letters
 from tessera.llm.common import materialize, portions
 
 WINDOW = 2048
@@ -32,16 +33,22 @@ END_ID = 1
 SHARD_TOKENS = 500_000
 TASK_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
-CACHE = 200_000
-_TAIL = ".,;:!?"
+CACHE = 400_000  # pieces
+# Below U+02B0 characters are composed already, and lowered one by one.
+_WIDE = re.compile("[\u02b0-\U0010ffff]")
+_LATIN = [chr(c) for c in range(0x2B0)]
+_LETTERS = "".join(c for c in _LATIN if c.isalpha())
+_NUMBERS = "".join(c for c in _LATIN if c.isnumeric())
 _ODD = re.compile("[\x1c-\x1f]")  # white space for str.split, but not for the tokenizer
 
 
 class WordEncoder:
-    """Ids of a word-level BPE file of the tokenizers library, with a cache of words.
+    """Ids of a word-level BPE file of the tokenizers library, with a cache of pieces.
 
-    Words are cut at white space, which the vocabulary drops, so a text's ids are
-    those of its words. Texts with a special token's string are encoded whole.
+    Texts of Latin letters are cut by the file's own pattern, and the library's model
+    encodes each new piece; words with other characters go through the whole library.
+    White space is dropped, so a text's ids are those of its words. Texts with a
+    special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -52,45 +59,55 @@ class WordEncoder:
         self.tokenizer.no_padding()
         spec = json.loads(content)
         special = [t["content"] for t in spec["added_tokens"]]
-        self.whole = re.compile("|".join([_ODD.pattern, *map(re.escape, special)]))
+        self.special = [t for t in special if t]
+        self.model = self.tokenizer.model
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = re.compile(pattern.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS)).findall
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.bytes_of = [np.array([n], self.kind).tobytes() for n in range(self.size)]
         self.cache: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        low = word.lower() if word.isascii() else word
-        core = low.rstrip(_TAIL)
-        if core == low or not core or not core[-1].isalnum():
-            parts = (low,)
-        else:
-            parts = (core, low[len(core) :])  # a run of marks after a letter or digit is a piece of its own
-        out = b""
-        for part in parts:
-            ids = self.cores.get(part)
-            if ids is None:
-                ids = self.cores[part] = self._ids(part)
-            out += ids
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece of the pre-tokenizer, or of a word outside the Latin range."""
+        if not piece.isascii():
+            if _WIDE.search(piece.lower()):
+                return self._ids(piece)
+            piece = piece.encode().decode("latin-1")
+        bytes_of = self.bytes_of
+        return b"".join([bytes_of[token.id] for token in self.model.tokenize(piece.translate(self.letters))])
+
+    def _pieces(self, text: str) -> list[str]:
+        low = text.lower()
+        if low.isascii() or not _WIDE.search(low):
+            return self.cut(low)
+        out = []
+        for word in text.split():
+            if _WIDE.search(low := word.lower()):
+                out.append(word)
+            else:
+                out += self.cut(low)
         return out
 
     def encode(self, text: str) -> bytes:
-        if self.whole.search(text):
+        if any(map(text.__contains__, self.special)) or _ODD.search(text):
             return self._ids(text)
-        cache, out = self.cache, []
-        if len(cache) + len(self.cores) > 2 * CACHE:
+        cache, pieces = self.cache, self._pieces(text)
+        if len(cache) > CACHE:
             cache.clear()
-            self.cores.clear()
-        for word in text.split():
-            ids = cache.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(cache) < 4 * CACHE:
-                    cache[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        ids = list(map(cache.get, pieces))
+        for k in [k for k, found in enumerate(ids) if found is None]:
+            piece = pieces[k]
+            if (found := cache.get(piece)) is None:
+                found = self._piece(piece)
+                if len(cache) < 2 * CACHE:
+                    cache[piece] = found
+            ids[k] = found
+        return b"".join(ids)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
