@@ -174,6 +174,15 @@ def test_packing_is_whole(spark):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_word_encoder_equals_the_library():
+    random = np.random.default_rng(1)
+    letters = list("aZ\u00e9 \u00f1\u00d1'stredvml 09\u00b2\u00bd.,;!?-_\x00\x85\xa0\u2019\u65e5\u0130\u00df\u1e9e\u212a\u017f\u0301\u02b0\u00aa\t\n\x1c")
+    texts = ["".join(random.choice(letters, random.integers(0, 15))) for _ in range(5000)] + ["a <|endoftext|> B"]
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_bm25_scores_match_the_formula():
     docs = [np.array(d) for d in ([1, 2, 2, 3], [2, 4], [5, 5, 5, 1])]
     idf = np.linspace(0.1, 1.0, 8)
