@@ -9,8 +9,8 @@ NUMBER = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 # Conversion factors to metric units.
 UNITS = {
-    "fahrenheit_to_celsius": lambda v: (v - 32) * 5 / 9, "mph_to_kmh": lambda v: v * 1.609344, "inhg_to_kpa": lambda v: v * 3.38639,
-    "psi_to_kpa": lambda v: v * 6.89476, "lb_min_to_g_s": lambda v: v * 7.55987, "miles_to_km": lambda v: v * 1.609344,
+    "fahrenheit_to_celsius": lambda v: (v - 32) * 5 / 9, "mph_to_kmh": lambda v: v * 1.60934, "inhg_to_kpa": lambda v: v * 3.38639,
+    "psi_to_kpa": lambda v: v * 6.89476, "lb_min_to_g_s": lambda v: v * 7.55987, "miles_to_km": lambda v: v * 1.60934,
 }
 
 # The first letter of a trouble code names the subsystem.
