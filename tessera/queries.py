@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import detectors, events, relational, retrieval, rules, statistics, text
+from tessera.sources import logs
 from tessera.sources.tables import signals, table
 
 QUERIES: dict = {}
@@ -347,13 +348,27 @@ def text_shapes(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, 'V-' || upper(left(sha256(p_name), 8)) AS pseudonym, printf('%.2f', round((p_size - 32) * 5.0::DOUBLE / 9, 2)) AS celsius, printf('%.2f', round(p_retailprice * 1.609344::DOUBLE, 2)) AS kmh FROM part""")
+SELECT p_partkey, 'V-' || upper(left(sha256(p_name), 8)) AS pseudonym, printf('%.2f', round((p_size - 32) * 5.0::DOUBLE / 9, 2)) AS celsius, printf('%.2f', round(p_retailprice * 1.60934::DOUBLE, 2)) AS kmh FROM part""")
 def unit_conversion(spark, sf_dir):
     """F1, F2, F8."""
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", S.pseudonym(F.col("p_name")).alias("pseudonym"), S.convert(F.col("p_size").cast("string"), "fahrenheit_to_celsius").alias("celsius"), S.convert(F.col("p_retailprice").cast("string"), "mph_to_kmh").alias("kmh"))
 
 
+@query("""
+WITH r AS (SELECT (event_id // 1000)::VARCHAR AS session_id, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS row_id, * FROM events)
+SELECT session_id, row_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, 'VALUE' AS signal, value FROM r WHERE ts IS NOT NULL
+UNION ALL SELECT session_id, row_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), 'USER', user_id FROM r WHERE ts IS NOT NULL""")
+def log_rows(spark, sf_dir):
+    """Logs of 1,000 events each, read back."""
+    e = table(spark, sf_dir, "events")
+    line = F.concat_ws(",", F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("-")), F.coalesce(F.col("value").cast("string"), F.lit("N/A")), F.col("user_id").cast("string"))
+    x = e.select(F.expr("cast(event_id div 1000 as string)").alias("session_id"), F.struct("event_id", line.alias("line")).alias("l"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda l: l["line"]), "\n")
+    files = x.groupBy("session_id").agg(F.concat(F.lit("Timestamp,VALUE,USER\n"), body).alias("body"))
+    return logs.rows(files).select("session_id", "row_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "signal", "value")
+
+
 @query("""
 SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY 1""")
 def latest_order(spark, sf_dir):
