@@ -224,13 +224,16 @@ def hex64(col) -> "F.Column":
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, all columns kept.
 
+    Components are those of ``near_duplicates`` unless ``found`` gives others.
+
     Repeated rows of one id stay once, the one with the smallest hash of its text.
     Rows with a null id can't be told apart from one another and all stay.
     """
-    lead = near_duplicates(docs, id_col, text_col, width).select(F.col("component_id").alias("_lead")).distinct()
+    found = near_duplicates(docs, id_col, text_col, width) if found is None else found
+    lead = found.select(F.col("component_id").alias("_lead")).distinct()
     kept = docs.join(lead, F.col(id_col) == F.col("_lead"), "left_semi")
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
     first = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
