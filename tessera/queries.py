@@ -208,13 +208,26 @@ a AS (SELECT DISTINCT l_suppkey, us AS s, us + 2 * 86400000000 AS e FROM p WHERE
 b AS (SELECT DISTINCT l_suppkey, us AS s, us + 3 * 86400000000 AS e FROM p WHERE l_linenumber = 2 AND l_quantity >= 45)
 SELECT a.l_suppkey, a.s AS a_start, a.e AS a_end, b.s AS b_start, b.e AS b_end FROM a JOIN b ON a.l_suppkey = b.l_suppkey AND a.s < b.e AND b.s < a.e""")
 def interval_overlaps(spark, sf_dir):
-    """Overlapping delivery windows of a supplier's first and second lines."""
+    """J10 on the lines of quantity 45 or more: overlapping delivery windows of a supplier's
+    first and second lines. ``part_interval_overlaps`` covers all quantities."""
     x = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_suppkey", "l_linenumber", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("start_us"))
     day = 86_400_000_000
     spans = lambda n, days: x.where(F.col("l_linenumber") == n).select("l_suppkey", "start_us", (F.col("start_us") + days * day).alias("end_us")).distinct()
     return events.overlaps(spans(1, 2), spans(2, 3), ["l_suppkey"], 4 * day)
 
 
+@query("""
+WITH p AS (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber AS n, epoch_us(l_shipdate) AS us FROM lineitem WHERE l_linenumber IN (1, 2)),
+a AS (SELECT l_partkey, l_suppkey, us AS s, us + 2 * 86400000000 AS e FROM p WHERE n = 1), b AS (SELECT l_partkey, l_suppkey, us AS s, us + 3 * 86400000000 AS e FROM p WHERE n = 2)
+SELECT l_partkey, l_suppkey, a.s AS a_start, a.e AS a_end, b.s AS b_start, b.e AS b_end FROM a JOIN b USING (l_partkey, l_suppkey) WHERE a.s < b.e AND b.s < a.e""")
+def part_interval_overlaps(spark, sf_dir):
+    """Overlapping delivery windows of the first and second lines of a supplier's part, all quantities."""
+    x = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("start_us"))
+    day, keys = 86_400_000_000, ["l_partkey", "l_suppkey"]
+    spans = lambda n, days: x.where(F.col("l_linenumber") == n).select(*keys, "start_us", (F.col("start_us") + days * day).alias("end_us")).distinct()
+    return events.overlaps(spans(1, 2), spans(2, 3), keys, 4 * day)
+
+
 @query("""
 WITH x AS (SELECT event_id, least(value / 100, 1) AS score, user_id % 9 AS n, event_id % 400 AS seconds, event_type = 'purchase' AS critical FROM events),
 y AS (SELECT event_id, 0.40::DOUBLE * score + 0.25::DOUBLE * least(n / 8, 1.0::DOUBLE) + 0.15::DOUBLE * least(seconds / 300, 1.0::DOUBLE) + 0.20::DOUBLE * critical::INT AS c FROM x)
