@@ -355,11 +355,18 @@ def chunk_checksums(spark, sf_dir):
 SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 150) || '[cut]' || right(text, 50) END AS short,
   left(regexp_replace(regexp_replace(lower(left(text, 100)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug FROM documents""")
 def text_shapes(spark, sf_dir):
-    """F19, F36, F37."""
+    """F36, F37, and F19 on the first 100 characters; ``text_slugs`` takes the whole text."""
     d, t = table(spark, sf_dir, "documents"), F.col("text")
     return d.select("doc_id", S.token_estimate(t).alias("tokens"), S.truncated(t, 200).alias("short"), S.slug(F.substring(t, 1, 100)).alias("slug"))
 
 
+@query("""
+SELECT doc_id, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug FROM documents""")
+def text_slugs(spark, sf_dir):
+    """F19."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.slug(F.col("text")).alias("slug"))
+
+
 @query("""
 SELECT p_partkey, 'V-' || upper(left(sha256(p_name), 8)) AS pseudonym, printf('%.2f', round((p_size - 32) * 5.0::DOUBLE / 9, 2)) AS celsius, printf('%.2f', round(p_retailprice * 1.60934::DOUBLE, 2)) AS kmh FROM part""")
 def unit_conversion(spark, sf_dir):

@@ -18,3 +18,8 @@ def test_part_overlaps_take_all_quantities(spark, tmp_path):
         if a[:2] == b[:2] and (a[2], b[2]) == (1, 2) and a[4] < b[4] + 3 * day and b[4] < a[4] + 2 * day
     }
     assert got == want and len(want) > 8
+
+
+def test_slugs_take_the_whole_text(spark, tmp_path):
+    spark.createDataFrame([(1, "é" * 120 + " Late Words")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["text_slugs"](spark, str(tmp_path)).first()["slug"] == "late-words"
