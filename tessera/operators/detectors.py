@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-MAX_POINTS = 2_000  # per piece of a series; longer ones are cut in pieces of this size, as the cost grows with the square
+MAX_POINTS = 2_000  # per piece of a series, as the cost grows with the square; longer ones are cut in overlapping pieces
+CORE = MAX_POINTS // 2  # values that a piece of a longer series decides on; the rest is margin, half of it on each side
 
 
-def pelt(x: np.ndarray, penalty: float = 3.0, min_size: int = 10) -> list[int]:
-    """Starts of segments after the first, by pruned exact search with an RBF kernel cost."""
+def pelt(x: np.ndarray, penalty: float = 3.0, min_size: int = 10, scale: float | None = None) -> list[int]:
+    """Starts of segments after the first, by pruned exact search with an RBF kernel cost.
+
+    ``scale`` is the kernel's squared width, the median squared distance of ``x`` if none is given.
+    """
     n = len(x)
     if n < 2 * min_size:
         return []
     apart = (x[:, None] - x[None, :]) ** 2
-    scale = np.median(apart[np.triu_indices(n, 1)])
+    scale = np.median(apart[np.triu_indices(n, 1)]) if scale is None else scale
     total = np.zeros((n + 1, n + 1))
     total[1:, 1:] = np.exp(-apart / scale if scale > 0 else -apart).cumsum(0).cumsum(1)
     best, last, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, int), [0]
@@ -40,28 +45,85 @@ def pelt(x: np.ndarray, penalty: float = 3.0, min_size: int = 10) -> list[int]:
     return found[::-1]
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Valid values of each series of 20 or more with their position ``k``, the sum ``before``
+    them and the series' n, extent and total, all sums over values less the series' least.
+
+    Positions are counted within spans of time and added up over spans, so no task orders a long series.
+    """
+    x = rows.where(F.col("value").isNotNull() & ~F.isnan("value")).select("session", "signal", "us", "row_id", F.col("value").cast("double").alias("value"))
+    key = ["session", "signal"]
+    stats = x.groupBy(key).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    stats = stats.where("n >= 20 AND hi > lo")
+    span = F.floor((F.col("us") - F.col("first_us")) / F.greatest(F.lit(1.0), (F.col("last_us") - F.col("first_us")) / F.ceil(F.col("n") / CORE)))
+    x = x.join(stats, key).withColumn("span", span).withColumn("v", F.col("value") - F.col("lo"))
+    spans = x.groupBy(*key, "span").agg(F.count("*").alias("c"), F.sum("v").alias("s"))
+    up = Window.partitionBy(key).orderBy("span")
+    spans = spans.select(
+        *key, "span", (F.sum("c").over(up) - F.col("c")).alias("c0"), (F.sum("s").over(up) - F.col("s")).alias("s0"), F.sum("s").over(Window.partitionBy(key)).alias("total")
+    )
+    inside = Window.partitionBy(*key, "span").orderBy("us", "row_id")
+    x = x.withColumn("i", F.row_number().over(inside) - 1).withColumn("r", F.sum("v").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("v"))
+    return x.join(spans, [*key, "span"]).select(
+        *key, "us", "value", "n", (F.col("hi") - F.col("lo")).alias("extent"), "total", (F.col("c0") + F.col("i")).alias("k"), (F.col("s0") + F.col("r")).alias("before")
+    )
+
+
 def change_points(rows: DataFrame, penalty: float = 3.0, min_size: int = 10) -> DataFrame:
     """(session, signal, at_us, score): level shifts of each series of 20 valid values or more.
 
     The score is the shift between the means of the neighbouring segments over the
-    series' range. Long series are searched in pieces of ``MAX_POINTS`` values.
+    series' range. A series of more than ``MAX_POINTS`` values is searched in pieces
+    that overlap by half, spread over tasks, with one kernel width of the whole
+    series (of ``MAX_POINTS`` evenly spaced values). Each piece decides on the
+    ``CORE`` values in its middle and ``min_size`` beyond; of the shifts closer than
+    ``min_size`` that neighbouring pieces find, one stays.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.dropna(subset=["value"]).sort_values(["us", "row_id"])
-        x, out = g["value"].to_numpy(float), []
-        extent = float(np.ptp(x)) if len(x) else 0.0
-        if len(x) >= 20 and extent > 0:
-            for at in range(0, len(x), MAX_POINTS):
-                piece = x[at : at + MAX_POINTS]
-                cuts = [0, *pelt((piece - piece.mean()) / (piece.std() or 1.0), penalty, min_size), len(piece)]
-                for a, b, c in zip(cuts, cuts[1:], cuts[2:]):
-                    shift = abs(piece[b:c].mean() - piece[a:b].mean()) / extent
-                    out.append((g["session"].iloc[0], g["signal"].iloc[0], int(g["us"].iloc[at + b]), min(1.0, shift)))
-        return pd.DataFrame(out, columns=["session", "signal", "at_us", "score"])
-
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy("session", "signal").applyInPandas(run, f"session {kinds['session']}, signal string, at_us long, score double")
+    key, kind = ["session", "signal"], f"session {kinds['session']}, signal {kinds['signal']}"
+    x = _numbered(rows)
+
+    def width(group: pd.DataFrame) -> pd.DataFrame:
+        v = group.sort_values("k")["value"].to_numpy(float)
+        v = (v - v.mean()) / (v.std() or 1.0)
+        scale = np.median(((v[:, None] - v[None, :]) ** 2)[np.triu_indices(len(v), 1)])
+        return pd.DataFrame({"session": [group["session"].iloc[0]], "signal": [group["signal"].iloc[0]], "mean": [group["value"].mean()], "std": [group["value"].std(ddof=0)], "scale": [scale]})
+
+    even = x.where(F.col("k") % F.ceil(F.col("n") / MAX_POINTS) == 0)
+    widths = even.groupBy(key).applyInPandas(width, f"{kind}, mean double, std double, scale double")
+    margin = (MAX_POINTS - CORE) // 2
+    last = F.when(F.col("n") <= MAX_POINTS, 0).otherwise(F.ceil(F.col("n") / CORE) - 1)
+    low, high = (F.least(F.greatest(F.floor((F.col("k") + d) / CORE), F.lit(0)), last).cast("int") for d in (-margin, margin))
+    pieces = x.join(widths, key).withColumn("piece", F.explode(F.sequence(low, high)))
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("k")
+        one, piece, n = g.iloc[0], int(g["piece"].iloc[0]), int(g["n"].iloc[0])
+        cuts = pelt((g["value"].to_numpy(float) - one["mean"]) / (one["std"] or 1.0), penalty, min_size, float(one["scale"]))
+        found = g.iloc[cuts]
+        start, end = (0, n) if n <= MAX_POINTS else (piece * CORE, (piece + 1) * CORE)
+        found = found[(found["k"] >= start - min_size) & (found["k"] < end + min_size)]
+        return found.assign(own=(found["k"] >= start) & (found["k"] < end))[[*key, "n", "extent", "total", "k", "us", "before", "own"]]
+
+    fields = f"{kind}, n long, extent double, total double, k long, us long, before double, own boolean"
+    found = pieces.groupBy(*key, "piece").applyInPandas(search, fields)
+    found = found.groupBy(*key, "n", "extent", "total", "k", "us", "before").agg(F.max("own").alias("own"))
+    order = Window.partitionBy(key).orderBy("k")
+    far = F.coalesce((F.col("k") - F.lag("k").over(order) >= min_size).cast("int"), F.lit(1))
+    found = found.withColumn("far", far).withColumn("island", F.sum("far").over(order))
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        kept: list = []
+        for at, k in group.sort_values(["own", "k"], ascending=[False, True])["k"].items():
+            if all(abs(k - group["k"][other]) >= min_size for other in kept):
+                kept.append(at)
+        return group.loc[kept, [*key, "n", "extent", "total", "k", "us", "before", "own"]]
+
+    cuts = found.drop("far").groupBy(*key, "island").applyInPandas(settle, fields)
+    edge = lambda f, column, other: F.coalesce(f(column).over(order), other)
+    left = (F.col("before") - edge(F.lag, "before", F.lit(0.0))) / (F.col("k") - edge(F.lag, "k", F.lit(0)))
+    right = (edge(F.lead, "before", F.col("total")) - F.col("before")) / (edge(F.lead, "k", F.col("n")) - F.col("k"))
+    return cuts.select(*key, F.col("us").alias("at_us"), F.least(F.lit(1.0), F.abs(right - left) / F.col("extent")).alias("score"))
 
 
 def _mean_depth(n: np.ndarray) -> np.ndarray:

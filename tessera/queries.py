@@ -459,8 +459,8 @@ def lane_means(spark, sf_dir):
 
 @query()
 def change_points(spark, sf_dir):
-    """A2, U4: level shifts of each user's events."""
-    return detectors.change_points(signals(spark, sf_dir).withColumn("signal", F.lit("all")))
+    """A2, U4: level shifts of each signal of each user."""
+    return detectors.change_points(signals(spark, sf_dir))
 
 
 @query()

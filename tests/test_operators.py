@@ -81,3 +81,28 @@ def test_upsert(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
     b = spark.createDataFrame([(2, "z"), (3, "w")], "k long, v string")
     assert sorted(map(tuple, relational.upsert(a, b, "k").collect())) == [(1, "x"), (2, "z"), (3, "w")]
+
+
+def whole_search(values):
+    x = np.array(values, float)
+    cuts = [0, *detectors.pelt((x - x.mean()) / x.std()), len(x)]
+    return [(b, abs(x[b:c].mean() - x[a:b].mean()) / np.ptp(x)) for a, b, c in zip(cuts, cuts[1:], cuts[2:])]
+
+
+@pytest.mark.parametrize("shifts", [[2000], [1000, 1995, 3003], [700]])
+def test_change_points_of_a_long_series(spark, shifts):
+    level = np.zeros(4005)
+    for n, at in enumerate(shifts):
+        level[at:] += 8 if n % 2 == 0 else -5
+    values = level + np.random.default_rng(1).normal(0, 1, len(level))
+    got = sorted((r["at_us"] // 10**6, r["score"]) for r in detectors.change_points(series(spark, values)).collect())
+    assert [k for k, _ in got] == shifts
+    assert got == [(k, pytest.approx(s)) for k, s in whole_search(values)]
+
+
+def test_change_points_of_each_signal(spark):
+    values = [0.0] * 30 + [9.0] * 30
+    rows = series(spark, [v + k % 3 / 10 for k, v in enumerate(values)])
+    rows = rows.unionByName(rows.withColumn("signal", F.lit("b")).withColumn("value", F.lit(5.0)))
+    got = detectors.change_points(rows).collect()
+    assert [(r["signal"], r["at_us"] // 10**6) for r in got] == [("a", 30)]
