@@ -313,7 +313,7 @@ def code_sweep(spark, sf_dir):
 SELECT id, line_no, left(line, 110) AS preview FROM (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 WHERE contains(lower(line), 'tion in')""")
 def literal_search(spark, sf_dir):
-    """M4, T8."""
+    """T8, and M4's line match."""
     return text.literal_search(table(spark, sf_dir, "documents"), "tion in")
 
 
@@ -339,7 +339,7 @@ def line_coverage(spark, sf_dir):
 SELECT conv_id, iteration, count(*) AS n_turns, sum(length(text))::BIGINT AS n_chars FROM (
   SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn, role, text)::BIGINT AS iteration FROM conversations) GROUP BY ALL""")
 def conversation_iterations(spark, sf_dir):
-    """W22, F38."""
+    """W22."""
     return text.iterations(table(spark, sf_dir, "conversations"))
 
 
@@ -347,7 +347,7 @@ def conversation_iterations(spark, sf_dir):
 SELECT id, chunk_index, sha256(id::VARCHAR || ':' || chunk_index::VARCHAR || ':' || chunk) AS checksum FROM (
   SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS chunk, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_index FROM documents) WHERE trim(chunk, ' ') <> ''""")
 def chunk_checksums(spark, sf_dir):
-    """F31, K3, U8."""
+    """F31, U8."""
     return text.paragraph_chunks(table(spark, sf_dir, "documents")).select("id", "chunk_index", "checksum")
 
 
@@ -423,7 +423,7 @@ def golden_upsert(spark, sf_dir):
 @query("""
 SELECT 'customer' AS tab, c_custkey AS id, c_acctbal AS score FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal FROM supplier""")
 def feedback_union(spark, sf_dir):
-    """U2, T12."""
+    """U2."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
     return relational.tagged_union({"customer": c, "supplier": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score"))})
 
@@ -459,13 +459,13 @@ def lane_means(spark, sf_dir):
 
 @query()
 def change_points(spark, sf_dir):
-    """A2, U4: level shifts of each signal of each user."""
+    """A2: level shifts of each signal of each user."""
     return detectors.change_points(signals(spark, sf_dir))
 
 
 @query()
 def isolation_forest(spark, sf_dir):
-    """A3, T6, W7."""
+    """A3 without its islands."""
     x = signals(spark, sf_dir)
     wide = x.groupBy("session", F.floor(F.col("us") / 86_400_000_000).alias("day")).pivot("signal", ["view", "click", "purchase", "signup", "error"]).agg(F.avg("value"))
     return detectors.isolation_forest(wide, "session", "day", ["view", "click", "purchase", "signup", "error"])
