@@ -6,20 +6,23 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, ``spark.checkpoint.dir``.
 
-    Only a session without that setting (local tests) gets a folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own;
+    on a cluster a machine's own folder would be out of the others' reach.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -30,7 +33,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,24 +55,29 @@ def held_out(doc_id) -> "F.Column":
     return (F.crc32(doc_id.cast("string")) % 3) == 1
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list:
-    """Up to ``per_class`` labelled (text, label) rows of each class, rows held out excluded.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class_bytes: int = 24_000_000) -> list:
+    """Up to ``per_class`` labelled (id, label, text) rows of each class, rows held out excluded.
 
-    The rows are those with the smallest hash of their id, so the choice is the
-    same on every run; ``per_class`` bounds what reaches the driver. Rows with a
-    null id, text or label are left out; a document labelled twice counts once a label.
+    The rows are those with the smallest hash of their id, so the choice is the same on
+    every run. ``per_class`` rows and ``class_bytes`` of text a class bound what reaches
+    the driver: of repeated rows of an id one text counts (the smallest hash), and the
+    texts that the bytes have no room for are left out, in the order of the hash. Rows
+    with a null id, text or label are left out; an id labelled both ways counts once a label.
     """
     ids = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(
         F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id"))
     ).distinct()
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_t")).where(F.col("_t").isNotNull())
+    present = ids.join(texts.select("_id").distinct(), "_id", "left_semi")
     chosen = None
     for y in (0, 1):
-        part = ids.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+        part = present.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).where(F.col("_t").isNotNull())
     # at most 2 * per_class rows of two numbers, which is the bound of this broadcast
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_y", "_t")
-    return sorted((r["_id"], r["_y"], r["_t"]) for r in rows.toLocalIterator())
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), "_t")).alias("_t"))
+    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_upto", F.sum(F.octet_length("_t")).over(order)).where(F.col("_upto") <= class_bytes)
+    return sorted((r["_id"], r["_y"], r["_t"]) for r in rows.select("_id", "_y", "_t").collect())
 
 
 def portions(batch, column: int, max_bytes: int):

@@ -1,19 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-Each holds the segments whose document frequency in its own class most exceeds
-that in the other. A text is cut in overlapping windows; each window is compressed
-with either dictionary, and the gap between the two lengths says which it is nearer.
-
-Windows are compressed as shingle codes: letters and digits in lower case, other
-ASCII as single spaces, then eight bytes for each run of five bytes. Random codes
-don't compress, so a window shrinks only where it shares a run with a dictionary,
-and short foreign words stand out from chance.
-
-A document's features are its three largest gaps. Logistic regression calibrates
-them to a score, on gaps measured out of fold: half of the training documents are
-measured with dictionaries learned from the other half. ``THRESHOLD`` is applied
-to the score.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Text is
+first normalised: lower case, ASCII letters and digits kept, other ASCII as single
+spaces. A text is cut in overlapping windows, every window is compressed with either
+dictionary, and the gap between the two lengths says which class it is nearer.
+
+A dictionary has a base and a class part, each made by zstandard's own trainer. The base
+is trained on windows of ordinary text and is the same in both, so that what all text
+has in common cancels out. The class part is trained on the stretches of its class's
+texts that are over-represented there: six-byte segments whose document frequency
+exceeds that in the other class significantly, by a likelihood ratio test against the
+number of segments tried. Near copies among the training texts count once, else a
+copied document would pass for what its class has in common. Both class parts are
+padded to one length, so the dictionaries have one layout and offsets cost the same.
+
+A document's features are its four largest gaps and the logarithm of its number of
+windows, as the largest of many gaps is larger by chance. Logistic regression weighs
+them (the weights of gaps are never negative), on gaps measured out of fold: each third
+of the training documents is measured with dictionaries learned from the others.
+Isotonic regression maps the weighted sum to the share of toxic documents, the score,
+which mislabelled rows at either end don't flatten. ``THRESHOLD`` applies to the score.
 """
 
 from __future__ import annotations
@@ -30,46 +36,45 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fit_logistic, held_out, labelled_sample, map_texts, text_column
 
-WINDOW, STRIDE = 72, 56  # bytes of normalised text
-SEGMENT, SHINGLE = 6, 5
-MAX_SEGMENTS = 400
+WINDOW, STRIDE = 64, 48  # bytes of normalised text
+SEGMENT = 6
+BASE_BYTES, CLASS_BYTES = 12_288, 2_048  # of a dictionary; together within the 16 kB window, so that all of it is searched
+BASE_WINDOWS = 60_000  # windows of ordinary text, evenly spaced, that the base is trained on at most
 PER_CLASS = 3000  # labelled documents of each class that training takes at most
+FOLDS = 3
+GAPS = 4
 THRESHOLD = 0.7
 _LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SPACES = re.compile(b"  +")
+_MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
 def normalise(text: str) -> bytes:
     return b" " + _SPACES.sub(b" ", text.lower().encode().translate(_LETTERS)).strip() + b" "
 
 
-def shingle_codes(text: bytes) -> np.ndarray:
-    """One scrambled 64-bit code for the ``SHINGLE`` bytes that start at each byte."""
-    padded = np.frombuffer(text + b" " * (SHINGLE - 1), np.uint8).astype(np.uint64)
-    codes = padded[: len(text)].copy()
-    for k in range(1, SHINGLE):
-        codes |= padded[k : len(text) + k] << np.uint64(8 * k)
-    codes *= np.uint64(0x9E3779B97F4A7C15)
-    codes ^= codes >> np.uint64(29)
-    codes *= np.uint64(0xBF58476D1CE4E5B9)
-    return codes
+def spans_of(length: int) -> np.ndarray:
+    """(windows, 2): first byte and length of each window of a text."""
+    starts = np.arange(0, max(1, length - (WINDOW - STRIDE)), STRIDE)
+    return np.stack([starts, np.minimum(WINDOW, length - starts)], 1)
 
 
-def _segments(text: bytes) -> np.ndarray:
+def _packed(text: bytes) -> np.ndarray:
+    """The segment that starts at each byte, as a number."""
     raw = np.frombuffer(text, np.uint8).astype(np.uint64)
-    packed = np.zeros(max(0, len(raw) - SEGMENT + 1), np.uint64)
+    out = np.zeros(max(0, len(raw) - SEGMENT + 1), np.uint64)
     for k in range(SEGMENT):
-        packed = packed << np.uint64(8) | raw[k : len(packed) + k]
-    return np.unique(packed)
+        out = out << np.uint64(8) | raw[k : len(out) + k]
+    return out
 
 
 def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct segments and the number of different texts that have each; summed up
-    a few million at a time, which bounds the memory that training takes."""
+    """Distinct segments and the number of texts that have each; summed up a few
+    million at a time, which bounds the memory that training takes."""
     total, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     found, held = [], 0
-    for k, text in enumerate(texts := list(dict.fromkeys(texts))):
-        found.append(_segments(text))
+    for k, text in enumerate(texts):
+        found.append(np.unique(_packed(text)))
         held += len(found[-1])
         if held > 2_000_000 or k == len(texts) - 1:
             some, n = np.unique(np.concatenate(found), return_counts=True)
@@ -79,38 +84,105 @@ def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return total, counts
 
 
-def _dictionary(own, n_own: int, other, n_other: int) -> bytes:
-    """Codes of the segments most typical of ``own``, the best ones last."""
-    segments, counts = own
+def without_copies(texts: list[bytes], length: int = 24) -> list[bytes]:
+    """The texts that share none of their four minimum hashes of ``length``-byte runs with an earlier one."""
+    seen: set = set()
+    out = []
+    for text in texts:
+        raw = np.frombuffer(text, np.uint8).astype(np.uint64)
+        n = min(length, len(raw))
+        runs = np.zeros(len(raw) - n + 1, np.uint64)
+        for k in range(n):
+            runs = runs * np.uint64(0x100000001B3) ^ raw[k : len(runs) + k]
+        keys = set()
+        for mix in _MIX:
+            hashes = runs * mix
+            hashes ^= hashes >> np.uint64(32)
+            keys.add((int(mix), int((hashes * mix).min())))
+        if not keys & seen:
+            out.append(text)
+        seen |= keys
+    return out
+
+
+def typical_segments(own: list[bytes], other: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Segments at least eight times as frequent in ``own`` as in ``other`` beyond chance, and their test statistic."""
+    segments, counts = _frequencies(own)
     if not len(segments):
-        return b""
-    at = np.minimum(np.searchsorted(other[0], segments), max(0, len(other[0]) - 1))
-    there = np.where(other[0][at] == segments, other[1][at], 0) if len(other[0]) else np.zeros(len(segments))
-    p, q = counts / n_own, (there + 0.5) / (n_other + 1)
-    # a segment must be common enough to be no chance find, and rare in the other class
-    gain = np.where((counts >= max(3, 0.004 * n_own)) & (p >= 8 * q), p * np.log(p / q), -1)
-    best = np.argsort(-gain, kind="stable")[:MAX_SEGMENTS]
-    chosen = [int(segments[k]).to_bytes(SEGMENT, "big") for k in best if gain[k] > 0]
-    return b"".join(shingle_codes(s)[: SEGMENT - SHINGLE + 1].tobytes() for s in reversed(chosen))
+        return segments, np.zeros(0)
+    known, theirs = _frequencies(other)
+    there = np.zeros(len(segments))
+    if len(known):
+        at = np.minimum(np.searchsorted(known, segments), len(known) - 1)
+        there = np.where(known[at] == segments, theirs[at], 0)
+    n, m = len(own), max(1, len(other))
+    both = (counts + there) / (n + m)
+    statistic = 2 * (counts * np.log(counts / (n * both)) + there * np.log(np.maximum(there, 1e-9) / (m * both)))
+    typical = (counts / n >= 8 * (there + 0.5) / (m + 1)) & (statistic > 3 * np.log(len(segments)))
+    return segments[typical], statistic[typical]
+
+
+def stretches(texts: list[bytes], segments: np.ndarray, statistic: np.ndarray) -> list[bytes]:
+    """The distinct runs of each text that typical segments cover; of segments that
+    overlap only those near the greatest statistic count, which leaves chance neighbours out."""
+    out = []
+    for text in texts if len(segments) else ():
+        packed = _packed(text)
+        if not len(packed):
+            continue
+        at = np.minimum(np.searchsorted(segments, packed), len(segments) - 1)
+        own = np.where(segments[at] == packed, statistic[at], 0.0)
+        most = np.lib.stride_tricks.sliding_window_view(np.pad(own, SEGMENT - 1), 2 * SEGMENT - 1).max(1)
+        first = np.nonzero((own > 0) & (own >= 0.9 * most))[0]
+        edge = np.zeros(len(text) + 1, np.int64)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + SEGMENT, -1)
+        covered = np.diff(np.concatenate([[0], (edge.cumsum()[:-1] > 0).astype(np.int8), [0]]))
+        out += sorted({text[a:b] for a, b in zip(np.nonzero(covered == 1)[0], np.nonzero(covered == -1)[0])})
+    return out
+
+
+def train_dictionary(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of the samples; of too few for the trainer, the distinct samples themselves."""
+    samples = [s.ljust(8) for s in samples]
+    try:
+        return zstandard.train_dictionary(size, samples, k=16, d=6, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    a, b = _frequencies(toxic), _frequencies(ordinary)
-    n, m = max(1, len(set(toxic))), max(1, len(set(ordinary)))
-    return _dictionary(a, n, b, m), _dictionary(b, m, a, n)
+    """The toxic and the ordinary dictionary."""
+    toxic, ordinary = without_copies(toxic), without_copies(ordinary)
+    windows = sum(len(spans_of(len(t))) for t in ordinary)
+    every, base, met = -(-windows // BASE_WINDOWS), [], 0
+    for text in ordinary:
+        spans = spans_of(len(text))
+        base += [text[a : a + n] for a, n in spans[-met % every :: every].tolist()]
+        met += len(spans)
+    parts = [
+        train_dictionary(found, CLASS_BYTES) if (found := stretches(own, *typical_segments(own, other))) else b""
+        for own, other in ((toxic, ordinary), (ordinary, toxic))
+    ]
+    shared = train_dictionary(base, BASE_BYTES) if base else b""
+    size = max(map(len, parts))
+    return shared + parts[0].rjust(size, b"\0"), shared + parts[1].rjust(size, b"\0")
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     dictionaries: tuple[bytes, bytes]  # toxic, ordinary
-    weights: tuple[float, ...]  # of the three largest gaps, and a bias
+    weights: tuple[float, ...]  # of the largest gaps and of the logarithm of the number of windows
+    limits: tuple[float, ...]  # weighted sums at which the share steps up
+    shares: tuple[float, ...]  # of toxic documents from each limit on
 
     def compressors(self) -> list:
         made = []
         for content in self.dictionaries:
+            # a greedy search of the whole dictionary for six bytes or more: what is not in it doesn't change the length
             how = zstandard.ZstdCompressionParameters(
-                window_log=14, hash_log=13, chain_log=10, search_log=1, min_match=7, target_length=1,
-                strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False,
+                window_log=14, hash_log=15, chain_log=14, search_log=9, min_match=SEGMENT, target_length=32,
+                strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False,
             )
             if len(content) < 8:
                 made.append(zstandard.ZstdCompressor(compression_params=how))
@@ -120,35 +192,47 @@ class ToxicityModel:
             made.append(zstandard.ZstdCompressor(compression_params=how, dict_data=trained))
         return made
 
-    def features(self, texts: list[bytes], compressors=None) -> np.ndarray:
-        """(n, 3): the largest gaps of each text, zero where it has fewer windows."""
+    def features(self, texts: list[bytes], compressors=None, at_once: int = 20_000) -> np.ndarray:
+        """(n, GAPS + 1): the largest gaps of each text, zero where it has fewer or negative ones, and log(windows)."""
         if not texts:
-            return np.zeros((0, 3))
-        codes = [shingle_codes(t) for t in texts]
-        starts, owner, ends, base = [], [], [], 0
-        for k, c in enumerate(codes):
-            own = np.arange(0, max(1, len(c) - (WINDOW - STRIDE)), STRIDE)
-            starts.append(base + own)
-            ends.append(np.minimum(base + own + WINDOW, base + len(c)))
-            owner.append(np.full(len(own), k))
-            base += len(c)
-        starts, ends, owner = map(np.concatenate, (starts, ends, owner))
-        spans = np.stack([8 * starts, 8 * (ends - starts)], 1).astype("<u8").tobytes()
-        windows = zstandard.BufferWithSegments(np.concatenate(codes).tobytes(), spans)
-        lengths = []
-        for c in compressors or self.compressors():
-            out = c.multi_compress_to_buffer(windows, threads=1)
-            lengths.append(np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out)))
-        gaps = lengths[1] - lengths[0]
-        order = np.lexsort((gaps, owner))
-        upto = np.cumsum(np.bincount(owner, minlength=len(texts)))
-        first = np.concatenate([[0], upto[:-1]])
-        largest = [np.where(upto - k > first, gaps[order[np.maximum(upto - 1 - k, 0)]], 0) for k in range(3)]
-        return np.maximum(np.stack(largest, 1), 0) / 10.0
+            return np.zeros((0, GAPS + 1))
+        compressors = compressors or self.compressors()
+        spans = [spans_of(len(t)) for t in texts]
+        counts = np.array([len(s) for s in spans])
+        base = np.cumsum([0] + [len(t) for t in texts[:-1]])
+        spans = np.concatenate([s + [b, 0] for s, b in zip(spans, base.tolist())]).astype("<u8")
+        content = b"".join(texts)
+        gaps = np.zeros(len(spans), np.int32)
+        for first in range(0, len(spans), at_once):
+            some = spans[first : first + at_once]
+            low, high = int(some[0, 0]), int(some[-1].sum())
+            windows = zstandard.BufferWithSegments(content[low:high], (some - np.array([low, 0], "<u8")).tobytes())
+            for sign, c in zip((-1, 1), compressors):
+                out = c.multi_compress_to_buffer(windows, threads=1)
+                gaps[first : first + len(some)] += sign * np.fromiter((len(out[i]) for i in range(len(out))), np.int32, len(out))
+        order = np.lexsort((-gaps, np.repeat(np.arange(len(texts)), counts)))
+        starts = np.cumsum(counts) - counts
+        top = [np.where(counts > k, np.maximum(gaps[order[np.minimum(starts + k, len(gaps) - 1)]], 0), 0) for k in range(GAPS)]
+        return np.stack([*top, np.log(counts)], 1).astype(float)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
-        w = np.array(self.weights)
-        return 1 / (1 + np.exp(-np.clip(features @ w[:-1] + w[-1], -50, 50)))
+        at = features @ np.array(self.weights)
+        share = np.array(self.shares)[np.maximum(np.searchsorted(self.limits, at, "right") - 1, 0)]
+        # within a step the sum still orders documents
+        return share + 1e-6 * ((1 / (1 + np.exp(-np.clip(at, -50, 50)))) - share)
+
+
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """(limits, shares): the non-decreasing steps nearest to ``y`` over ``x``, by pooling adjacent violators."""
+    values, back = np.unique(x, return_inverse=True)
+    weight = np.bincount(back).astype(float)
+    blocks: list = []
+    for v, mean, w in zip(values.tolist(), (np.bincount(back, y) / weight).tolist(), weight.tolist()):
+        blocks.append((v, mean, w))
+        while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
+            (low, a, m), (_, b, n) = blocks[-2], blocks[-1]
+            blocks[-2:] = [(low, (a * m + b * n) / (m + n), m + n)]
+    return tuple(b[0] for b in blocks), tuple(b[1] for b in blocks)
 
 
 def fit(rows: list[tuple[int, int, str]]) -> ToxicityModel:
@@ -156,17 +240,27 @@ def fit(rows: list[tuple[int, int, str]]) -> ToxicityModel:
     scores every text by the share of toxic rows, or zero without any row."""
     texts = [normalise(t) for _, _, t in rows]
     labels = np.array([y for _, y, _ in rows], float)
+    none = (0.0,) * (GAPS + 1)
     if len(set(labels)) < 2:
-        return ToxicityModel((b"", b""), (0.0, 0.0, 0.0, 50.0 if len(rows) and labels[0] else -50.0))
-    fold = np.array([zlib.crc32(b"fold" + t) & 1 for t in texts])  # copies stay together
-    pick = lambda y, f: [t for t, l, g in zip(texts, labels, fold) if l == y and (f is None or g == f)]
-    x = np.zeros((len(texts), 3))
-    for f in (0, 1):
-        half = ToxicityModel(train_dictionaries(pick(1, 1 - f), pick(0, 1 - f)), (0.0,) * 4)
+        return ToxicityModel((b"", b""), none, (0.0,), (float(labels[0]) if len(rows) else 0.0,))
+    fold = np.array([zlib.crc32(t) % FOLDS for t in texts])  # copies stay together
+    pick = lambda y, f: [t for t, l, g in zip(texts, labels, fold) if l == y and g != f]
+    x = np.zeros((len(texts), GAPS + 1))
+    for f in range(FOLDS):
         at = np.nonzero(fold == f)[0]
-        x[at] = half.features([texts[k] for k in at])
-    weights = fit_logistic(x, labels, l2=0.1)
-    return ToxicityModel(train_dictionaries(pick(1, None), pick(0, None)), tuple(map(float, weights)))
+        part = ToxicityModel(train_dictionaries(pick(1, f), pick(0, f)), none, (0.0,), (0.0,))
+        x[at] = part.features([texts[k] for k in at])
+    used = np.arange(GAPS + 1)
+    while True:
+        learned = fit_logistic(x[:, used], labels, l2=0.1)[:-1]
+        negative = (learned < 0) & (used < GAPS)
+        if not negative.any():
+            break
+        used = used[~negative]
+    weights = np.zeros(GAPS + 1)
+    weights[used] = learned
+    limits, shares = isotonic(x @ weights, labels)
+    return ToxicityModel(train_dictionaries(pick(1, -1), pick(0, -1)), tuple(weights.tolist()), limits, shares)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
@@ -174,6 +268,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
     return fit(labelled_sample(docs, labels, "toxic", per_class))
 
 
+def _scorer(model: ToxicityModel):
+    """Scores of a list of texts; each worker makes its compressors once."""
+    state: list = []
+
+    def score(texts):
+        if not state:
+            state.append(model.compressors())
+        return model.scores(model.features([normalise(t) for t in texts], state[0]))
+
+    return score
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) for every row of ``docs``, over whole texts.
 
@@ -181,12 +287,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     with a null id are scored like any other; an empty table gives an empty
     result; other columns are ignored.
     """
-    state: list = []
+    scores = _scorer(model)
 
     def score(texts):
-        if not state:
-            state.append(model.compressors())
-        s = model.scores(model.features([normalise(t) for t in texts], state[0]))
+        s = scores(texts)
         return [pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
 
     return map_texts(docs, id_col, text_col, score, "score double, predicted int", 300_000)
@@ -194,14 +298,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
 def predicted(model: ToxicityModel):
     """A column function: 1 for texts whose score reaches the threshold, else 0; null texts count as empty."""
-    state: list = []
-
-    def score(texts):
-        if not state:
-            state.append(model.compressors())
-        return (model.scores(model.features([normalise(t) for t in texts], state[0])) >= THRESHOLD).astype(np.int32)
-
-    return text_column(score, "int")
+    scores = _scorer(model)
+    return text_column(lambda texts: (scores(texts) >= THRESHOLD).astype(np.int32), "int")
 
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
