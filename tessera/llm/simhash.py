@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # (lowest bit, width)
@@ -168,25 +168,27 @@ def links(unique: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component, for nodes of ``edges(a, b)``.
 
-    Alternates large-star and small-star steps; each round is a written table and
-    the driver sees only a count and a checksum. The minimum per node is a
-    combined aggregate joined back, so a node with very many links is never one
-    task's list.
+    Alternates large-star and small-star steps until a round changes nothing, which
+    takes a number of rounds logarithmic in the component's size (squared at worst);
+    each round is a written table and the driver sees only a count and a checksum. The
+    minimum per node is a combined aggregate joined back, so a node with very many
+    links is never one task's list.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     state = None
-    for _ in range(max_rounds):
-        seen = now.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state or not seen[0]:
+    while True:
+        seen = tuple(now.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if seen == state or not seen[0]:
             break
-        state = tuple(seen)
+        state = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "cc-large")
+        discard(now)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")
@@ -196,8 +198,7 @@ def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             .distinct()
         )
         now = materialize(small, "cc-small")
-    else:
-        raise RuntimeError("components did not settle")
+        discard(large)
     roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -233,8 +234,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id can't be told apart from one another and all stay.
     """
     found = near_duplicates(docs, id_col, text_col, width) if found is None else found
-    lead = found.select(F.col("component_id").alias("_lead")).distinct()
-    kept = docs.join(lead, F.col(id_col) == F.col("_lead"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    first = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    lead = found.select(F.col("component_id").alias("lead")).where("lead IS NOT NULL").distinct()
+    whole = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = whole.join(lead, F.col("id") == F.col("lead"), "left_semi")
+    order = Window.partitionBy("id").orderBy(F.xxhash64(f"row.`{text_col}`"), f"row.`{text_col}`")
+    first = kept.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
     return first.unionByName(docs.where(F.col(id_col).isNull()))
