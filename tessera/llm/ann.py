@@ -8,7 +8,10 @@ bounded sample; every row is coded, by coordinate descent on the same loss.
 
 A query's products with all centroids, rounded to eight bits, make a table per pair;
 two tables are joined to serve a byte of codes at once. Scanning the codes gives
-approximate scores, and the best rows of each block are ranked by exact products.
+approximate scores. A first scan, of one row in ``SAMPLE_ROWS``, finds for each query
+the approximate score that about ``RERANK`` rows of the whole table reach; the second
+scan, of all rows, ranks the rows that reach it by exact products. Rows are coded
+once, in the index that both scans read.
 """
 
 from __future__ import annotations
@@ -18,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.vectors import BestSoFar, best_rows, block_pairs, dimension, distinct_vectors, ranked, unpack, usable
+from tessera.llm.vectors import BestSoFar, as_long, best_rows, blocks_of, dimension, distinct_vectors, met, queries_of, ranked, unpack, usable
 
 SAMPLE = 4096  # rows that the codebooks are fitted to at most: those of smallest hash
 CENTROIDS = 16
 WIDTH = 2  # components coded together
 THRESHOLD = 0.2  # cosine above which scores matter; sets the weight of the parallel residual
-RERANK = 200  # rows of each block that get exact scores
+RERANK = 400  # rows of the whole table that get exact scores for a query, or thereabouts
+SAMPLE_ROWS = 8  # one row in so many is scanned for the score that they reach
 
 
 def _padded(x: np.ndarray) -> np.ndarray:
@@ -48,21 +52,21 @@ class AnisotropicQuantiser:
         parts = x.reshape(len(x), m, WIDTH)
         books = np.stack([parts[draw.integers(0, len(x), CENTROIDS), j] for j in range(m)]) + 1e-6 * draw.standard_normal((m, CENTROIDS, WIDTH))
         made = cls(books, max(1.0, (d - 1) * share) if weight is None else weight)
-        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        at = np.arange(m)[:, None] * CENTROIDS * WIDTH + np.arange(WIDTH)
+        u = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).reshape(len(x), m, WIDTH)
+        more = made.weight - 1
         for _ in range(rounds):
-            codes = made.encode(x)
-            # normal equations of the loss in all centroids together
-            columns = (at[None] + WIDTH * codes[:, :, None].astype(np.int64)).reshape(len(x), -1)
-            spread = np.zeros((len(x), m * CENTROIDS * WIDTH))
-            np.put_along_axis(spread, columns, u, 1)
-            counts = np.bincount(columns.ravel(), minlength=spread.shape[1])
-            left = (made.weight - 1) * spread.T @ spread
-            left[np.diag_indices_from(left)] += counts + 1e-6
-            right = np.bincount(columns.ravel(), x.ravel(), minlength=spread.shape[1])
-            right += (made.weight - 1) * spread.T @ (u * x).sum(1)
-            right += 1e-6 * made.codebooks.ravel()
-            made.codebooks = np.linalg.solve(left, right).reshape(m, CENTROIDS, WIDTH)
+            codes = np.concatenate([made.encode(x[at : at + 256]) for at in range(0, len(x), 256)])
+            parallel = sum(((parts[:, j] - made.codebooks[j][codes[:, j]]) * u[:, j]).sum(1) for j in range(m))
+            # one pair after the other: the best centroids while all other pairs stay
+            for j in range(m):
+                own, along = codes[:, j], u[:, j]
+                parallel -= ((parts[:, j] - made.codebooks[j][own]) * along).sum(1)
+                wanted = parallel + (parts[:, j] * along).sum(1)
+                right = np.stack([np.bincount(own, parts[:, j, a] + more * along[:, a] * wanted, CENTROIDS) for a in range(WIDTH)], 1)
+                left = np.stack([np.stack([np.bincount(own, more * along[:, a] * along[:, b] + (a == b), CENTROIDS) for b in range(WIDTH)], 1) for a in range(WIDTH)], 1)
+                steady = 1e-6 * np.eye(WIDTH)
+                made.codebooks[j] = np.linalg.solve(left + steady, (right + 1e-6 * made.codebooks[j])[:, :, None])[:, :, 0]
+                parallel += ((parts[:, j] - made.codebooks[j][own]) * along).sum(1)
         return made
 
     def encode(self, x: np.ndarray, passes: int = 2) -> np.ndarray:
@@ -101,6 +105,11 @@ class AnisotropicQuantiser:
         level = np.rint((products - low) / span * 255).astype(np.uint16)
         return (level[:, 0::2, None, :] + level[:, 1::2, :, None]).reshape(len(queries), -1, CENTROIDS * CENTROIDS)
 
+    def tables_of(self, queries: np.ndarray, at_once: int = 64):
+        """The table of each query, some of them made at a time."""
+        for at in range(0, len(queries), at_once):
+            yield from self.tables(queries[at : at + at_once])
+
 
 def scan(table: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Approximate scores, up to the table's own scale, of all rows for one query."""
@@ -115,48 +124,86 @@ def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.cumsum(vectors * query, axis=1)[:, -1]
 
 
-def fit_sample(rows: DataFrame, most: int = SAMPLE) -> np.ndarray:
-    some = rows.orderBy(F.xxhash64("id"), "id", "v").limit(most).select("v").collect()
+def fit_sample(rows: DataFrame, d: int, most: int = SAMPLE) -> np.ndarray:
+    """At most ``most`` vectors of ``d`` components, those of smallest hash."""
+    some = rows.where(F.size("v") == d).orderBy(F.xxhash64("id"), "id", "v").limit(most).select(F.col("v").cast("array<float>").alias("v")).collect()
     return np.array([r["v"] for r in some], np.float64)
 
 
+def build_index(rows: DataFrame, books: AnisotropicQuantiser | None, d: int, n: int) -> DataFrame:
+    """(ids, data, codes): blocks of all rows with the codes of their vectors."""
+    return blocks_of(rows, d, n, "ann-rows", lambda vectors, _: [books.pack(books.encode(as_long(vectors, d))).tobytes()], "codes binary")
+
+
+def approximate_bounds(index: DataFrame, queries: DataFrame, books: AnisotropicQuantiser | None, d: int, n: int, n_queries: int, rerank: int) -> DataFrame:
+    """(id, v, bound): each query with the approximate score that about ``rerank`` rows of the table reach."""
+    k = max(1, -(-rerank // SAMPLE_ROWS))
+
+    def sample(batches):
+        best = BestSoFar(k)
+        for batch in batches:
+            for ids, codes, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(ids, "<i8")
+                chosen = np.nonzero(_mixed(ids) % np.uint64(SAMPLE_ROWS) == 0)[0]
+                part = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(-1, len(ids))[:, chosen])
+                asked, points = unpack(q_ids, q_data)
+                for query, table in zip(asked.tolist(), books.tables_of(as_long(points, d))):
+                    scores = scan(table, part)
+                    some = np.argpartition(scores, max(0, len(scores) - k))[max(0, len(scores) - k) :]
+                    some = some[np.lexsort((ids[chosen][some], -scores[some].astype(np.int64)))]
+                    best.add(query, ids[chosen][some], scores[some].astype(np.int64))
+        yield from best.batches()
+
+    asked = queries_of(queries, n_queries, "ann-asked")
+    pairs = met(index.select("ids", "codes"), asked, n, d, 4 * SAMPLE_ROWS)
+    found = ranked(pairs.mapInArrow(sample, "query_id long, vec_id long, score long"), k).where(F.col("rank") == k)
+    # a sample with fewer rows than that gives no bound: all rows reach zero
+    return queries.join(found.select(F.col("query_id").alias("id"), "score"), "id", "left").select("id", "v", F.coalesce("score", F.lit(0)).alias("bound"))
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    mixed = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed >> np.uint64(40)
+
+
 def search(
     df: DataFrame, k: int = 20, every: int = 20, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``,
     the k nearest rows found by inner product.
 
-    Rows without an id, and vectors that are null, empty, zero or hold a null or
-    non-finite component, take no part; nor do vectors of another than the most
-    frequent length. Ties go to the smaller id. Repeated rows (id and vector) count
-    once; if an id has several vectors, its query is the smallest. An empty table
-    gives an empty result; other columns are ignored.
+    Rows without an id, and vectors that are null, zero, empty or hold a null or
+    non-finite component, take no part. Vectors of different lengths meet in the
+    components that both have; codes cover as many as the most frequent length has.
+    Ties go to the smaller id. Repeated rows (id and vector) count once; if an id has
+    several vectors, its query is the smallest. An empty table gives an empty result;
+    other columns are ignored.
     """
     rows = usable(df, id_col, vector_col, zero=False)
     d, n = dimension(rows)
-    rows = rows.where(F.size("v") == d)
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    books = AnisotropicQuantiser.fit(fit_sample(rows)) if n else None
+    books = AnisotropicQuantiser.fit(fit_sample(rows, d)) if n else None
+    index = build_index(rows, books, d, n)
+    bounded = approximate_bounds(index, queries, books, d, n, n // every + 1, rerank)
 
     def run(batches):
-        best, last, coded = BestSoFar(k), None, None
+        best, last = BestSoFar(k), None
         for batch in batches:
-            for ids, data, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns)):
+            for ids, data, codes, q_ids, q_data, q_bounds in zip(*(c.to_pylist() for c in batch.columns)):
                 if (ids, data) != last:
                     last = (ids, data)
-                    vectors, owners = distinct_vectors(*unpack(ids, data), k + 1)
-                    coded = books.pack(books.encode(vectors))
+                    own, vectors = unpack(ids, data)
+                    coded = np.frombuffer(codes, np.uint8).reshape(-1, len(own))
                 asked, points = unpack(q_ids, q_data)
-                for at in range(0, len(asked), 64):
-                    tables = books.tables(points[at : at + 64])
-                    for query, point, table in zip(asked[at : at + 64].tolist(), points[at : at + 64], tables):
-                        found = np.arange(len(vectors))
-                        if len(found) > rerank:
-                            found = np.argpartition(scan(table, coded), len(found) - rerank)[len(found) - rerank :]
-                        some, each = best_rows(query, found, exact_products(vectors[found], point), owners, k)
+                points_here = as_long(points, vectors.shape[1])
+                for query, point, bound, table in zip(asked.tolist(), points_here, np.frombuffer(q_bounds, "<i8").tolist(), books.tables_of(as_long(points, d))):
+                    found = np.nonzero(scan(table, coded) >= bound)[0]
+                    if len(found):
+                        distinct, owners = distinct_vectors(own[found], vectors[found], k + 1)
+                        some, each = best_rows(query, np.arange(len(distinct)), exact_products(distinct, point), owners, k)
                         best.add(query, some, each)
         yield from best.batches()
 
-    pairs = block_pairs(rows, queries, max(1, d), n, n // every + 1, "ann")
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    asked = queries_of(bounded, n // every + 1, "ann-queries", lambda _, others: [others[0].astype("<i8").tobytes()], "q_bounds binary")
+    found = met(index, asked, n, d).mapInArrow(run, "query_id long, vec_id long, score double")
     return ranked(found, k).select(F.col("query_id").cast("long"), F.col("rank").cast("int"), "vec_id", "score")

@@ -89,14 +89,14 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and((before, role) IN ({_FOLLOWS})) AND arg_max(role, nth) = 'assistant' AS valid
 FROM o GROUP BY conv_id""",
     "op4_topk": """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
-), c AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM v),
+WITH c AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))), false)
+), q AS (SELECT vec_id AS query_id, min(v) AS w FROM c WHERE vec_id % 100 = 0 GROUP BY 1),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM c AS q JOIN c ON q.j = c.j AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL
+  SELECT DISTINCT query_id, vec_id, CAST(coalesce(list_sum(list_transform(range(1, least(len(v), len(w)) + 1), lambda j: v[j] * w[j])), 0) AS BIGINT) AS score
+  FROM q JOIN c ON query_id <> vec_id
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",

@@ -19,45 +19,55 @@ QUERY_ROWS = 256
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
-    """(id, v array<double>) of rows that can take part: an id, and a vector that is
-    not null or empty, of finite components, and not all zero unless ``zero``."""
+    """(id, v array<double>) of rows that can take part: an id, and a vector that is not
+    null and holds only finite components; without ``zero``, one component other than zero."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
+    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad)
     return rows if zero else rows.where(F.exists("v", lambda x: x != 0))
 
 
 def dimension(rows: DataFrame) -> tuple[int, int]:
-    """(length, rows) of the most frequent vector length, the shorter on a tie; (0, 0) without rows."""
-    found = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return (found["d"], found["count"]) if found else (0, 0)
+    """(length, rows): the most frequent vector length, the shorter on a tie, and the number of rows; (0, 0) without rows."""
+    found = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d")
+    most = found.first()
+    return (most["d"], found.agg(F.sum("count")).first()[0]) if most else (0, 0)
 
 
-def packed(rows: DataFrame, d: int, block_rows: int, tag: str) -> DataFrame:
-    """(ids binary, data binary): blocks of at most ``block_rows`` rows of (id, v), written to the shared folder."""
+def packed(rows: DataFrame, tag: str, most_rows: int, more=None, schema: str = "") -> DataFrame:
+    """(ids binary, data binary, ...): blocks of rows (id, v, ...) of one length, at most ``BLOCK_BYTES``
+    and ``most_rows`` large (one row at least), written to the shared folder. ``more(vectors, others)``
+    gives the block's columns of ``schema``; ``others`` are arrays of the columns after v."""
+    extra = [c.split()[0] for c in schema.split(", ") if c]
 
     def run(batches):
-        ids, data, n = [], [], 0
+        held: dict = {}
 
-        def flush():
-            return pa.record_batch([pa.array([np.concatenate(ids).tobytes()]), pa.array([np.concatenate(data).tobytes()])], names=["ids", "data"])
+        def block(d, take):
+            ids, flat, others = held[d]
+            data = np.array(flat[:take], "<f8").reshape(take, d)
+            columns = [np.array(ids[:take], "<i8").tobytes(), data.tobytes(), *(more(data, [o[:take] for o in others]) if more else ())]
+            held[d] = (ids[take:], flat[take:], [o[take:] for o in others])
+            return pa.record_batch([pa.array([c], pa.binary()) for c in columns], names=["ids", "data", *extra])
 
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
-            at = 0
-            while at < len(own):
-                take = min(block_rows - n, len(own) - at)
-                ids.append(own[at : at + take])
-                data.append(flat[at * d : (at + take) * d])
-                n, at = n + take, at + take
-                if n == block_rows:
-                    yield flush()
-                    ids, data, n = [], [], 0
-        if n:
-            yield flush()
-
-    return materialize(rows.mapInArrow(run, "ids binary, data binary"), tag)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))])
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            others = [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
+            for d in np.unique(np.diff(starts)).tolist():
+                own = np.nonzero(np.diff(starts) == d)[0]
+                vectors = flat[starts[own][:, None] + np.arange(d)]
+                before = held.get(d, (np.zeros(0, np.int64), np.zeros((0, d)), [o[:0] for o in others]))
+                held[d] = (np.concatenate([before[0], ids[own]]), np.concatenate([before[1], vectors]), [np.concatenate([o, x[own]]) for o, x in zip(before[2], others)])
+                size = max(1, min(most_rows, BLOCK_BYTES // (8 * max(1, d))))
+                while len(held[d][0]) >= size:
+                    yield block(d, size)
+        for d in list(held):
+            if len(held[d][0]):
+                yield block(d, len(held[d][0]))
+
+    return materialize(rows.mapInArrow(run, "ids binary, data binary" + (", " + schema if schema else "")), tag)
 
 
 def unpack(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -65,15 +75,26 @@ def unpack(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return numbers, np.frombuffer(data, "<f8").reshape(len(numbers), -1)
 
 
-def block_pairs(rows: DataFrame, queries: DataFrame, d: int, n: int, n_queries: int, tag: str) -> DataFrame:
-    """(ids, data, q_ids, q_data): every block of ``rows`` with every block of ``queries``."""
-    block_rows = max(1, BLOCK_BYTES // (8 * d))
-    spread = lambda df, count, size: df.repartition(max(1, -(-count // (8 * size))))
-    blocks = packed(spread(rows, n, block_rows), d, block_rows, f"{tag}-rows")
-    asked = packed(spread(queries, n_queries, QUERY_ROWS), d, QUERY_ROWS, f"{tag}-queries")
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    # a stated query set against all rows, in blocks; Spark broadcasts the queries only below its size threshold
-    return blocks.repartition(max(8, n // (4 * block_rows))).crossJoin(asked)
+def as_long(x: np.ndarray, d: int) -> np.ndarray:
+    """Vectors of ``d`` components: the first ones, and zeros where there are fewer."""
+    return x[:, :d] if x.shape[1] >= d else np.pad(x, ((0, 0), (0, d - x.shape[1])))
+
+
+def blocks_of(rows: DataFrame, d: int, n: int, tag: str, more=None, schema: str = "") -> DataFrame:
+    size = max(1, BLOCK_BYTES // (8 * max(1, d)))
+    return packed(rows.repartition(max(1, -(-n // (8 * size)))), tag, size, more, schema)
+
+
+def queries_of(queries: DataFrame, n: int, tag: str, more=None, schema: str = "") -> DataFrame:
+    """Blocks of (id, v, ...) queries, their columns named ``q_ids``, ``q_data`` and as in ``schema``."""
+    asked = packed(queries.repartition(max(1, -(-n // (8 * QUERY_ROWS)))), tag, QUERY_ROWS, more, schema)
+    return asked.withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
+
+
+def met(blocks: DataFrame, asked: DataFrame, n: int, d: int, a_task: int = 4) -> DataFrame:
+    """Every block of rows with every block of queries, ``a_task`` blocks of rows a task: a stated query
+    set against all rows, in blocks. Spark broadcasts the queries only below its size threshold."""
+    return blocks.repartition(max(8, n // (a_task * max(1, BLOCK_BYTES // (8 * max(1, d)))))).crossJoin(asked)
 
 
 def distinct_vectors(ids: np.ndarray, data: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -81,6 +102,8 @@ def distinct_vectors(ids: np.ndarray, data: np.ndarray, most: int) -> tuple[np.n
     ascending: all that a search for the ``most`` best rows can need of copies."""
     order = np.argsort(ids, kind="stable")
     ids, data = ids[order], np.ascontiguousarray(data[order]) + 0.0  # no negative zero
+    if not data.shape[1]:
+        return data[:1], [np.unique(ids)[:most]]
     _, first, back = np.unique(data.view(f"V{data.itemsize * data.shape[1]}").ravel(), return_index=True, return_inverse=True)
     by = np.argsort(back, kind="stable")
     groups = np.split(ids[by], np.cumsum(np.bincount(back))[:-1])
@@ -105,6 +128,11 @@ class BestSoFar:
     def __init__(self, k: int):
         self.k, self.held = k, {}
 
+    def bound(self, query: int):
+        """The kth best score so far, None before there are k."""
+        found = self.held.get(query)
+        return found[1][-1] if found is not None and len(found[1]) == self.k else None
+
     def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
         if query in self.held:
             ids, scores = (np.concatenate(pair) for pair in zip(self.held[query], (ids, scores)))

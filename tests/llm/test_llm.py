@@ -101,23 +101,30 @@ def odd_vectors(n=700, d=9):
     x = r.normal(0, 1, (n, d)).astype(np.float32)
     x[100:160] = x[100]
     rows = [(k, v.tolist(), "c") for k, v in enumerate(x)]
-    return rows, rows + [(1000, None, "c"), (1100, [None] * d, "c"), (1200, [float("nan")] * d, "c"), (None, [1.0] * d, "c"), (1300, [1.0], "c"), rows[5], rows[101]]
+    short = [(5000, [1.0], "c"), (5050, [0.5] * (d + 3), "c")]
+    out = [(1000, None, "c"), (1100, [None] * d, "c"), (1200, [float("nan")] * d, "c"), (1250, [float("inf")] * d, "c"), (None, [1.0] * d, "c")]
+    return rows + short, rows + short + out + [rows[5], rows[101]]
 
 
 def brute(rows, every, k, of):
-    ids, x = np.array([r[0] for r in rows]), of(np.array([r[1] for r in rows], np.float32).astype(float))
+    ids = np.array([r[0] for r in rows])
+    x = np.zeros((len(rows), max(len(r[1]) for r in rows)))
+    for n, r in enumerate(rows):
+        x[n, : len(r[1])] = of(np.array(r[1], np.float32).astype(float))
     out = []
-    for q in ids[ids % every == 0]:
-        scores = (x * x[q]).cumsum(1)[:, -1]
-        order = [k_ for k_ in np.lexsort((ids, -scores)) if ids[k_] != q][:k]
-        out += [(int(q), n + 1, int(ids[j]), float(scores[j])) for n, j in enumerate(order)]
+    for n, q in enumerate(ids):
+        if q % every == 0:
+            scores = (x * x[n]).cumsum(1)[:, -1]
+            order = [j for j in np.lexsort((ids, -scores)) if ids[j] != q][:k]
+            out += [(int(q), rank + 1, int(ids[j]), float(scores[j])) for rank, j in enumerate(order)]
     return out
 
 
 def test_exact_top_k(spark):
     rows, odd = odd_vectors()
-    got = sorted(tuple(r) for r in topk.search(vectors(spark, odd), 10, 50).collect())
-    assert got == sorted(brute(rows, 50, 10, lambda x: np.floor(1024 * x)))
+    empty, zero = (6001, [], "c"), (6050, [0.0] * 9, "c")
+    got = sorted(tuple(r) for r in topk.search(vectors(spark, odd + [empty, zero]), 10, 50).collect())
+    assert got == sorted(brute(rows + [empty, zero], 50, 10, lambda x: np.floor(1024 * x)))
     assert topk.search(vectors(spark, odd[:0])).count() == 0
     assert topk.search(vectors(spark, odd[:1])).count() == 0
 
@@ -125,13 +132,19 @@ def test_exact_top_k(spark):
 def test_threshold_stops_early_and_is_exact():
     r = np.random.default_rng(0)
     x = (r.pareto(1.0, (5000, 4)) * 100).astype(np.int64)
-    found, scores, depth = topk.SortedLists(x).search(np.array([3, 1, 2, 5]), 10)
-    assert depth < 500 and sorted(scores)[-10:] == sorted(x @ np.array([3, 1, 2, 5]))[-10:]
-
-
-def test_ann_recall(spark):
-    rows, odd = odd_vectors(n=3000, d=33)
-    got = [tuple(r) for r in ann.search(vectors(spark, odd), 20, 50).collect()]
+    query = np.array([3, -1, 2, 5])
+    lists, best = topk.SortedLists(x), sorted(x @ query)[-10:]
+    found, scores = lists.search(query, 10)
+    assert len(found) < 1000 and sorted(scores)[-10:] == best
+    again, scores = lists.search(query, 10, int(best[0]))
+    assert len(again) <= len(found) and sorted(scores)[-10:] == best
+    assert len(lists.search(query, 10, 2 * int(best[-1]) + 10**9)[0]) == 0  # the block is skipped
+
+
+@pytest.mark.parametrize("n", [150, 3000])
+def test_ann_recall(spark, n):
+    rows, odd = odd_vectors(n=n, d=33)
+    got = [tuple(r) for r in ann.search(vectors(spark, odd + [(6050, [0.0] * 33, "c"), (6100, [], "c")]), 20, 50).collect()]
     want = brute(rows, 50, 20, lambda x: x)
     assert len(got) == len(want)
     assert len({(a, c) for a, _, c, _ in got} & {(a, c) for a, _, c, _ in want}) >= 0.9 * len(want)
@@ -140,6 +153,14 @@ def test_ann_recall(spark):
     assert ann.search(vectors(spark, odd[:0])).count() == 0
 
 
+def test_ann_recall_on_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    want = {(a, c) for a, _, c, _ in brute(rows, 20, 20, lambda x: x)}
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(table).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_anisotropic_loss_spares_the_parallel_part():
     x = np.random.default_rng(0).normal(0, 1, (2000, 32))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
