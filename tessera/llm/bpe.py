@@ -8,8 +8,8 @@ encoding. The pairs of all new words are tested together against sorted arrays o
 judged pairs; pairs not judged yet are judged once by exact merging. Words with an
 incompatible pair, and only these, are merged exactly.
 
-Judged pairs and encoded words are kept by each Python worker, the latter up to
-about ``CACHE`` entries.
+Judged pairs and encoded words are kept by each Python worker, up to ``PAIRS`` and
+about ``CACHE`` entries; a worker that has more forgets the older ones.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 CACHE = 600_000
+PAIRS = 1_000_000
 SLICE = 200_000
 SHORT = 40  # bytes of a word that is merged without a heap
 BATCH_CHARS = 4_000_000
@@ -138,8 +139,13 @@ class SpeculativeBpe:
         new = unique[self.judged[np.minimum(at, len(self.judged) - 1)] != unique]
         if len(new):
             fits = [self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b] for a, b in (divmod(int(c), self.size) for c in new)]
-            order = np.argsort(judged := np.concatenate([self.judged, new]), kind="stable")
-            self.judged, self.fits = judged[order], np.concatenate([self.fits, np.array(fits, bool)])[order]
+            if len(self.judged) > PAIRS:  # those of this batch stay
+                stay = np.zeros(len(self.judged), bool)
+                stay[0] = True
+                stay[at[self.judged[np.minimum(at, len(self.judged) - 1)] == unique]] = True
+                self.judged, self.fits = self.judged[stay], self.fits[stay]
+            place = np.searchsorted(self.judged, new)
+            self.judged, self.fits = np.insert(self.judged, place, new), np.insert(self.fits, place, fits)
             at = np.searchsorted(self.judged, unique)
         return self.fits[at][back]
 
