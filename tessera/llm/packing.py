@@ -1,9 +1,9 @@
 """Packing by lexical retrieval.
 
 Documents become token ids and an end id. They are ordered by their rarest tokens,
-so that related texts lie together, and dealt out by ranges of that order; every
-task cuts its range in shards of bounded size and builds a BM25 index of each, with
-token ids as terms. The statistics (document frequencies, mean length) are those of
+so that related texts lie together, and dealt out by ranges of that order with about
+as many tokens each; every task cuts its range in shards of bounded size and builds a
+BM25 index of each, with token ids as terms. The statistics (document frequencies, mean length) are those of
 all documents; the vocabulary bounds their size.
 
 A window starts with a seed document. The index returns the shard's unused
@@ -19,6 +19,7 @@ import json
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -146,6 +147,37 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"doc_id {kind}, ids binary, n long, order_key long")
 
 
+def dealt_by_tokens(tokens: DataFrame, n_tokens: int, task_tokens: int = TASK_TOKENS, samples: int = 64) -> DataFrame:
+    """(doc_id, ids) in tasks of about ``task_tokens`` ids, each sorted: ranges of the order key and a salt.
+
+    The salt is a hash of id and tokens, so copies, which share a key, are split between
+    ranges like others; repeated rows are told apart by their place in the written table. The limits are quantiles of the tokens, from a sample that takes a
+    row with odds in proportion to its tokens: about ``samples`` rows a task go to the driver.
+    """
+    parts = max(1, -(-n_tokens // task_tokens))
+    salt = F.xxhash64("doc_id", "ids", F.col("_metadata.row_index") % 4096)
+    keyed = tokens.withColumn("salt", salt)
+    if parts == 1:
+        return keyed.coalesce(1).sortWithinPartitions("order_key", "salt", "doc_id").select("doc_id", "ids")
+    each = max(1, n_tokens // (parts * samples))
+    drawn = keyed.where(F.pmod(F.xxhash64("salt"), F.lit(each)) < F.col("n")).select("order_key", "salt", F.greatest("n", F.lit(each)).alias("w"))
+    rows = drawn.toPandas().sort_values(["order_key", "salt"])
+    upto = rows["w"].cumsum().to_numpy()
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts) if len(rows) else np.zeros(0, int)
+    limits = rows.iloc[np.minimum(at, len(rows) - 1)][["order_key", "salt"]].to_numpy(np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(key: pd.Series, salt: pd.Series) -> pd.Series:
+        k, s = key.to_numpy(np.int64), salt.to_numpy(np.int64)
+        low, high = np.searchsorted(limits[:, 0], k), np.searchsorted(limits[:, 0], k, "right")
+        for row in np.nonzero(high > low)[0]:  # limits with the row's own key
+            low[row] += np.searchsorted(limits[low[row] : high[row], 1], s[row])
+        return pd.Series(low.astype(np.int32))
+
+    placed = keyed.withColumn("part", part_of("order_key", "salt"))
+    return placed.repartitionById(parts, "part").sortWithinPartitions("order_key", "salt", "doc_id").select("doc_id", "ids")
+
+
 def document_frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
     """Documents that have each id; added up per task first. At most ``size`` rows reach the driver."""
 
@@ -285,13 +317,13 @@ def pack_documents(
     def run(batches):
         packer = Packer(window, idf, mean_length)
         base = TaskContext.get().partitionId() << 32
-        shard, held, names, id_kind = [], 0, [], None
+        shard, held, id_kind = [], 0, None
         fields = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
         def emit(pieces):
             for at in range(0, len(pieces), 4096):
-                numbers, starts, lengths, totals, sequences, offsets, ids = zip(*pieces[at : at + 4096])
-                columns = [pa.array([names[k] for k in numbers], id_kind), *(pa.array(c, pa.int64()) for c in (starts, lengths, totals))]
+                names, starts, lengths, totals, sequences, offsets, ids = zip(*pieces[at : at + 4096])
+                columns = [pa.array(names, id_kind), *(pa.array(c, pa.int64()) for c in (starts, lengths, totals))]
                 columns += [pa.array([base + s for s in sequences], pa.int64()), pa.array(offsets, pa.int64())]
                 yield pa.record_batch([*columns, pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())], names=fields)
 
@@ -299,19 +331,15 @@ def pack_documents(
             id_kind = batch.schema.field(0).type
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 numbers = np.frombuffer(ids.as_py(), kind)
-                shard.append((len(names), numbers))
-                names.append(doc)
+                shard.append((doc, numbers))
                 held += len(numbers)
                 if held >= SHARD_TOKENS:
                     yield from emit(packer.shard(shard))
                     shard, held = [], 0
         if shard:
             yield from emit(packer.shard(shard))
-        if names:
-            yield from emit(packer.finish())
+        yield from emit(packer.finish())
 
-    # the id is part of the range key: copies share their rarest tokens, but not one task
-    order = ["order_key", "doc_id", "n", "ids"]
-    dealt = tokens.repartitionByRange(max(1, -(-n_tokens // TASK_TOKENS)), *order[:3]).sortWithinPartitions(*order).select("doc_id", "ids")
+    dealt = dealt_by_tokens(tokens, n_tokens)
     id_type = tokens.schema["doc_id"].dataType.simpleString()
     return dealt.mapInArrow(run, f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

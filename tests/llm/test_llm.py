@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import ann, bpe, chat, crf, extraction, packing, quality, simhash, topk, toxicity, warc
@@ -195,6 +196,39 @@ def test_packing_is_whole(spark):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_tasks_get_even_shares_of_the_tokens(spark):
+    r = random.Random(8)
+    rows = [(k, np.full(n := r.choice([3, 20, 20, 400]), 7, "<u2").tobytes(), n, r.choice([1, 1, 5, k])) for k in range(3000)]
+    rows += [(9, rows[0][1], rows[0][2], 1)] * 3000  # repeated rows
+    tokens = packing.materialize(spark.createDataFrame(rows, "doc_id long, ids binary, n long, order_key long"), "test-tokens")
+    total = sum(r[2] for r in rows)
+    dealt = packing.dealt_by_tokens(tokens, total, total // 12).withColumn("p", F.spark_partition_id()).withColumn("n", F.octet_length("ids") / 2)
+    shares = [(x["n"], x["c"]) for x in dealt.groupBy("p").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect()]
+    assert sum(c for _, c in shares) == len(rows) and sum(n for n, _ in shares) == total
+    assert len(shares) >= 12 and max(n for n, _ in shares) < 2 * total / 12
+
+
+def test_windows_take_the_best_unused_neighbours():
+    r = np.random.default_rng(2)
+    docs = [(k, r.integers(0, 30, r.integers(5, 30))) for k in range(60)]
+    idf, mean = r.random(30) + 0.1, 15.0
+    packer = packing.Packer(64, idf, mean)
+    pieces = packer.shard(docs)
+    lengths = np.array([len(ids) for _, ids in docs])
+    score = lambda seed, k: sum(
+        idf[t] * (tf := (docs[k][1] == t).sum()) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[k] / mean)) for t in np.unique(docs[seed][1])
+    )
+    used: set = set()
+    for sequence in sorted({p[3 + 1] for p in pieces}):
+        inside = [p for p in pieces if p[4] == sequence]
+        seed = inside[0][0]
+        used.add(seed)
+        for piece in inside[1:]:
+            left = [k for k in range(60) if k not in used]
+            assert score(seed, piece[0]) == pytest.approx(max(score(seed, k) for k in left))
+            used.add(piece[0])
+
+
 def test_word_encoder_equals_the_library():
     random = np.random.default_rng(1)
     letters = list("aZ\u00e9 \u00f1\u00d1'stredvml 09\u00b2\u00bd.,;!?-_\x00\x85\xa0\u2019\u65e5\u0130\u00df\u1e9e\u212a\u017f\u0301\u02b0\u00aa\t\n\x1c")
