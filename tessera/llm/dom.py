@@ -38,11 +38,46 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 @dataclass(slots=True)
 class Block:
     text: str
-    tags: tuple[str, ...]  # of the open elements, outermost first
+    own: str  # the innermost block-level tag
+    tags: frozenset  # of the open elements
     names: frozenset  # words of their class, id and role attributes
     linked: int  # characters within links
 
 
+class _Open:
+    """The open elements. Each entry carries what holds for all up to it, and each tag knows its
+    places, so that no step looks through the stack."""
+
+    def __init__(self, known: frozenset | None):
+        self.known, self.stack, self.places = known, [], {}
+        self.blocks: list[int] = []  # places of block-level elements
+
+    def last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+    def push(self, tag: str, names: frozenset) -> None:
+        _, own, tags, all_names = self.stack[-1] if self.stack else ("", "none", frozenset(), frozenset())
+        if self.known is not None:
+            names = names & self.known
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_TAGS:
+            own = tag
+            self.blocks.append(len(self.stack))
+        known_tag = tag in tags or self.known is not None and tag not in self.known
+        self.stack.append((tag, own, tags if known_tag else tags | {tag}, all_names if names <= all_names else all_names | names))
+
+    def pop_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+
+
 def _attribute_words(attributes: str) -> frozenset:
     if "=" not in attributes:
         return frozenset()
@@ -50,32 +85,29 @@ def _attribute_words(attributes: str) -> frozenset:
     return frozenset(_WORD.findall(_CAMEL.sub(" ", found).lower())) if found else frozenset()
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """All blocks with text, in page order; each text has its references decoded and white space joined."""
+def leaf_blocks(page: str, known: frozenset | None = None) -> list[Block]:
+    """All blocks with text, in page order; each text has its references decoded and white space
+    joined. Only tags and names among ``known`` are noted, if it is given: their number bounds the
+    work for a block, however deep it is nested."""
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    open_ = _Open(known)
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
 
     def close_block():
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-                blocks.append(Block(text, tuple(t for t, _ in stack), names, linked))
+                _, own, tags, names = open_.stack[-1] if open_.stack else ("", "none", frozenset(), frozenset())
+                blocks.append(Block(text, own, tags, names, linked))
             parts, linked = [], 0
 
-    def pop_to(k: int):
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-
     def add(text: str):
         nonlocal linked
         if text:
             parts.append(text)
-            if links:
+            if open_.last("a") >= 0:
                 linked += len(text.strip())
 
     at = 0
@@ -88,30 +120,24 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag == "br":
             add(" ")
         if m[2]:  # an end tag
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            k = open_.last(tag)
             if tag in BLOCK_TAGS:
                 close_block()
-            if k >= 0 and (tag in BLOCK_TAGS or not any(t in BLOCK_TAGS for t, _ in stack[k + 1 :])):
-                pop_to(k)
+            if k >= 0 and (tag in BLOCK_TAGS or open_.last_block() < k):
+                open_.pop_to(k)
             continue
         if tag in BLOCK_TAGS:
             close_block()
-            if tag in CLOSES_PARAGRAPH:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
-                if k >= 0 and all(t not in BLOCK_TAGS for t, _ in stack[k + 1 :]):
-                    pop_to(k)
+            if tag in CLOSES_PARAGRAPH and (k := open_.last("p")) >= 0 and open_.last_block() == k:
+                open_.pop_to(k)
             if tag in SELF_CLOSING:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in SELF_SCOPE:
-                        break
-                    if stack[i][0] in SELF_CLOSING[tag]:
-                        pop_to(i)
-                        break
-            if tag in ("body", "article", "main", "nav", "header", "footer") and stack and any(t == "head" for t, _ in stack):
-                pop_to(next(i for i, (t, _) in enumerate(stack) if t == "head"))
+                k = max(map(open_.last, SELF_CLOSING[tag]))
+                if k > max(map(open_.last, SELF_SCOPE)):
+                    open_.pop_to(k)
+            if tag in ("body", "article", "main", "nav", "header", "footer") and open_.places.get("head"):
+                open_.pop_to(open_.places["head"][0])
         if tag not in VOID_TAGS and not (m[4] or "").endswith("/"):
-            stack.append((tag, _attribute_words(m[4] or "")))
-            links += tag == "a"
+            open_.push(tag, _attribute_words(m[4] or ""))
     add(page[at:])
     close_block()
     return blocks
@@ -122,10 +148,9 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for k, b in enumerate(blocks):
         n = len(b.text)
-        own = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "none")
-        f = ["own " + own, "bias"]
-        f += ["in " + t for t in set(b.tags)]
-        f += ["name " + w for w in b.names]
+        f = ["own " + b.own, "bias"]
+        f += ["in " + t for t in sorted(b.tags)]
+        f += ["name " + w for w in sorted(b.names)]
         share = b.linked / n
         f.append("links " + ("all" if share > 0.8 else "many" if share > 0.3 else "few" if share > 0 else "none"))
         f.append(f"length {min(8, n.bit_length())}")

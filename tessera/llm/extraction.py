@@ -114,8 +114,13 @@ def trained(pages: int = TRAINING_PAGES) -> crf.LinearChain:
     return crf.train([labelled_page(r) for _ in range(pages)])
 
 
-def main_text(page: str, model: crf.LinearChain) -> str:
-    blocks = leaf_blocks(page)
+def known_words(model: crf.LinearChain) -> frozenset:
+    """The tags and names that the model has weights for."""
+    return frozenset(f.split(" ", 1)[1] for f in model.weights if f.startswith(("in ", "name ")))
+
+
+def main_text(page: str, model: crf.LinearChain, known: frozenset | None = None) -> str:
+    blocks = leaf_blocks(page, known_words(model) if known is None else known)
     labels = model.decode(block_features(blocks))
     return "\n\n".join(b.text for b, label in zip(blocks, labels) if label)
 
@@ -129,11 +134,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     str.split takes for it, no-break spaces included.
     """
     model = model or trained()
+    known = known_words(model)
 
     def run(batches):
         for batch in batches:
             for part in portions(batch, batch.num_columns - 1, 4_000_000):
-                texts = [main_text(t or "", model) for t in part.column(part.num_columns - 1).to_pylist()]
+                texts = [main_text(t or "", model, known) for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.record_batch([*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], "text"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), *keep, F.col(html_col).cast("string").alias("_html"))
