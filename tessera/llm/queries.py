@@ -100,24 +100,35 @@ s AS (
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
-    "op6_warc_revisits": """
-WITH a AS (SELECT page_id, url, '"' || md5(coalesce(html, '')) || '"' AS tag, length(coalesce(html, '')) AS n FROM pages),
-b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM a),
-k AS (
-  SELECT page_id, tag, n,
-    regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^.*@|^www[0-9]*[.]|:(80|443)$', '', 'g') ||
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '^[^/?]*', ''),
-      '([?&])(utm_[a-z]+|gclid|fbclid|sessionid|phpsessid|jsessionid)=[^&]*', '\\1', 'g'), '&&+', '&', 'g'), '[?]&', '?', 'g'), '[?&/]+$', '') AS canonical
+    "op6_warc_revisits": r"""
+WITH e AS (
+  SELECT page_id AS p, length(coalesce(html, '')) AS n, CASE WHEN page_id % 5 <> 0 THEN '"' || md5(coalesce(html, '')) || '"' END AS tag,
+    CASE WHEN page_id % 5 = 0 THEN 'day ' || (page_id % 3)::VARCHAR END AS modified,
+    CASE WHEN page_id % 4 = 0 THEN url ELSE regexp_extract(url, '^[^/]*//[^/?#]*') || '/shared/' || (page_id % 8)::VARCHAR || '?b=1&utm_source=x&a=' || (page_id % 2)::VARCHAR END AS url
+  FROM pages
+), t AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS trimmed FROM e),
+b AS (SELECT *, lower(regexp_extract(trimmed, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_replace(trimmed, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM t),
+h AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^.*@', ''), '^www[0-9]*[.]', ''),
+      CASE scheme WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' WHEN '' THEN ':(80|443)$' ELSE '^$' END, '') AS host,
+    regexp_replace(regexp_extract(regexp_replace(bare, '^[^/?]*', ''), '^[^?]*'), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '^[^?]*[?]?', ''), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|sessionid|phpsessid|jsessionid)(=|$)'))), '&') AS query
   FROM b
-), r AS (SELECT canonical, page_id, page_id AS at, 2 * page_id AS id, tag, n FROM k),
-x AS (
-  SELECT v.page_id, v.canonical, v.tag, max(r.page_id) AS source
-  FROM k AS v LEFT JOIN r ON r.canonical = v.canonical AND (r.page_id < v.page_id + 7 OR (r.page_id = v.page_id + 7 AND 2 * r.page_id < 2 * v.page_id + 1)) GROUP BY ALL
-), y AS (SELECT x.*, r.tag AS stored, r.n FROM x LEFT JOIN r ON r.page_id = x.source)
-SELECT 2 * page_id + 1 AS record_id, canonical,
-  CASE WHEN source IS NULL THEN 'missing' WHEN stored = tag THEN 'resolved' ELSE 'mismatch' END AS status,
-  CASE WHEN stored = tag THEN 2 * source END AS source_id,
-  CASE WHEN stored = tag THEN CAST(n AS VARCHAR) ELSE '0' END AS content_length,
-  CAST(page_id + 7 AS VARCHAR) AS date, CASE WHEN stored = tag THEN 'a' END AS server
-FROM y""",
+), k AS (SELECT p, n, tag, modified, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical FROM h),
+r AS (
+  SELECT canonical, 2 * p AS id, 10 * p AS dated, true AS full_, tag, modified, n FROM k
+  UNION ALL SELECT canonical, 2 * p + 1, CASE WHEN p % 11 = 0 THEN 10 * p - 5 ELSE 10 * p + 355 END, false,
+    CASE WHEN p % 13 <> 0 THEN tag END, CASE WHEN p % 13 <> 0 THEN modified END, n FROM k
+), f AS (
+  SELECT *, last_value(CASE WHEN full_ THEN {'id': id, 'tag': tag, 'modified': modified, 'n': n} END IGNORE NULLS) OVER (
+    PARTITION BY canonical ORDER BY dated, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM r
+), x AS (
+  SELECT *, CASE WHEN s IS NULL THEN 'missing' WHEN tag = s.tag THEN 'resolved' WHEN tag <> s.tag THEN 'mismatch'
+    WHEN modified = s.modified THEN 'resolved' WHEN modified <> s.modified THEN 'mismatch' ELSE 'unverified' END AS status FROM f WHERE NOT full_
+)
+SELECT id AS record_id, canonical, status, CASE WHEN status IN ('resolved', 'unverified') THEN s.id END AS source_id,
+  CASE WHEN status IN ('resolved', 'unverified') THEN s.n::VARCHAR ELSE '0' END AS content_length, dated::VARCHAR AS date,
+  CASE WHEN status IN ('resolved', 'unverified') THEN 'a' END AS server
+FROM x""",
 }

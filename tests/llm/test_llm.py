@@ -375,3 +375,20 @@ def test_revisits(spark):
         }
         assert got[3]["headers"] == {"server": "a", "content-length": "9", "date": "5", "x": "y"}
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_canonical_addresses(spark):
+    pairs = [
+        ("http://me:pw@www2.A.com:80/p/?b=2&utm_source=z&a=1#f", "a.com/p?a=1&b=2"), ("https://a.com:443", "a.com"), ("http://a.com:443/", "a.com:443"), ("https://a.com:80/x//", "a.com:80/x"),
+        ("a.com:80/?gclid", "a.com"), ("ftp://a.com:80/", "a.com:80"), ("http://a.com/?x=1?y&&", "a.com?x=1?y"), ("", ""), (None, None),
+    ]
+    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(pairs)], "k int, u string")
+    assert [r[0] for r in df.orderBy("k").select(warc.canonical_url(F.col("u"))).collect()] == [want for _, want in pairs]
+
+
+def test_revisits_of_repeated_rows_with_other_columns(spark):
+    h = {"server": "a"}
+    rows = [(1, "response", "a.com", 1, "t", None, h, "x"), (1, "response", "a.com", 1, "t", None, {"server": "b"}, "x"), (2, "revisit", "a.com", 2, "t", None, None, "y")] * 2
+    df = spark.createDataFrame(rows, "record_id long, kind string, url string, date long, etag string, last_modified string, headers map<string,string>, status string")
+    got = warc.resolve_revisits(df).collect()
+    assert [(r["record_id"], r["status"], r["source_id"], r["headers"]) for r in got] == [(2, "resolved", 1, h)] * 2
