@@ -56,9 +56,11 @@ def pseudonym(vin: Column) -> Column:
     return F.concat(F.lit("V-"), F.upper(F.substring(F.sha2(vin, 256), 1, 8)))
 
 
-def slug(title: Column) -> Column:
-    """Lower case; runs of other than a-z, 0-9 become single dashes; none at the ends; at most 80 characters."""
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
+def slug(title: Column, most: int = 80) -> Column:
+    """Lower case; runs of other than a-z, 0-9 and CJK letters become single dashes; none at the ends;
+    more than ``most`` characters are cut at a dash, if there is one."""
+    whole = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9\u2E80-\u9FFF\uF900-\uFAFF-]+", "-"), "^-+|-+$", "")
+    return F.when(F.length(whole) <= most, whole).otherwise(F.regexp_replace(F.substring(whole, 1, most), "-[^-]*$", ""))
 
 
 def token_estimate(text: Column) -> Column:

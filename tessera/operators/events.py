@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.statistics import KEYS, by_time
 
+GRID_RUN = 4096  # grid points that one row spreads to
+
 
 def condition(kind: str, threshold: float | None = None) -> Column:
     """Whether a row of (us, value, before, before_us) meets a predicate; null values meet only ``missing``.
@@ -75,13 +77,16 @@ def resample(rows: DataFrame, step_us: int, fill: str = "interpolate") -> DataFr
     must be averaged before.
     """
     span = rows.groupBy(*KEYS).agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    grid = span.select(*KEYS, F.explode(F.sequence("lo", "hi", F.lit(step_us).cast("long"))).alias("us"))
+    # the grid in runs of bounded length: one array for a long series would not fit in a row
+    runs = span.withColumn("first", F.explode(F.sequence("lo", "hi", F.lit(step_us * GRID_RUN).cast("long"))))
+    upto = F.least(F.col("hi"), F.col("first") + step_us * (GRID_RUN - 1))
+    grid = runs.select(*KEYS, F.explode(F.sequence("first", upto, F.lit(step_us).cast("long"))).alias("us"))
     both = rows.select(*KEYS, "us", "value", F.lit(0).alias("is_grid")).unionByName(grid.select(*KEYS, "us", F.lit(None).cast("double").alias("value"), F.lit(1).alias("is_grid")))
-    order = Window.partitionBy(*KEYS).orderBy("us", "is_grid")
     point = F.when(F.col("is_grid") == 0, F.struct("us", "value"))
-    # a row at a grid point sorts before it, so looking back finds it; the look ahead starts with that point's own time
-    x = both.withColumn("l", F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("r", F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("is_grid = 1")
+    # a row at a grid point sorts before it, so looking back finds it; the look ahead runs from the end, in the opposite order
+    back = Window.partitionBy(*KEYS).orderBy("us", "is_grid").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*KEYS).orderBy(F.desc("us"), F.desc("is_grid")).rowsBetween(Window.unboundedPreceding, 0)
+    x = both.withColumn("l", F.last(point, ignorenulls=True).over(back)).withColumn("r", F.last(point, ignorenulls=True).over(ahead)).where("is_grid = 1")
     on = F.col("l.us") == F.col("us")
     share = (F.col("us") - F.col("l.us")) / (F.col("r.us") - F.col("l.us"))
     value = {

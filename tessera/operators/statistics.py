@@ -40,18 +40,18 @@ def profile(rows: DataFrame) -> DataFrame:
     n = F.count("value")
     share = [c / n for c in counts]
     bits = sum((F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in share[1:]), F.when(share[0] > 0, -share[0] * F.log2(share[0])).otherwise(0.0))
-    q = lambda p: F.percentile("value", F.lit(p))
+    levels = [5, 25, 50, 75, 95]
     # not corr(), which fails where there is no variance
     after = F.when(F.col("before").isNotNull(), F.col("value"))
     pearson = F.try_divide(F.covar_pop("before", "value"), F.stddev_pop(after) * F.stddev_pop("before"))
     out = x.groupBy(*KEYS).agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        q(0.05).alias("p5"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), q(0.95).alias("p95"),
+        F.percentile("value", F.array(*[F.lit(p / 100) for p in levels])).alias("levels"),
         F.when(n >= 3, pearson).alias("autocorrelation"),
         F.avg(change).alias("mean_abs_change"), F.max(change).alias("max_abs_change"),
         F.avg(F.col("value") * F.col("value")).alias("energy"), F.when(n >= 2, bits).alias("entropy"), n.alias("valid_count"),
     )
-    return out
+    return out.withColumns({f"p{p}": F.col("levels")[k] for k, p in enumerate(levels)}).drop("levels")
 
 
 def window_stats(rows: DataFrame) -> DataFrame:
@@ -84,7 +84,8 @@ def density(rows: DataFrame, usable: Column) -> DataFrame:
     """Share of usable values per signal, and a label for it."""
     out = rows.groupBy("signal").agg(F.count("*").alias("total"), F.count(F.when(usable, 1)).alias("valid"))
     share = F.col("valid") / F.col("total")
-    label = F.when(F.col("valid") == 0, "all N/A").when(share >= 0.5, "dense").when(share >= 0.1, "sparse").otherwise("very sparse")
+    percent = F.concat(F.lit(" ("), F.floor(100 * F.col("valid") / F.col("total")).cast("string"), F.lit("%)"))
+    label = F.when(F.col("valid") == 0, "all N/A").when(share >= 0.99, "dense").when(share >= 0.5, F.concat(F.lit("sparse"), percent)).otherwise(F.concat(F.lit("very sparse"), percent))
     return out.withColumn("density", share).withColumn("label", label)
 
 

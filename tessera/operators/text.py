@@ -43,10 +43,14 @@ def coverage(baseline: DataFrame, emitted: DataFrame) -> DataFrame:
 
 
 def iterations(turns: DataFrame) -> DataFrame:
-    """(conv_id, iteration, n_turns, n_chars): a user's turn starts a step, the turns after it belong to it."""
+    """(conv_id, iteration, n_turns, n_chars) of turns(conv_id, turn, role, text, calls_tools): an
+    assistant's turn that calls tools opens a step and what follows belongs to it, until the next
+    one or a plain assistant turn, which closes it. Turns outside of steps are left out."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    x = turns.withColumn("iteration", F.sum((F.col("role") == "user").cast("int")).over(order))
-    return x.groupBy("conv_id", "iteration").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
+    assistant, calls = F.col("role") == "assistant", F.coalesce("calls_tools", F.lit(False))
+    x = turns.withColumn("step", F.when(assistant, calls)).withColumn("mark", F.sum(assistant.cast("int")).over(order))
+    steps = x.groupBy("conv_id", "mark").agg(F.max("step").alias("step"), F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars")).where("step")
+    return steps.withColumn("iteration", F.row_number().over(Window.partitionBy("conv_id").orderBy("mark")).cast("long")).select("conv_id", "iteration", "n_turns", "n_chars")
 
 
 def paragraph_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

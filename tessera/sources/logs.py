@@ -1,8 +1,8 @@
 """Readers of vehicle logs: five text formats to one long table.
 
 A log file is one row (session, body); its lines, header and format are columns of
-that row, so reading needs no shuffle. Files are small and many. Only the format
-that repeats rows needs a window, over each file's rows.
+that row. Files are small and many. One window over each file's rows finds rows that
+repeat the one before, which one of the formats drops.
 """
 
 from __future__ import annotations
@@ -157,8 +157,8 @@ def rows(files: DataFrame, all_channels: bool = False) -> DataFrame:
     x = x.withColumn("time", F.get(F.filter("pairs", is_time), F.lit(0))["raw"]).withColumn("pairs", F.filter("pairs", lambda p: ~is_time(p)))
     # one format repeats rows: those equal to the row before go
     order = Window.partitionBy("session_id").orderBy("row_id")
-    repeats = x.where(F.col("format") == "csvlog_obdwiz").withColumn("before", F.lag("pairs").over(order)).where("before IS NULL OR pairs <> before").drop("before")
-    x = x.where(F.col("format") != "csvlog_obdwiz").unionByName(repeats)
+    repeated = (F.col("format") == "csvlog_obdwiz") & F.coalesce(F.lag("pairs").over(order) == F.col("pairs"), F.lit(False))
+    x = x.withColumn("repeated", repeated).where("NOT repeated").drop("repeated")
     plain_time = F.try_to_timestamp(F.regexp_replace(F.replace("time", F.lit("T"), F.lit(" ")), r"[.][^.]*$", ""), F.lit("yyyy-MM-dd HH:mm:ss"))
     x = x.withColumn("ts", F.when(F.col("format") == "csvlog_obdwiz", _chinese_time(F.col("time"))).otherwise(plain_time)).where("ts IS NOT NULL")
     x = x.select("session_id", "format", F.col("row_id").cast("long").alias("row_id"), "ts", F.explode("pairs").alias("p")).select("*", "p.*").drop("p")
