@@ -247,7 +247,7 @@ UNION ALL SELECT session, 'NEG_1', 'negative', 'low', 3 FROM w WHERE NOT pe""")
 def rule_findings(spark, sf_dir):
     """A6, A7, J17, D3."""
     p = statistics.valid(signals(spark, sf_dir)).groupBy("session", "signal").agg(F.avg("value").alias("mean"), F.max("value").alias("max"))
-    return rules.evaluate(p, RULES, ["mean", "max"])
+    return rules.evaluate(p, RULES, ["mean", "max"]).select("session", "rule", "category", "severity", "nth")
 
 
 @query("""
@@ -463,4 +463,5 @@ def isolation_forest(spark, sf_dir):
     return detectors.isolation_forest(wide, "session", "day", ["view", "click", "purchase", "signup", "error"])
 
 
-import tessera.plans.documents  # noqa: E402, F401 registers its queries
+import tessera.plans.documents  # noqa: E402, F401 these register their queries
+import tessera.plans.signals  # noqa: E402, F401
