@@ -465,3 +465,4 @@ def isolation_forest(spark, sf_dir):
 
 import tessera.plans.documents  # noqa: E402, F401 these register their queries
 import tessera.plans.signals  # noqa: E402, F401
+import tessera.plans.evaluation  # noqa: E402, F401
