@@ -27,11 +27,11 @@ def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def tagged_union(tables: dict[str, DataFrame]) -> DataFrame:
-    """All rows of several tables with the same columns, each with its table's name as ``tab``."""
+    """All rows of several tables, each with its table's name as ``tab``; a column that a table lacks is null."""
     out = None
     for name, rows in tables.items():
         tagged = rows.withColumn("tab", F.lit(name))
-        out = tagged if out is None else out.unionByName(tagged)
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
     return out
 
 

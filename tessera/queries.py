@@ -467,3 +467,4 @@ import tessera.plans.documents  # noqa: E402, F401 these register their queries
 import tessera.plans.signals  # noqa: E402, F401
 import tessera.plans.evaluation  # noqa: E402, F401
 import tessera.plans.streams  # noqa: E402, F401
+import tessera.plans.tables  # noqa: E402, F401
