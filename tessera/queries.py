@@ -468,3 +468,4 @@ import tessera.plans.signals  # noqa: E402, F401
 import tessera.plans.evaluation  # noqa: E402, F401
 import tessera.plans.streams  # noqa: E402, F401
 import tessera.plans.tables  # noqa: E402, F401
+import tessera.plans.texts  # noqa: E402, F401
