@@ -45,43 +45,45 @@ def pelt(x: np.ndarray, penalty: float = 3.0, min_size: int = 10, scale: float |
     return found[::-1]
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Valid values of each series of 20 or more with their position ``k``, the sum ``before``
-    them and the series' n, extent and total, all sums over values less the series' least.
+def _filled(rows: DataFrame, least: int = 20) -> DataFrame:
+    """(session, signal, us, value, n, extent, k): the rows of each series with ``least`` valid values or more that differ, numbered
+    from 0 in order of time, a missing value filled with the one before, at the start with the first.
 
-    Positions are counted within spans of time and added up over spans, so no task orders a long series.
+    Positions and values to fill with are found within spans of time and carried over spans, so no
+    task orders a long series.
     """
-    x = rows.where(F.col("value").isNotNull() & ~F.isnan("value")).select("session", "signal", "us", "row_id", F.col("value").cast("double").alias("value"))
+    v = F.col("value").cast("double")
+    x = rows.select("session", "signal", "us", "row_id", F.when(~F.isnan(v), v).alias("value"))
     key = ["session", "signal"]
-    stats = x.groupBy(key).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    stats = stats.where("n >= 20 AND hi > lo")
+    at = F.struct("us", "row_id")
+    stats = x.groupBy(key).agg(
+        F.count("*").alias("n"), F.count("value").alias("valid"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+        F.min_by("value", F.when(F.col("value").isNotNull(), at)).alias("first"),
+    )
+    stats = stats.where((F.col("valid") >= least) & (F.col("hi") > F.col("lo")))
     span = F.floor((F.col("us") - F.col("first_us")) / F.greatest(F.lit(1.0), (F.col("last_us") - F.col("first_us")) / F.ceil(F.col("n") / CORE)))
-    x = x.join(stats, key).withColumn("span", span).withColumn("v", F.col("value") - F.col("lo"))
-    spans = x.groupBy(*key, "span").agg(F.count("*").alias("c"), F.sum("v").alias("s"))
+    x = x.join(stats, key).withColumn("span", span)
+    spans = x.groupBy(*key, "span").agg(F.count("*").alias("c"), F.max_by("value", F.when(F.col("value").isNotNull(), at)).alias("v"))
     up = Window.partitionBy(key).orderBy("span")
-    spans = spans.select(
-        *key, "span", (F.sum("c").over(up) - F.col("c")).alias("c0"), (F.sum("s").over(up) - F.col("s")).alias("s0"), F.sum("s").over(Window.partitionBy(key)).alias("total")
-    )
+    spans = spans.select(*key, "span", (F.sum("c").over(up) - F.col("c")).alias("c0"), F.last("v", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("v0"))
     inside = Window.partitionBy(*key, "span").orderBy("us", "row_id")
-    x = x.withColumn("i", F.row_number().over(inside) - 1).withColumn("r", F.sum("v").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("v"))
-    return x.join(spans, [*key, "span"]).select(
-        *key, "us", "value", "n", (F.col("hi") - F.col("lo")).alias("extent"), "total", (F.col("c0") + F.col("i")).alias("k"), (F.col("s0") + F.col("r")).alias("before")
-    )
+    x = x.withColumn("i", F.row_number().over(inside) - 1).withColumn("near", F.last("value", ignorenulls=True).over(inside))
+    filled = F.coalesce("near", "v0", "first")
+    return x.join(spans, [*key, "span"]).select(*key, "us", filled.alias("value"), "n", (F.col("hi") - F.col("lo")).alias("extent"), (F.col("c0") + F.col("i")).alias("k"))
 
 
 def change_points(rows: DataFrame, penalty: float = 3.0, min_size: int = 10) -> DataFrame:
-    """(session, signal, at_us, score): level shifts of each series of 20 valid values or more.
-
-    The score is the shift between the means of the neighbouring segments over the
-    series' range. A series of more than ``MAX_POINTS`` values is searched in pieces
-    that overlap by half, spread over tasks, with one kernel width of the whole
-    series (of ``MAX_POINTS`` evenly spaced values). Each piece decides on the
-    ``CORE`` values in its middle and ``min_size`` beyond; of the shifts closer than
-    ``min_size`` that neighbouring pieces find, one stays.
+    """A2: (session, signal, at_us, start_us, end_us, shift, score): level shifts of each series of 20 valid values or more.
+
+    Missing values are filled from their neighbours. The window is ``max(min_size // 2, 2)`` rows at either side of the
+    shift, the shift the difference of their means, the score that over the series' range, at most 1. A series of more
+    than ``MAX_POINTS`` values is searched in pieces that overlap by half, spread over tasks, with one kernel width of
+    the whole series (of ``MAX_POINTS`` evenly spaced values). Each piece decides on the ``CORE`` values in its middle
+    and ``min_size`` beyond; of the shifts closer than ``min_size`` that neighbouring pieces find, one stays.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     key, kind = ["session", "signal"], f"session {kinds['session']}, signal {kinds['signal']}"
-    x = _numbered(rows)
+    x, half = _filled(rows), max(min_size // 2, 2)
 
     def width(group: pd.DataFrame) -> pd.DataFrame:
         v = group.sort_values("k")["value"].to_numpy(float)
@@ -95,19 +97,24 @@ def change_points(rows: DataFrame, penalty: float = 3.0, min_size: int = 10) ->
     last = F.when(F.col("n") <= MAX_POINTS, 0).otherwise(F.ceil(F.col("n") / CORE) - 1)
     low, high = (F.least(F.greatest(F.floor((F.col("k") + d) / CORE), F.lit(0)), last).cast("int") for d in (-margin, margin))
     pieces = x.join(widths, key).withColumn("piece", F.explode(F.sequence(low, high)))
+    fields = [*key, "k", "us", "start_us", "end_us", "shift", "score", "own"]
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("k")
         one, piece, n = g.iloc[0], int(g["piece"].iloc[0]), int(g["n"].iloc[0])
-        cuts = pelt((g["value"].to_numpy(float) - one["mean"]) / (one["std"] or 1.0), penalty, min_size, float(one["scale"]))
-        found = g.iloc[cuts]
+        v, us, k = g["value"].to_numpy(float), g["us"].to_numpy(), g["k"].to_numpy()
+        cuts = np.array(pelt((v - one["mean"]) / (one["std"] or 1.0), penalty, min_size, float(one["scale"])), int)
         start, end = (0, n) if n <= MAX_POINTS else (piece * CORE, (piece + 1) * CORE)
-        found = found[(found["k"] >= start - min_size) & (found["k"] < end + min_size)]
-        return found.assign(own=(found["k"] >= start) & (found["k"] < end))[[*key, "n", "extent", "total", "k", "us", "before", "own"]]
-
-    fields = f"{kind}, n long, extent double, total double, k long, us long, before double, own boolean"
-    found = pieces.groupBy(*key, "piece").applyInPandas(search, fields)
-    found = found.groupBy(*key, "n", "extent", "total", "k", "us", "before").agg(F.max("own").alias("own"))
+        cuts = cuts[(k[cuts] >= start - min_size) & (k[cuts] < end + min_size)] if len(cuts) else cuts
+        shift = np.array([abs(v[c : c + half].mean() - v[max(0, c - half) : c].mean()) for c in cuts], float)
+        return g.iloc[cuts].assign(
+            start_us=us[np.maximum(cuts - half, 0)], end_us=us[np.minimum(cuts + half - 1, len(us) - 1)], shift=shift,
+            score=np.minimum(1.0, shift / one["extent"]), own=(k[cuts] >= start) & (k[cuts] < end),
+        )[fields]
+
+    schema = f"{kind}, k long, us long, start_us long, end_us long, shift double, score double, own boolean"
+    found = pieces.groupBy(*key, "piece").applyInPandas(search, schema)
+    found = found.groupBy(*fields[:-1]).agg(F.max("own").alias("own"))
     order = Window.partitionBy(key).orderBy("k")
     far = F.coalesce((F.col("k") - F.lag("k").over(order) >= min_size).cast("int"), F.lit(1))
     found = found.withColumn("far", far).withColumn("island", F.sum("far").over(order))
@@ -117,13 +124,10 @@ def change_points(rows: DataFrame, penalty: float = 3.0, min_size: int = 10) ->
         for at, k in group.sort_values(["own", "k"], ascending=[False, True])["k"].items():
             if all(abs(k - group["k"][other]) >= min_size for other in kept):
                 kept.append(at)
-        return group.loc[kept, [*key, "n", "extent", "total", "k", "us", "before", "own"]]
+        return group.loc[kept, fields]
 
-    cuts = found.drop("far").groupBy(*key, "island").applyInPandas(settle, fields)
-    edge = lambda f, column, other: F.coalesce(f(column).over(order), other)
-    left = (F.col("before") - edge(F.lag, "before", F.lit(0.0))) / (F.col("k") - edge(F.lag, "k", F.lit(0)))
-    right = (edge(F.lead, "before", F.col("total")) - F.col("before")) / (edge(F.lead, "k", F.col("n")) - F.col("k"))
-    return cuts.select(*key, F.col("us").alias("at_us"), F.least(F.lit(1.0), F.abs(right - left) / F.col("extent")).alias("score"))
+    cuts = found.drop("far").groupBy(*key, "island").applyInPandas(settle, schema)
+    return cuts.select(*key, F.col("us").alias("at_us"), "start_us", "end_us", "shift", "score")
 
 
 def _mean_depth(n: np.ndarray) -> np.ndarray:
@@ -131,44 +135,97 @@ def _mean_depth(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42) -> np.ndarray:
-    """Anomaly scores 0..1 of the rows of ``x`` by random isolation trees; near 1 is odd."""
+TREES, TREE_ROWS, POOL = 100, 256, 4096  # trees of a forest, rows that each is grown on, rows of a session that these are drawn from at most
+
+
+def grow(x: np.ndarray, trees: int = TREES, sample: int = TREE_ROWS, seed: int = 42) -> list[np.ndarray]:
+    """Isolation trees on random rows of ``x``: arrays of (column or -1, cut, left, right, depth at a leaf), one row a node."""
     draw = np.random.default_rng(seed)
     size = min(sample, len(x))
-    depth_limit = int(np.ceil(np.log2(max(2, size))))
-    depths = np.zeros(len(x))
+    limit = int(np.ceil(np.log2(max(2, size))))
+    forest = []
     for _ in range(trees):
-        stack = [(draw.choice(len(x), size, replace=False), np.arange(len(x)), 0)]
+        nodes: list = [None]
+        stack = [(0, draw.choice(len(x), size, replace=False), 0)]
         while stack:
-            chosen, rows, depth = stack.pop()
-            low, high = (x[chosen].min(0), x[chosen].max(0)) if len(chosen) else (None, None)
-            split = np.nonzero(high > low)[0] if len(chosen) > 1 and depth < depth_limit else []
-            if not len(split) or not len(rows):
-                depths[rows] += depth + _mean_depth(len(chosen))
+            at, rows, depth = stack.pop()
+            low, high = x[rows].min(0), x[rows].max(0)
+            wide = np.nonzero(high > low)[0]
+            if len(rows) <= 1 or depth >= limit or not len(wide):
+                nodes[at] = (-1, 0.0, 0, 0, depth + float(_mean_depth(len(rows))))
                 continue
-            j = draw.choice(split)
+            j = draw.choice(wide)
             cut = draw.uniform(low[j], high[j])
-            a, b = x[chosen, j] < cut, x[rows, j] < cut
-            stack += [(chosen[a], rows[b], depth + 1), (chosen[~a], rows[~b], depth + 1)]
-    return 2 ** (-depths / trees / max(1e-9, float(_mean_depth(size))))
-
-
-def isolation_forest(wide: DataFrame, key: str, at: str, columns: list[str], share: float = 0.05) -> DataFrame:
-    """(key, at, score, top): the ``share`` most isolated rows of each key with 30 rows or more
-    and two varying columns, with the column of the largest deviation. Nulls count as the mean."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(at)
-        x = g[columns].astype(float)
-        x = x.loc[:, x.std(ddof=0) > 0].fillna(x.mean())
-        if len(x) < 30 or x.shape[1] < 2:
-            return pd.DataFrame(columns=[key, at, "score", "top"])
-        z = ((x - x.mean()) / x.std(ddof=0)).to_numpy()
-        scores = isolation_scores(z)
-        keep = np.sort(np.argsort(-scores, kind="stable")[: max(1, int(share * len(x)))])
-        top = [str(x.columns[k]) for k in np.abs(z[keep]).argmax(1)]
-        chosen = g.iloc[keep]
-        return pd.DataFrame({key: chosen[key].tolist(), at: chosen[at].tolist(), "score": scores[keep].tolist(), "top": top})
-
-    kinds = {f.name: f.dataType.simpleString() for f in wide.schema}
-    return wide.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {at} {kinds[at]}, score double, top string")
+            below = x[rows, j] < cut
+            nodes[at] = (j, cut, len(nodes), len(nodes) + 1, 0.0)
+            stack += [(len(nodes), rows[below], depth + 1), (len(nodes) + 1, rows[~below], depth + 1)]
+            nodes += [None, None]
+        forest.append(np.array(nodes, float))
+    return forest
+
+
+def isolation_scores(x: np.ndarray, forest: list[np.ndarray] | None = None, size: int | None = None) -> np.ndarray:
+    """Anomaly scores 0..1 of the rows of ``x``; near 1 is odd. ``size`` is the number of rows that each tree was grown on."""
+    forest = grow(x) if forest is None else forest
+    size = min(TREE_ROWS, len(x)) if size is None else size
+    depths = np.zeros(len(x))
+    for tree in forest:
+        at = np.zeros(len(x), int)
+        while True:
+            column = tree[at, 0].astype(int)
+            inner = np.nonzero(column >= 0)[0]
+            if not len(inner):
+                break
+            node = at[inner]
+            at[inner] = np.where(x[inner, column[inner]] < tree[node, 1], tree[node, 2], tree[node, 3]).astype(int)
+        depths += tree[at, 4]
+    return 2 ** (-depths / len(forest) / max(1e-9, float(_mean_depth(size))))
+
+
+def isolation_forest(wide: DataFrame, key: str, at: str, columns: list[str], share: float = 0.05, least: int = 30, most_signals: int = 5) -> DataFrame:
+    """(key, start, end, n_rows, signals, score): the runs of neighbouring rows among the ``share`` most isolated ones of
+    each key with ``least`` rows or more and two varying columns. A missing value is filled with the one before, at the start with the
+    next; columns count as deviations from the key's mean. A run's signals are the ``most_signals`` of largest mean deviation,
+    its score how far the rows lie above the key's limit on average, 0 to 1.
+
+    A key's forest is grown in one task, on at most ``POOL`` of its rows; rows are scored wherever they are.
+    """
+    back = Window.partitionBy(key).orderBy(at)
+    ahead = Window.partitionBy(key).orderBy(F.desc(at))
+    x = wide.select(key, at, *[F.coalesce(F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(ahead)).cast("double").alias(c) for c in columns])
+    stats = x.groupBy(key).agg(F.count("*").alias("n_"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
+    varying = F.array_compact(F.array(*[F.when(F.col(f"s_{c}") > 0, F.lit(c)) for c in columns]))
+    stats = stats.where((F.col("n_") >= least) & (F.size(varying) >= 2))
+    z = [F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")), F.lit(0.0)) for c in columns]
+    x = x.join(stats, key).select(key, at, F.array(*z).alias("z"), varying.alias("varying"), "n_")
+    kinds = {f.name: f.dataType.simpleString() for f in x.schema}
+    # about POOL rows a key, by a hash of their place, so that no window counts a long series
+    pool = x.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(at).cast("string")), F.col("n_")) < POOL)
+
+    def forest_of(group: pd.DataFrame) -> pd.DataFrame:
+        rows = np.array(group.sort_values(at)["z"].tolist(), float)
+        forest = grow(rows)
+        return pd.DataFrame({key: [group[key].iloc[0]], "sizes": [[len(t) for t in forest]], "trees": [np.concatenate(forest).astype("<f8").tobytes()], "size": [min(TREE_ROWS, len(rows))]})
+
+    forests = pool.groupBy(key).applyInPandas(forest_of, f"{key} {kinds[key]}, sizes array<int>, trees binary, size int")
+
+    @F.pandas_udf("double")
+    def score_of(z: pd.Series, sizes: pd.Series, trees: pd.Series, size: pd.Series) -> pd.Series:
+        out = np.zeros(len(z))
+        for content, rows in trees.groupby(trees).groups.items():
+            nodes = np.frombuffer(content, "<f8").reshape(-1, 5)
+            forest = np.split(nodes, np.cumsum(sizes[rows[0]])[:-1])
+            out[z.index.get_indexer(rows)] = isolation_scores(np.array(z[rows].tolist(), float), forest, int(size[rows[0]]))
+        return pd.Series(out)
+
+    # rows of a key lie together, so a task reads a forest, some 0.2 MB, with few keys at a time
+    scored = x.join(forests, key).select(key, at, "z", "varying", score_of("z", "sizes", "trees", "size").alias("s"))
+    limits = scored.groupBy(key).agg(F.percentile("s", F.lit(1 - share)).alias("limit"))
+    y = scored.join(limits, key).withColumn("odd", F.col("s") > F.col("limit"))
+    opens = F.col("odd") & ~F.coalesce(F.lag("odd").over(back), F.lit(False))
+    y = y.withColumn("run", F.sum(opens.cast("int")).over(back)).where("odd")
+    deviations = [F.avg(F.abs(F.col("z")[k])).alias(f"d_{c}") for k, c in enumerate(columns)]
+    runs = y.groupBy(key, "run").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n_rows"), F.avg(F.col("s") - F.col("limit")).alias("score"), F.any_value("varying").alias("varying"), *deviations)
+    ranked = F.array_sort(F.array(*[F.struct((-F.col(f"d_{c}")).alias("d"), F.lit(c).alias("signal")) for c in columns]))
+    top = F.slice(F.filter(F.transform(ranked, lambda r: r["signal"]), lambda s: F.array_contains("varying", s)), 1, most_signals)
+    return runs.select(key, "start", "end", "n_rows", top.alias("signals"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias("score"))

@@ -457,7 +457,7 @@ def change_points(spark, sf_dir):
 
 @query()
 def isolation_forest(spark, sf_dir):
-    """A3 without its islands."""
+    """Runs of odd days, with the signals that make them odd."""
     x = signals(spark, sf_dir)
     wide = x.groupBy("session", F.floor(F.col("us") / 86_400_000_000).alias("day")).pivot("signal", ["view", "click", "purchase", "signup", "error"]).agg(F.avg("value"))
     return detectors.isolation_forest(wide, "session", "day", ["view", "click", "purchase", "signup", "error"])

@@ -86,7 +86,7 @@ def test_upsert(spark):
 def whole_search(values):
     x = np.array(values, float)
     cuts = [0, *detectors.pelt((x - x.mean()) / x.std()), len(x)]
-    return [(b, abs(x[b:c].mean() - x[a:b].mean()) / np.ptp(x)) for a, b, c in zip(cuts, cuts[1:], cuts[2:])]
+    return [(c, abs(x[c : c + 5].mean() - x[c - 5 : c].mean()) / np.ptp(x)) for c in cuts[1:-1]]
 
 
 @pytest.mark.parametrize("shifts", [[2000], [1000, 1995, 3003], [700]])
@@ -106,3 +106,32 @@ def test_change_points_of_each_signal(spark):
     rows = rows.unionByName(rows.withColumn("signal", F.lit("b")).withColumn("value", F.lit(5.0)))
     got = detectors.change_points(rows).collect()
     assert [(r["signal"], r["at_us"] // 10**6) for r in got] == [("a", 30)]
+
+
+def test_change_points_fill_missing_values(spark):
+    values = [None, None, *([1.0, 1.2, None] * 10), *([8.0, None, 8.2] * 10)]
+    filled = [1.0, 1.0]
+    for v in values[2:]:
+        filled.append(filled[-1] if v is None else v)
+    got = sorted((r["at_us"] // 10**6, r["score"]) for r in detectors.change_points(series(spark, values)).collect())
+    assert got == [(k, pytest.approx(s)) for k, s in whole_search(filled)] and len(got) == 1
+
+
+def test_isolation_forest_runs(spark):
+    draw = np.random.default_rng(5)
+    rows = [(1, t, *map(float, draw.normal(0, 1, 3)), 5.0) for t in range(200)] + [(2, t, 1.0, 2.0, 3.0, 5.0) for t in range(50)] + [(3, t, *map(float, draw.normal(0, 1, 3)), 5.0) for t in range(20)]
+    for t in (50, 51, 52):
+        rows[t] = (1, t, 9.0, -9.0, 0.1, 5.0)
+    rows[0] = (1, 0, None, None, None, 5.0)
+    wide = spark.createDataFrame(rows, "session long, t long, a double, b double, c double, d double")
+    got = [r for r in detectors.isolation_forest(wide, "session", "t", ["a", "b", "c", "d"]).collect()]
+    assert {r["session"] for r in got} == {1} and sum(r["n_rows"] for r in got) == 10
+    best = max(got, key=lambda r: r["score"])
+    assert (best["start"], best["end"]) == (50, 52) and set(best["signals"][:2]) == {"a", "b"} and len(best["signals"]) == 3
+    assert detectors.isolation_forest(wide.limit(0), "session", "t", ["a", "b", "c", "d"]).count() == 0
+
+
+def test_resample_of_a_long_series(spark):
+    rows = spark.range(100_000).selectExpr("1L AS session", "'a' AS signal", "id * 2 AS us", "id AS row_id", "cast(id AS double) AS value")
+    got = events.resample(rows, 1).agg(F.count("*"), F.sum("value"), F.max("value")).first()
+    assert tuple(got) == (199_999, 99_999 * 199_999 / 2, 99_999)
