@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,15 @@ def discard(*tables: DataFrame) -> None:
         context = t.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        release(tables[0])
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of steps that are over: it does so when the driver collects garbage,
+    which with a large heap may be long after."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
