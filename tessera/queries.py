@@ -470,3 +470,4 @@ import tessera.plans.streams  # noqa: E402, F401
 import tessera.plans.tables  # noqa: E402, F401
 import tessera.plans.texts  # noqa: E402, F401
 import tessera.plans.indexes  # noqa: E402, F401
+import tessera.plans.formats  # noqa: E402, F401
