@@ -40,18 +40,19 @@ def with_severity(events: DataFrame, critical: tuple = CRITICAL) -> DataFrame:
 def driving_context(events: DataFrame, rows: DataFrame, rpm: str = "engine_rpm", speed: str = "vehicle_speed", throttle: str = "throttle_position", bucket_us: int = 3_600_000_000) -> DataFrame:
     """Each event of (session, start_us, end_us, ...) with what the vehicle did within its closed window: off, idle,
     cruise, acceleration or unknown. Rows meet the events of their session in the buckets of time that these reach into."""
-    keyed = events.withColumn("_event", F.monotonically_increasing_id()) if "event_id" not in events.columns else events.withColumn("_event", F.col("event_id"))
-    windows = keyed.select("session", "_event", "start_us", "end_us", F.explode(F.sequence(F.floor(F.col("start_us") / bucket_us), F.floor(F.col("end_us") / bucket_us))).alias("bucket"))
+    key = ["session", "start_us", "end_us"]
+    spans = events.select(*key).distinct()
+    windows = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_us") / bucket_us), F.floor(F.col("end_us") / bucket_us))))
     points = valid(rows.where(F.col("signal").isin(rpm, speed, throttle))).select("session", "signal", "us", "value", F.floor(F.col("us") / bucket_us).alias("bucket"))
     inside = points.join(windows, ["session", "bucket"]).where("us >= start_us AND us <= end_us")
     of = lambda name: F.when(F.col("signal") == name, F.col("value"))
-    seen = inside.groupBy("_event").agg(
+    seen = inside.groupBy(*key).agg(
         F.avg(of(rpm)).alias("rpm"), F.avg(of(speed)).alias("speed"), F.count(of(throttle)).alias("n"), F.stddev_pop(of(throttle)).alias("spread"),
     )
     steady = F.when(F.col("n") >= 2, F.when(F.col("spread") <= THROTTLE_STEADY, "cruise").otherwise("acceleration"))
     context = F.when(F.col("rpm").isNull() | F.col("speed").isNull(), "unknown").when(F.col("rpm") < RPM_OFF, "off").when(F.col("speed") < SPEED_MOVING, "idle").otherwise(F.coalesce(steady, F.lit("unknown")))
-    known = seen.select("_event", context.alias("context"))
-    return keyed.drop("context").join(known, "_event", "left").withColumn("context", F.coalesce("context", F.lit("unknown"))).drop("_event")
+    known = seen.select(*key, context.alias("context"))
+    return events.drop("context").join(known, key, "left").withColumn("context", F.coalesce("context", F.lit("unknown")))
 
 
 def merged(events: DataFrame, critical: tuple = CRITICAL) -> DataFrame:

@@ -77,16 +77,16 @@ def fact_recall(terms: DataFrame, texts: DataFrame, equivalents: DataFrame | Non
     """(entry, n_terms, n_hits, fact_recall) of terms(entry, term) in the entry's text: as written, with any white space
     within a term that has CJK letters, or in an equivalent(term, other) wording. Only entries with terms."""
     plain = lambda c: F.lower(X.single_spaced(F.col(c)))
-    t = terms.select("entry", "term").withColumn("id", F.monotonically_increasing_id()).withColumn("word", plain("term"))
-    wordings = t.select("entry", "id", "word")
+    t = terms.groupBy("entry", "term").agg(F.count("*").alias("n")).withColumn("word", plain("term"))
+    wordings = t.select("entry", "term", "n", "word")
     if equivalents is not None:
         others = equivalents.select(X.normal_slug(F.col("term")).alias("key"), plain("other").alias("other"))
-        wordings = wordings.unionByName(t.withColumn("key", X.normal_slug(F.col("word"))).join(others, "key").select("entry", "id", F.col("other").alias("word")))
+        wordings = wordings.unionByName(t.withColumn("key", X.normal_slug(F.col("word"))).join(others, "key").select("entry", "term", "n", F.col("other").alias("word")))
     x = wordings.join(texts.select("entry", plain("text").alias("text")), "entry", "left")
     loose = lambda c: F.regexp_replace(F.col(c), r"\s+", "")
     there = F.contains("text", F.col("word")) | (F.col("word").rlike(f"[{X.IDEOGRAPHS}]") & F.contains(loose("text"), loose("word")))
-    hits = x.groupBy("entry", "id").agg(F.max(F.coalesce((F.col("word") != "") & there, F.lit(False)).cast("int")).alias("hit"))
-    return hits.groupBy("entry").agg(F.count("*").alias("n_terms"), F.sum("hit").alias("n_hits")).withColumn("fact_recall", F.col("n_hits") / F.col("n_terms"))
+    hits = x.groupBy("entry", "term", "n").agg(F.max(F.coalesce((F.col("word") != "") & there, F.lit(False)).cast("int")).alias("hit"))
+    return hits.groupBy("entry").agg(F.sum("n").alias("n_terms"), F.sum(F.col("hit") * F.col("n")).alias("n_hits")).withColumn("fact_recall", F.col("n_hits") / F.col("n_terms"))
 
 
 def fact_density(n_hits: Column, n_terms: Column, tokens: Column) -> Column:

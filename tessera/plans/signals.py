@@ -160,12 +160,12 @@ l AS (SELECT session, run, min(start_us) AS start_us, max(end_us) AS end_us, lis
   CASE WHEN min(detector) = max(detector) THEN min(detector) ELSE 'combined' END AS detector FROM r GROUP BY 1, 2),
 m AS (SELECT *, list_reduce(scores, lambda x, y: (x + y) / 2) AS score, list_sort(list_distinct(all_)) AS sorted FROM l),
 t AS (SELECT *, 0.4::DOUBLE * score + 0.25::DOUBLE * least(len(sorted) / 8, 1.0::DOUBLE) + 0.15::DOUBLE * least((end_us - start_us) / 1e6 / 300, 1.0::DOUBLE) + 0.2::DOUBLE * list_contains(sorted, 'purchase')::INT AS total FROM m)
-SELECT session, start_us, end_us, array_to_string(sorted, ',') AS signals, pattern, context, detector, round(score, 6) AS score, CASE WHEN total < 0.33 THEN 'low' WHEN total < 0.66 THEN 'medium' ELSE 'high' END AS severity FROM t""")
+SELECT session, start_us, end_us, array_to_string(sorted, ',') AS signals, pattern, context, detector, round(score, 12) + 0.0 AS score, CASE WHEN total < 0.33 THEN 'low' WHEN total < 0.66 THEN 'medium' ELSE 'high' END AS severity FROM t""")
 def anomaly_report(spark, sf_dir):
     """Events of two detectors, with contexts, merged where they overlap."""
     x = anomalies.driving_context(_anomalies(spark, sf_dir), signal_rows(spark, sf_dir), "view", "click", "purchase", 86_400_000_000)
     out = anomalies.merged(x, ("purchase",)).withColumn("signals", F.array_join(F.array_sort("signals"), ","))
-    return rounded(out.select("session", "start_us", "end_us", "signals", "pattern", "context", "detector", "score", "severity"), "score")
+    return rounded(out.select("session", "start_us", "end_us", "signals", "pattern", "context", "detector", "score", "severity"), "score", digits=12)
 
 
 @query(f"""
@@ -185,7 +185,7 @@ def plain_heuristics(spark, sf_dir):
 
 
 RULES = [
-    {"id": "STAT_9", "category": "statistic", "severity": "high", "description": "high", "template": "peak {purchase.max:.1f}, {view.n} views, {unknown}",
+    {"id": "STAT_9", "category": "statistic", "severity": "high", "description": "high", "template": "peak {purchase.max:.2f}, {view.n} views, {unknown}",
      "conditions": [{"type": "stat_check", "signal": "purchase", "field": "max", "op": ">", "value": 60.0}, {"type": "signal_exists", "signal": "view"}]},
     {"id": "ANOM_1", "category": "anomaly", "severity": "medium", "description": "two", "template": "{anomaly_count} events",
      "conditions": [{"type": "anomaly_check", "signal": "view", "min_count": 2}]},
@@ -202,7 +202,7 @@ a2 AS (SELECT session, count(*) FILTER (signal = 'view') AS views, count(*) FILT
 d AS (SELECT user_id AS session, list_sort(list(DISTINCT CASE event_type WHEN 'error' THEN 'P0' || (300 + event_id % 3)::VARCHAR ELSE 'U0100' END)) AS codes FROM events WHERE event_type IN ('error', 'signup') AND event_id % 10 = 0 GROUP BY 1),
 x AS (SELECT p.*, coalesce(views, 0) AS views, coalesce(idle, 0) AS idle, coalesce(codes, []::VARCHAR[]) AS codes FROM p LEFT JOIN a2 USING (session) LEFT JOIN d USING (session)),
 y AS (SELECT *, array_to_string(list_filter(codes, lambda z: starts_with(z, 'P0')), ', ') AS pc, array_to_string(list_filter(codes, lambda z: starts_with(z, 'U')), ', ') AS uc FROM x)
-SELECT session, 'STAT_9' AS rule, 0 AS nth, 'peak ' || printf('%.1f', pm) || ', ' || vn::VARCHAR || ' views, N/A' AS clue, 'purchase.max=' || round(pm, 2)::VARCHAR || '|view_present=true' AS evidence FROM y WHERE pm > 60 AND vn > 0
+SELECT session, 'STAT_9' AS rule, 0 AS nth, 'peak ' || printf('%.2f', round(pm, 2)) || ', ' || vn::VARCHAR || ' views, N/A' AS clue, 'purchase.max=' || round(pm, 2)::VARCHAR || '|view_present=true' AS evidence FROM y WHERE pm > 60 AND vn > 0
 UNION ALL SELECT session, 'ANOM_1', 1, views::VARCHAR || ' events', 'anomaly_events_matched=' || views::VARCHAR || '|anomaly_signal_filter=view' FROM y WHERE views >= 2
 UNION ALL SELECT session, 'ANOM_2', 2, '0 idle', 'anomaly_events_matched=0|anomaly_context_filter=idle' FROM y WHERE idle = 0
 UNION ALL SELECT session, 'DTC_1', 3, 'codes ' || pc, 'dtc_prefix=P0|dtc_matched=' || pc FROM y WHERE pc <> ''

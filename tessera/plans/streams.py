@@ -82,7 +82,5 @@ def stream_files(spark, sf_dir):
     )
     landing, out = live.folder(spark, "landing"), live.folder(spark, "loaded")
     x.write.partitionBy("s").text(landing)
-    # the session is the folder's name here: each file holds one session's log
-    rows = spark.read.text(landing, wholetext=True).select(F.col("s").cast("string").alias("s"), F.col("value").alias("body"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("session_id"))
-    _, files = live.loaded_files(spark, landing, out)
-    return files.join(rows.select("s", "session_id", F.xxhash64("body").alias("h")), "session_id").groupBy(F.col("s").alias("session_id")).agg(F.sum("n_lines").cast("int").alias("n_lines"), F.sum("n_rows").alias("n_rows"))
+    _, files = live.loaded_files(spark, landing, out, F.regexp_extract(F.col("_metadata.file_path"), "/s=([^/]*)/", 1))
+    return files.select("session_id", F.col("n_lines").cast("int").alias("n_lines"), "n_rows")

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -83,12 +83,13 @@ def replayed(log: DataFrame, session: str = "session", at: str = "ts", tie: str
     return log.repartition(session).sortWithinPartitions(session, at, tie)
 
 
-def loaded_files(spark: SparkSession, path: str, out: str) -> tuple[DataFrame, DataFrame]:
+def loaded_files(spark: SparkSession, path: str, out: str, session: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Log files that arrive in a folder, read by the batch reader as they come. Returns the long rows, and per file
-    (session_id, n_lines, n_rows): data lines that are not among the rows were skipped as malformed."""
+    (session_id, n_lines, n_rows): data lines that are not among the rows were skipped as malformed. ``session`` names a file's
+    session, by default the file's name without its extension."""
     files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    files = files.select(name.alias("session_id"), F.col("value").alias("body"))
+    files = files.select((name if session is None else session).alias("session_id"), F.col("value").alias("body"))
 
     def take(batch: DataFrame, number: int) -> None:
         # a batch that is run again replaces what it wrote
