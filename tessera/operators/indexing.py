@@ -96,3 +96,75 @@ def gates(nodes: DataFrame, items: DataFrame, cards: DataFrame, subsystems: list
     names = ["tiling", "shells", "codes", "refs", "titles", "vocabulary", "noise"]
     rows = F.array(*[F.struct(F.lit(g).alias("gate"), F.coalesce(g, F.lit(0)).cast("long").alias("n_bad")) for g in names])
     return x.select("manual_id", F.explode(rows).alias("g")).select("manual_id", "g.gate", "g.n_bad", (F.col("g.n_bad") == 0).alias("passes"))
+
+
+LEAST_CHARS = 50
+
+
+def merged_leaves(leaves: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """leaves(manual_id, parent, nth, title, span_start, span_end, chars, keeps) in order below their parents, without thin ones: a leaf of
+    fewer than ``least`` characters that has no image or children (``keeps``) joins the next one, with what that then holds; at the
+    end of the list the one before. The joined leaf keeps the title of the leaf that took the others in; their titles are its
+    aliases. A list of thin leaves alone is one leaf. The leaves of one parent are one list, folded in order."""
+    row = F.struct("nth", "title", "span_start", "span_end", "chars", "keeps")
+    x = leaves.groupBy("manual_id", "parent").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    start = F.struct(F.array().cast("array<int>").alias("groups"), F.lit(0).alias("g"), F.lit(0).cast("long").alias("chars"), F.lit(False).alias("open"))
+
+    def step(a: Column, leaf: Column) -> Column:
+        chars = a["chars"] + leaf["chars"]
+        full = leaf["keeps"] | (chars >= least)
+        return F.struct(
+            F.concat(a["groups"], F.array(a["g"])).alias("groups"), F.when(full, a["g"] + 1).otherwise(a["g"]).alias("g"), F.when(full, F.lit(0)).otherwise(chars).cast("long").alias("chars"), (~full).alias("open")
+        )
+
+    x = x.withColumn("a", F.aggregate("r", start, step))
+    x = x.withColumn("groups", F.transform("a.groups", lambda g: F.when(F.col("a.open") & (g == F.col("a.g")) & (g > 0), g - 1).otherwise(g)))
+    # the leaf that takes in: the last of its group as it was before the end of the list was added
+    y = x.select("manual_id", "parent", F.explode(F.arrays_zip("r", "groups", F.col("a.groups").alias("was"))).alias("z")).select("manual_id", "parent", "z.groups", "z.was", "z.r.*")
+    y = y.groupBy("manual_id", "parent", "groups").agg(
+        F.max_by(F.struct("nth", "title"), F.when(F.col("was") == F.col("groups"), F.col("nth"))).alias("own"), F.array_sort(F.collect_list(F.struct("nth", "title"))).alias("all"),
+        F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.sum("chars").alias("chars"),
+    )
+    aliases = F.transform(F.filter("all", lambda t: t["nth"] != F.col("own.nth")), lambda t: t["title"])
+    return y.select("manual_id", "parent", F.col("own.nth").alias("nth"), F.col("own.title").alias("title"), aliases.alias("aliases"), "span_start", "span_end", "chars")
+
+
+def build_tree(items: DataFrame, default: str = "front matter") -> DataFrame:
+    """(manual_id, parent, nth, title, aliases, span_start, span_end, chars, chapter) of items(manual_id, idx, page, kind, text, html):
+    chapters are runs of pages with one running header, which pages without a header inherit; a chapter's leaves begin at its title
+    candidates that are no noise, the first at its start, and thin leaves are merged. The leaves of a manual tile its items."""
+    key = ["manual_id"]
+    title = F.when(F.col("kind") == "page_header", F.nullif(F.trim("text"), F.lit("")))
+    pages = items.groupBy(*key, "page").agg(F.min_by(title, F.when(title.isNotNull(), F.col("idx"))).alias("title"), F.min("idx").alias("lo"), (F.max("idx") + 1).alias("hi"))
+    by_page = Window.partitionBy(*key).orderBy("page")
+    pages = pages.withColumn("chapter", F.coalesce(F.last("title", ignorenulls=True).over(by_page), F.lit(default)))
+    new = F.coalesce((F.col("chapter") != F.lag("chapter").over(by_page)).cast("int"), F.lit(1))
+    pages = pages.withColumn("new", new).withColumn("run", F.sum("new").over(by_page))
+    x = items.join(pages.select(*key, "page", "run", "chapter"), [*key, "page"])
+    noise = (F.length(F.trim("text")) < 2) | (F.length(F.trim("text")) > 60) | F.trim("text").rlike("^[•●▪-]|。$")
+    order = Window.partitionBy(*key, "run").orderBy("idx")
+    opens = (F.col("kind") == "title_candidate") & ~noise
+    begins = opens | (F.row_number().over(order) == 1)
+    # a title right at the start is the first leaf's, not a second leaf
+    x = x.withColumn("begins", begins.cast("int")).withColumn("leaf", F.sum("begins").over(order))
+    named = F.min_by(F.when(opens, F.trim("text")), F.when(opens, F.col("idx")))
+    chars = F.sum(F.length(F.coalesce("text", F.lit(""))) + F.length(F.coalesce("html", F.lit(""))))
+    leaves = x.groupBy(*key, "run", "chapter", "leaf").agg(
+        named.alias("own"), F.min("idx").alias("span_start"), (F.max("idx") + 1).alias("span_end"), chars.alias("chars"), F.max(F.col("kind") == "image").alias("keeps"),
+    )
+    leaves = leaves.withColumn("title", F.coalesce("own", "chapter")).withColumnRenamed("run", "parent").withColumnRenamed("leaf", "nth")
+    chapters = leaves.select(*key, "parent", "chapter").distinct()
+    return merged_leaves(leaves).join(chapters, [*key, "parent"])
+
+
+def build_index(items: DataFrame, subsystem: Column, subsystems: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, cards, gates) of items: the tree with ids and a subsystem by title, the code cards, and what each gate finds."""
+    tree = build_tree(items)
+    order = Window.partitionBy("manual_id").orderBy("span_start")
+    kind = F.when(F.lower("title").rlike("table|list|codes"), "table").otherwise("procedure")
+    x = tree.withColumn("subsystem", subsystem).withColumn("node_type", kind).withColumn("n", F.row_number().over(order))
+    ids = unique_ids(x.select("manual_id", F.col("n").alias("nth"), X.node_id(F.col("subsystem"), F.col("node_type"), F.col("title")).alias("base")))
+    nodes = x.join(ids.select("manual_id", F.col("nth").alias("n"), "node_id"), ["manual_id", "n"])
+    nodes = nodes.select("manual_id", "node_id", "title", "aliases", "chapter", "subsystem", "node_type", F.lit(True).alias("is_leaf"), "span_start", "span_end")
+    cards = code_cards(nodes, items)
+    return nodes, cards, gates(nodes, items, cards, subsystems)

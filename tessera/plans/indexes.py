@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import indexing
@@ -98,8 +99,6 @@ items AS (SELECT (l_orderkey % 40)::VARCHAR AS manual_id, l_orderkey AS idx, 'se
 
 
 def _index(spark, sf_dir):
-    from pyspark.sql import Window
-
     x = table(spark, sf_dir, "lineitem")
     key = (F.col("l_orderkey") % 40).cast("string").alias("manual_id")
     starts = x.where("l_orderkey div 40 % 4 = 0").select(key, F.col("l_orderkey").alias("span_start")).distinct()
@@ -167,3 +166,18 @@ def migrated_slugs(spark, sf_dir):
     texts = {"brake-pads": "a", "brake-oil": "b", "chain-3": "c", "front-tyre": "d", "front-tyres-all": "e", "start": "First Turn the\nkey."}
     new = s.withColumn("r", F.explode(F.array(*[F.struct(F.lit(k).alias("slug"), F.lit(v).alias("text")) for k, v in texts.items()]))).select("manual_id", "r.*")
     return indexing.migrated_slugs(old, new)
+
+
+@query()
+def built_index(spark, sf_dir):
+    """Indexes of documents as layouts, with their gates; a test builds one by hand."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select((F.col("doc_id") % 50).cast("string").alias("manual_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    n = F.length("line")
+    kind = F.when(F.col("p") == 0, "page_header").when((n > 1) & (n <= 60), "title_candidate").otherwise("para")
+    text = F.when(F.col("p") == 0, F.concat(F.lit("Chapter "), F.expr("cast(doc_id div 200 as string)"))).otherwise(F.col("line"))
+    rows = d.select("manual_id", F.struct("doc_id", "p").alias("at"), F.col("doc_id").alias("page"), kind.alias("kind"), text.alias("text"), F.lit("").alias("html"))
+    idx = F.row_number().over(Window.partitionBy("manual_id").orderBy("at")) - 1
+    items = rows.select("manual_id", idx.alias("idx"), "page", "kind", "text", "html")
+    nodes, _, found = indexing.build_index(items, F.when(F.length("title") % 2 == 0, "engine").otherwise("brakes"), ["engine", "brakes"])
+    n_nodes = nodes.groupBy("manual_id").agg(F.count("*").alias("n_nodes"), F.sum(F.size("aliases")).alias("n_aliases"))
+    return found.join(n_nodes, "manual_id").select("manual_id", "gate", "n_bad", "passes", "n_nodes", "n_aliases")

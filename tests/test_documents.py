@@ -119,3 +119,49 @@ def test_rules_are_validated():
             rules.validate([{**RULES[0], **change}])
     with pytest.raises(ValueError):
         rules.validate([RULES[0], RULES[0]])
+
+
+def merge_by_hand(leaves, least=50):
+    """One at a time, as a list: a thin leaf goes into the next one, at the end into the one before."""
+    out = [dict(title=t, aliases=[], chars=c, keeps=k, lo=n, hi=n + 1) for n, (t, c, k) in enumerate(leaves)]
+    i = 0
+    while i < len(out):
+        if out[i]["keeps"] or out[i]["chars"] >= least or len(out) == 1:
+            i += 1
+            continue
+        j = i + 1 if i + 1 < len(out) else i - 1
+        thin, taker = out[i], out[j]
+        taker["aliases"].append(thin["title"])
+        taker["aliases"] += thin["aliases"] if j < i or thin["aliases"] else []
+        taker["chars"] += thin["chars"]
+        taker["lo"], taker["hi"] = min(taker["lo"], thin["lo"]), max(taker["hi"], thin["hi"])
+        out.pop(i)
+    return [(x["title"], sorted(x["aliases"]), x["lo"], x["hi"]) for x in out]
+
+
+def test_thin_leaves_join_their_neighbours(spark):
+    import random
+
+    draw = random.Random(4)
+    lists = [[(f"t{k}", draw.choice([0, 10, 30, 49, 50, 200]), draw.random() < 0.2) for k in range(draw.randint(1, 9))] for _ in range(40)]
+    rows = [(str(m), 1, k, t, k, k + 1, c, keeps) for m, leaves in enumerate(lists) for k, (t, c, keeps) in enumerate(leaves)]
+    df = spark.createDataFrame(rows, "manual_id string, parent int, nth int, title string, span_start int, span_end int, chars long, keeps boolean")
+    got: dict = {}
+    for r in indexing.merged_leaves(df).orderBy("manual_id", "span_start").collect():
+        got.setdefault(int(r["manual_id"]), []).append((r["title"], sorted(r["aliases"]), r["span_start"], r["span_end"]))
+    # the brute force counts an alias once for each leaf that it passed through
+    want = {m: [(t, sorted(set(a)), lo, hi) for t, a, lo, hi in merge_by_hand(leaves)] for m, leaves in enumerate(lists)}
+    assert got == want
+
+
+def test_a_tree_tiles_its_items(spark):
+    items = [
+        (0, 1, "page_header", "Brakes"), (1, 1, "title_candidate", "Removing the pads"), (2, 1, "para", "x" * 80), (3, 2, "title_candidate", "Thin"), (4, 2, "title_candidate", "Fitting"), (5, 2, "para", "P0101 " + "y" * 80),
+        (6, 3, "page_header", "Engine"), (7, 3, "para", "z" * 90), (8, 3, "title_candidate", "• no title"), (9, 4, "title_candidate", "Code table"), (10, 4, "para", "P0101 P0102 " + "w" * 60),
+    ]
+    df = spark.createDataFrame([("m", i, p, k, t, "") for i, p, k, t in items], "manual_id string, idx int, page int, kind string, text string, html string")
+    nodes, cards, found = indexing.build_index(df, F.lower("chapter"), ["brakes", "engine"])
+    got = [(r["title"], r["aliases"], r["chapter"], r["span_start"], r["span_end"]) for r in nodes.orderBy("span_start").collect()]
+    assert got == [("Removing the pads", ["Brakes"], "Brakes", 0, 3), ("Fitting", ["Thin"], "Brakes", 3, 6), ("Engine", [], "Engine", 6, 9), ("Code table", [], "Engine", 9, 11)]
+    assert {r["code"]: (r["n_rows"], r["detect_ref"] is not None) for r in cards.collect()} == {"P0101": (2, True), "P0102": (1, True)}
+    assert all(r["passes"] for r in found.collect())
