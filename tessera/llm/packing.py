@@ -19,7 +19,6 @@ import json
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -147,35 +146,29 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"doc_id {kind}, ids binary, n long, order_key long")
 
 
-def dealt_by_tokens(tokens: DataFrame, n_tokens: int, task_tokens: int = TASK_TOKENS, samples: int = 64) -> DataFrame:
-    """(doc_id, ids) in tasks of about ``task_tokens`` ids, each sorted: ranges of the order key and a salt.
+def dealt_by_tokens(tokens: DataFrame, n_tokens: int, task_tokens: int = TASK_TOKENS) -> DataFrame:
+    """(doc_id, ids) in tasks of about ``task_tokens`` ids, each sorted by order key and a salt.
 
-    The salt is a hash of id and tokens, so copies, which share a key, are split between
-    ranges like others; repeated rows are told apart by their place in the written table. The limits are quantiles of the tokens, from a sample that takes a
-    row with odds in proportion to its tokens: about ``samples`` rows a task go to the driver.
+    Documents lie together by their rarest id: neighbouring ids share a task, and an id whose documents hold more
+    than a quarter of a task gets tasks of its own, dealt out by the salt. That is a hash of the id and tokens of a
+    document, so copies are split like others; repeated rows are told apart by their place in the
+    written table. The driver sees one sum of tokens per id of the vocabulary.
     """
-    parts = max(1, -(-n_tokens // task_tokens))
+    rarest = F.shiftright("order_key", 20)
+    sums = tokens.groupBy(rarest.alias("rarest")).agg(F.sum("n").alias("n")).collect()
+    places, part, held = [], 0, 0
+    for row in sorted(sums, key=lambda r: r["rarest"]):
+        own = row["n"] > task_tokens // 4
+        if held and (own or held + row["n"] > task_tokens):
+            part, held = part + 1, 0
+        tasks = -(-row["n"] // task_tokens) if own else 1
+        places.append((row["rarest"], part, tasks))
+        part, held = (part + tasks, 0) if own else (part, held + row["n"])
+    placed = tokens.sparkSession.createDataFrame(places, "rarest long, first int, tasks int")
     salt = F.xxhash64("doc_id", "ids", F.col("_metadata.row_index") % 4096)
-    keyed = tokens.withColumn("salt", salt)
-    if parts == 1:
-        return keyed.coalesce(1).sortWithinPartitions("order_key", "salt", "doc_id").select("doc_id", "ids")
-    each = max(1, n_tokens // (parts * samples))
-    drawn = keyed.where(F.pmod(F.xxhash64("salt"), F.lit(each)) < F.col("n")).select("order_key", "salt", F.greatest("n", F.lit(each)).alias("w"))
-    rows = drawn.toPandas().sort_values(["order_key", "salt"])
-    upto = rows["w"].cumsum().to_numpy()
-    at = np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts) if len(rows) else np.zeros(0, int)
-    limits = rows.iloc[np.minimum(at, len(rows) - 1)][["order_key", "salt"]].to_numpy(np.int64)
-
-    @F.pandas_udf("int")
-    def part_of(key: pd.Series, salt: pd.Series) -> pd.Series:
-        k, s = key.to_numpy(np.int64), salt.to_numpy(np.int64)
-        low, high = np.searchsorted(limits[:, 0], k), np.searchsorted(limits[:, 0], k, "right")
-        for row in np.nonzero(high > low)[0]:  # limits with the row's own key
-            low[row] += np.searchsorted(limits[low[row] : high[row], 1], s[row])
-        return pd.Series(low.astype(np.int32))
-
-    placed = keyed.withColumn("part", part_of("order_key", "salt"))
-    return placed.repartitionById(parts, "part").sortWithinPartitions("order_key", "salt", "doc_id").select("doc_id", "ids")
+    keyed = tokens.withColumn("salt", salt).withColumn("rarest", rarest).join(F.broadcast(placed), "rarest")  # at most a row per id
+    keyed = keyed.withColumn("part", F.col("first") + F.pmod(F.col("salt"), F.col("tasks")).cast("int"))
+    return keyed.repartitionById(max(1, part + 1), "part").sortWithinPartitions("order_key", "salt", "doc_id").select("doc_id", "ids")
 
 
 def document_frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:

@@ -198,14 +198,14 @@ def test_packing_is_whole(spark):
 
 def test_tasks_get_even_shares_of_the_tokens(spark):
     r = random.Random(8)
-    rows = [(k, np.full(n := r.choice([3, 20, 20, 400]), 7, "<u2").tobytes(), n, r.choice([1, 1, 5, k])) for k in range(3000)]
-    rows += [(9, rows[0][1], rows[0][2], 1)] * 3000  # repeated rows
+    rows = [(k, np.full(n := r.choice([3, 20, 20, 400]), 7, "<u2").tobytes(), n, r.choice([1, 1, 5, k]) << 20 | k % 7) for k in range(3000)]
+    rows += [(9, rows[0][1], rows[0][2], 1 << 20)] * 3000  # repeated rows
     tokens = packing.materialize(spark.createDataFrame(rows, "doc_id long, ids binary, n long, order_key long"), "test-tokens")
     total = sum(r[2] for r in rows)
     dealt = packing.dealt_by_tokens(tokens, total, total // 12).withColumn("p", F.spark_partition_id()).withColumn("n", F.octet_length("ids") / 2)
     shares = [(x["n"], x["c"]) for x in dealt.groupBy("p").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect()]
     assert sum(c for _, c in shares) == len(rows) and sum(n for n, _ in shares) == total
-    assert len(shares) >= 12 and max(n for n, _ in shares) < 2 * total / 12
+    assert max(n for n, _ in shares) < 1.5 * total / 12
 
 
 def test_windows_take_the_best_unused_neighbours():
