@@ -132,10 +132,11 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 for text in part.column(1).to_pylist():
                     own = encoder.encode(text or "") + end
                     numbers = np.frombuffer(own, encoder.kind)
-                    top = np.unique(numbers)[-2:].astype(np.int64)
+                    most = int(numbers.max())
+                    rest = numbers[numbers != most]
                     ids.append(own)
                     counts.append(len(numbers))
-                    keys.append(int(top[-1]) << 20 | int(top[0]))
+                    keys.append(most << 20 | (int(rest.max()) if len(rest) else most))
                 yield pa.record_batch(
                     [part.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64())],
                     names=["doc_id", "ids", "n", "order_key"],
