@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, extraction, packing, quality, simhash, topk, toxicity, warc
+from tessera.llm import ann, bpe, chat, extraction, packing, quality, resampling, runindex, runs, simhash, topk, toxicity, warc
 from tessera.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -64,10 +64,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runindex.remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_toxicity, op3_simhash, op4_topk, op5_quality, op6_warc_revisits, op7_ann, op8_packing, op9_extraction, op10_bpe)
-}
+    for f in (
+        op1_chat_format, op2_toxicity, op3_simhash, op4_topk, op5_quality, op6_warc_revisits, op7_ann, op8_packing, op9_extraction, op10_bpe,
+        op11_resampling, op12_runs, op13_suffix_dedup,
+    )
+}
 
 _CONTROLS = r"<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<\|endoftext\|>|<\|system\|>|<\|user\|>|<\|assistant\|>|\\"
 _FOLLOWS = "('start','system'),('start','user'),('system','user'),('user','assistant'),('assistant','user')"
@@ -131,4 +149,35 @@ SELECT id AS record_id, canonical, status, CASE WHEN status IN ('resolved', 'unv
   CASE WHEN status IN ('resolved', 'unverified') THEN s.n::VARCHAR ELSE '0' END AS content_length, dated::VARCHAR AS date,
   CASE WHEN status IN ('resolved', 'unverified') THEN 'a' END AS server
 FROM x""",
+    # crc32 bytewise: the sum is the exclusive-or of each byte's own share, by the number of bytes after it, and that of as many zero bytes
+    "op11_resampling": r"""
+WITH RECURSIVE t0 AS (
+  SELECT b, list_reduce(list_concat([b::BIGINT], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b)
+), words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), f AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS x FROM words
+), g AS (SELECT x, strlen(x) AS n, hex(encode(x)) AS h FROM f GROUP BY x),
+z AS (
+  SELECT 0 AS k, 4294967295::BIGINT AS c UNION ALL
+  SELECT k + 1, xor(z.c >> 8, t0.c) FROM z JOIN t0 ON t0.b = z.c & 255 WHERE k < (SELECT max(n) FROM g)
+), t AS (
+  SELECT 0 AS k, b, c FROM t0 UNION ALL
+  SELECT k + 1, t.b, xor(t.c >> 8, t0.c) FROM t JOIN t0 ON t0.b = t.c & 255 WHERE k < (SELECT max(n) FROM g)
+), bytes AS (SELECT x, n, unnest(range(n)) AS i, h FROM g),
+sums AS (
+  SELECT x, any_value(n) AS n, bit_xor(t.c) AS c FROM bytes JOIN t ON t.k = n - 1 - i AND t.b = ('0x' || substr(h, 2 * i + 1, 2))::INT GROUP BY x
+), bucket AS (SELECT x, xor(xor(s.c, z.c), 4294967295) % 10000 AS bucket FROM sums s JOIN z ON z.k = s.n),
+counts AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f JOIN bucket USING (x) GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0)::DOUBLE + 10000 AS s_all, coalesce(sum(t), 0)::DOUBLE + 10000 AS t_all FROM counts),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * s_all / ((s + 1)::DOUBLE * t_all)))::BIGINT AS gain FROM counts, total),
+weight AS (SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN bucket USING (x) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (
+  SELECT w.id AS doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words w LEFT JOIN weight USING (id) WHERE side = 'd'
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS nth, count(*) FILTER (able) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND nth <= 5 * n // 100 THEN nth END AS rank FROM ranked""",
 }
