@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialize, portions, release
+from tessera.llm.common import discard, materialize, portions
 
 LENGTH = 200
 GRAM = 64
 MOST_SEGMENTS = 4096
-BATCH = 2_000_000  # bytes of segments that an index is built of, and one key's more at most
+BATCH = 1_000_000  # bytes of segments that an index is built of, and one key's more at most
 CHUNK = 1 << 21  # windows looked at together
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -221,7 +221,7 @@ def _named(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _segment_rows(texts: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
-    """A row a segment, some more than once: its key and a hash of its place; with ``whole`` also a hash of its string, text, first byte and size."""
+    """A row a segment, some more than once: its key and a hash of its place; or, ``whole``, its key, a hash of its string, its text, first byte and size."""
 
     def run(batches):
         seen: set = set()
@@ -233,17 +233,17 @@ def _segment_rows(texts: DataFrame, length: int, gram: int, whole: bool) -> Data
                 text = np.searchsorted(ends, first, "right")
                 start = first - (ends - np.diff(ends, prepend=0))[text]
                 a, b = _numbers(part.column(0))[text], _numbers(part.column(1))[text]
-                place = (a.view(np.uint64) * _MIX[0] ^ b.view(np.uint64)) * _MIX[1] + start.astype(np.uint64)
-                place = (place ^ place >> np.uint64(31)) * _MIX[2]
-                columns, names = [key, place.view(np.int64)], ["key", "place"]
                 if whole:
                     raw = memoryview(data)
                     strings = [xxhash.xxh3_64_intdigest(raw[f : f + s]) for f, s in zip(first.tolist(), size.tolist())]
-                    columns += [np.array(strings, np.uint64).view(np.int64), a, b, start.astype(np.int32), size.astype(np.int32)]
-                    names += ["string", "a", "b", "start", "size"]
+                    columns = [key, np.array(strings, np.uint64).view(np.int64), a, b, start.astype(np.int32), size.astype(np.int32)]
+                else:
+                    place = (a.view(np.uint64) * _MIX[0] ^ b.view(np.uint64)) * _MIX[1] + start.astype(np.uint64)
+                    columns = [key, ((place ^ place >> np.uint64(31)) * _MIX[2]).view(np.int64)]
                 yield pa.record_batch([pa.array(c) for c in columns], names=names)
 
-    schema = "key long, place long" + (", string long, a long, b long, start int, size int" if whole else "")
+    schema = "key long, string long, a long, b long, start int, size int" if whole else "key long, place long"
+    names = [c.split()[0] for c in schema.split(", ")]
     return texts.select("a", "b", "text").mapInArrow(run, schema)
 
 
@@ -370,20 +370,25 @@ def remove_repeats(
     long = texts.where(F.octet_length("text") >= length)
     # texts are read and cut anew for each use: that costs less disk than keeping the segments of all
     met = _segment_rows(long, length, gram, False).groupBy("key").agg(F.min("place").alias("least"), F.max("place").alias("most"))
-    shared = met.where("least < most").select("key")
+    # written tables on both sides of the joins by key: Spark can then split a key that very many segments have
+    shared = materialize(met.where("least < most").select("key"), "repeats-shared")
     near = materialize(_segment_rows(long, length, gram, True).join(shared, "key", "left_semi"), "repeats-near")
-    release(near)
-    strings = near.groupBy("key", "string").agg(F.min("place").alias("least"), (F.min("place") < F.max("place")).alias("again"))
+    discard(shared)
+    place = F.xxhash64("a", "b", "start")
+    strings = near.groupBy("key", "string").agg(F.min(place).alias("least"), (F.min(place) < F.max(place)).alias("again"))
     strings = materialize(strings, "repeats-strings")
     keys = strings.groupBy("key").agg(F.count("key").alias("n"), F.sum(F.when(F.col("again"), 0).otherwise(1)).alias("alone"))
-    judged = strings.join(keys, "key").select("key", "string", "least", "again", (F.col("alone") > 0).alias("compare"), (F.col("n") > most_segments).alias("many"))
+    keys = materialize(keys.select("key", (F.col("alone") > 0).alias("compare"), (F.col("n") > most_segments).alias("many")), "repeats-keys")
+    judged = materialize(strings.join(keys, "key").where("again OR compare"), "repeats-judged")
+    discard(strings, keys)
     # a segment that occurs again is covered; one of its places stands for it where others have to be compared with it
-    kind = near.join(judged, ["key", "string"]).where(F.col("again") | F.col("compare"))
-    compare = F.col("compare") & (~F.col("again") | (F.col("place") == F.col("least")))
+    compare = F.col("compare") & (~F.col("again") | (place == F.col("least")))
     item = F.struct("start", "size", "key", "again", compare.alias("compare"), "many")
-    lists = kind.groupBy("a", "b").agg(F.collect_set(item).alias("items"))
+    lists = near.join(judged, ["key", "string"]).groupBy("a", "b").agg(F.collect_set(item).alias("items"))
+    lists = materialize(lists, "repeats-lists")
+    discard(near, judged)
     fetched = materialize(_once_a_task(long).join(lists, ["a", "b"]), "repeats-texts")
-    release(fetched)
+    discard(lists)
     pieces = fetched.selectExpr(
         "a", "b",
         "inline(transform(filter(items, x -> x.compare), x -> struct(x.key AS key, x.start AS start, NOT x.again AS own, x.many AS many, substring(text, x.start + 1, x.size) AS piece)))",
@@ -397,10 +402,11 @@ def remove_repeats(
         f"concat(transform({own}, x -> cast(x.start AS long)), coalesce(found.lo, array())) AS los",
         f"concat(transform({own}, x -> cast(x.start AS long) + x.size), coalesce(found.hi, array())) AS his",
     )
-    results = materialize(_results(covered).dropDuplicates(["a", "b"]), "repeats-results")
-    discard(near, strings, fetched, spans)
+    results = _results(covered).dropDuplicates(["a", "b"])
     copies = rows.groupBy("a", "b").agg(F.count("a").alias("copies")).where("copies > 1")
-    joined = rows.join(copies, ["a", "b"], "left").join(results, ["a", "b"], "left")
+    results = materialize(results.join(copies, ["a", "b"], "full"), "repeats-results")
+    discard(fetched, spans)
+    joined = rows.join(results, ["a", "b"], "left")
     whole = F.col("copies").isNotNull() & (F.col("n_bytes") >= length)
     none = F.array().cast("array<long>")
     return joined.select(
