@@ -8,18 +8,21 @@ dictionary, and the gap between the two lengths says which class it is nearer.
 A dictionary has a base and a class part, each made by zstandard's own trainer. The base
 is trained on windows of ordinary text and is the same in both, so that what all text
 has in common cancels out. The class part is trained on the stretches of its class's
-texts that are over-represented there: six-byte segments whose document frequency
-exceeds that in the other class significantly, by a likelihood ratio test against the
-number of segments tried. Near copies among the training texts count once, else a
-copied document would pass for what its class has in common. Both class parts are
+texts that are typical of it: six-byte segments that its texts hold often. A text of the class may hold a
+stem many times with changing ends where others hold it once, so the texts that hold a segment once, twice, and so on are
+counted each for itself, and a likelihood ratio test against the number of tests tried decides. Near copies among the
+training texts count once, else a copied document would pass for what its class has in common. Both class parts are
 padded to one length, so the dictionaries have one layout and offsets cost the same.
 
-A document's features are its four largest gaps and the logarithm of its number of
-windows, as the largest of many gaps is larger by chance. Logistic regression weighs
-them (the weights of gaps are never negative), on gaps measured out of fold: each third
+A document's features are its largest gap, the logarithms of the numbers of windows with gaps above a few limits,
+and the logarithm of its number of windows, as more gaps come by chance in more windows. Logistic
+regression weighs them (the weight of the largest gap is never negative), on gaps measured out of fold: each fifth
 of the training documents is measured with dictionaries learned from the others.
 Isotonic regression maps the weighted sum to the share of toxic documents, the score,
 which mislabelled rows at either end don't flatten. ``THRESHOLD`` applies to the score.
+
+Bounds of training: ``PER_CLASS`` labelled documents of each class, ``BASE_WINDOWS`` windows of the ordinary ones
+for the base, and ``CLASS_BYTES`` of stretches, which the trainer fills with those it finds most often.
 """
 
 from __future__ import annotations
@@ -38,11 +41,14 @@ from tessera.llm.common import fit_logistic, held_out, labelled_sample, map_text
 
 WINDOW, STRIDE = 64, 48  # bytes of normalised text
 SEGMENT = 6
-BASE_BYTES, CLASS_BYTES = 12_288, 2_048  # of a dictionary; together within the 16 kB window, so that all of it is searched
+BASE_BYTES, CLASS_BYTES = 8_192, 7_936  # of a dictionary; together within the 16 kB window, so that all of it is searched
 BASE_WINDOWS = 60_000  # windows of ordinary text, evenly spaced, that the base is trained on at most
 PER_CLASS = 3000  # labelled documents of each class that training takes at most
-FOLDS = 3
-GAPS = 4
+FOLDS = 5
+TIMES = 4  # a segment's texts are counted by whether they hold it once, twice, and so on up to so often
+LARGEST = 1  # largest gaps that are features
+LIMITS = (1, 2, 3, 5)  # bytes of gap above which windows are counted
+FEATURES = LARGEST + len(LIMITS) + 1
 THRESHOLD = 0.7
 _LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SPACES = re.compile(b"  +")
@@ -68,20 +74,45 @@ def _packed(text: bytes) -> np.ndarray:
     return out
 
 
-def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct segments and the number of texts that have each; summed up a few
-    million at a time, which bounds the memory that training takes."""
-    total, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found, held = [], 0
+def _added(counts: tuple[np.ndarray, np.ndarray], found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    some, n = np.unique(np.concatenate(found), return_counts=True)
+    total, back = np.unique(np.concatenate([counts[0], some]), return_inverse=True)
+    return total, np.bincount(back, np.concatenate([counts[1], n]), minlength=len(total)).astype(np.int64)
+
+
+Counts = list[tuple[np.ndarray, np.ndarray]]  # for once, twice, ... ``TIMES`` times: the segments that texts hold so often, and the number of such texts
+
+
+def frequencies(texts: list[bytes]) -> Counts:
+    """Summed up a few million at a time, which bounds the memory that training takes."""
+    total = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * TIMES
+    found: list[list] = [[] for _ in total]
+    held = 0
     for k, text in enumerate(texts):
-        found.append(np.unique(_packed(text)))
-        held += len(found[-1])
+        segments, times = np.unique(_packed(text), return_counts=True)
+        for least, some in enumerate(found, 1):
+            some.append(segments[times >= least])
+        held += len(segments)
         if held > 2_000_000 or k == len(texts) - 1:
-            some, n = np.unique(np.concatenate(found), return_counts=True)
-            total, back = np.unique(np.concatenate([total, some]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, n]), minlength=len(total)).astype(np.int64)
-            found, held = [], 0
-    return total, counts
+            total = [_added(t, some) for t, some in zip(total, found)]
+            found, held = [[] for _ in total], 0
+    return total
+
+
+def together(parts: list[Counts]) -> Counts:
+    """The counts of all parts."""
+    out = []
+    for each in zip(*parts):
+        total, back = np.unique(np.concatenate([p[0] for p in each]), return_inverse=True)
+        out.append((total, np.bincount(back, np.concatenate([p[1] for p in each]), minlength=len(total)).astype(np.int64)))
+    return out
+
+
+def _count(segments: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    if not len(known[0]):
+        return np.zeros(len(segments))
+    at = np.minimum(np.searchsorted(known[0], segments), len(known[0]) - 1)
+    return np.where(known[0][at] == segments, known[1][at], 0).astype(float)
 
 
 def without_copies(texts: list[bytes], length: int = 24) -> list[bytes]:
@@ -105,21 +136,19 @@ def without_copies(texts: list[bytes], length: int = 24) -> list[bytes]:
     return out
 
 
-def typical_segments(own: list[bytes], other: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Segments at least eight times as frequent in ``own`` as in ``other`` beyond chance, and their test statistic."""
-    segments, counts = _frequencies(own)
-    if not len(segments):
-        return segments, np.zeros(0)
-    known, theirs = _frequencies(other)
-    there = np.zeros(len(segments))
-    if len(known):
-        at = np.minimum(np.searchsorted(known, segments), len(known) - 1)
-        there = np.where(known[at] == segments, theirs[at], 0)
-    n, m = len(own), max(1, len(other))
-    both = (counts + there) / (n + m)
-    statistic = 2 * (counts * np.log(counts / (n * both)) + there * np.log(np.maximum(there, 1e-9) / (m * both)))
-    typical = (counts / n >= 8 * (there + 0.5) / (m + 1)) & (statistic > 3 * np.log(len(segments)))
-    return segments[typical], statistic[typical]
+def typical_segments(ours: Counts, n: int, theirs: Counts, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segments that the ``n`` texts of ``ours`` hold, or hold repeatedly, at least eight times as frequently as the ``m`` of ``theirs`` beyond
+    chance, and their greatest test statistic. The statistic passes where less than one segment is expected to by chance."""
+    segments = ours[0][0]
+    best = np.zeros(len(segments))
+    m = max(1, m)
+    for known, their in zip(ours, theirs):
+        here, there = _count(segments, known), _count(segments, their)
+        both = np.maximum(here + there, 1e-9) / (n + m)
+        statistic = 2 * (here * np.log(np.maximum(here, 1e-9) / (n * both)) + there * np.log(np.maximum(there, 1e-9) / (m * both)))
+        typical = (here / max(1, n) >= 8 * (there + 0.5) / (m + 1)) & (statistic > 2 * np.log(max(2, len(segments) * TIMES)))
+        best = np.where(typical, np.maximum(best, statistic), best)
+    return segments[best > 0], best[best > 0]
 
 
 def stretches(texts: list[bytes], segments: np.ndarray, statistic: np.ndarray) -> list[bytes]:
@@ -151,19 +180,19 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The toxic and the ordinary dictionary."""
-    toxic, ordinary = without_copies(toxic), without_copies(ordinary)
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], counts: tuple[Counts, Counts] | None = None) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary of texts without near copies; ``counts`` are those of the texts' segments, if known."""
     windows = sum(len(spans_of(len(t))) for t in ordinary)
     every, base, met = -(-windows // BASE_WINDOWS), [], 0
     for text in ordinary:
         spans = spans_of(len(text))
         base += [text[a : a + n] for a, n in spans[-met % every :: every].tolist()]
         met += len(spans)
-    parts = [
-        train_dictionary(found, CLASS_BYTES) if (found := stretches(own, *typical_segments(own, other))) else b""
-        for own, other in ((toxic, ordinary), (ordinary, toxic))
-    ]
+    held, there = counts or (frequencies(toxic), frequencies(ordinary))
+    parts = []
+    for own, ours, other, theirs in ((toxic, held, ordinary, there), (ordinary, there, toxic, held)):
+        found = stretches(own, *typical_segments(ours, len(own), theirs, len(other)))
+        parts.append(train_dictionary(found, CLASS_BYTES) if found else b"")
     shared = train_dictionary(base, BASE_BYTES) if base else b""
     size = max(map(len, parts))
     return shared + parts[0].rjust(size, b"\0"), shared + parts[1].rjust(size, b"\0")
@@ -172,7 +201,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
 @dataclass(frozen=True)
 class ToxicityModel:
     dictionaries: tuple[bytes, bytes]  # toxic, ordinary
-    weights: tuple[float, ...]  # of the largest gaps and of the logarithm of the number of windows
+    weights: tuple[float, ...]  # of the features
     limits: tuple[float, ...]  # weighted sums at which the share steps up
     shares: tuple[float, ...]  # of toxic documents from each limit on
 
@@ -193,9 +222,9 @@ class ToxicityModel:
         return made
 
     def features(self, texts: list[bytes], compressors=None, at_once: int = 20_000) -> np.ndarray:
-        """(n, GAPS + 1): the largest gaps of each text, zero where it has fewer or negative ones, and log(windows)."""
+        """(n, FEATURES): the largest gap of each text, or zero, the logarithms of one and its windows above each limit, and log(windows)."""
         if not texts:
-            return np.zeros((0, GAPS + 1))
+            return np.zeros((0, FEATURES))
         compressors = compressors or self.compressors()
         spans = [spans_of(len(t)) for t in texts]
         counts = np.array([len(s) for s in spans])
@@ -210,10 +239,10 @@ class ToxicityModel:
             for sign, c in zip((-1, 1), compressors):
                 out = c.multi_compress_to_buffer(windows, threads=1)
                 gaps[first : first + len(some)] += sign * np.fromiter((len(out[i]) for i in range(len(out))), np.int32, len(out))
-        order = np.lexsort((-gaps, np.repeat(np.arange(len(texts)), counts)))
         starts = np.cumsum(counts) - counts
-        top = [np.where(counts > k, np.maximum(gaps[order[np.minimum(starts + k, len(gaps) - 1)]], 0), 0) for k in range(GAPS)]
-        return np.stack([*top, np.log(counts)], 1).astype(float)
+        largest = np.maximum(np.maximum.reduceat(gaps, starts), 0)
+        above = [np.log1p(np.add.reduceat((gaps >= limit).astype(np.int64), starts)) for limit in LIMITS]
+        return np.stack([largest, *above, np.log(counts)], 1).astype(float)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         at = features @ np.array(self.weights)
@@ -240,27 +269,33 @@ def fit(rows: list[tuple[int, int, str]]) -> ToxicityModel:
     scores every text by the share of toxic rows, or zero without any row."""
     texts = [normalise(t) for _, _, t in rows]
     labels = np.array([y for _, y, _ in rows], float)
-    none = (0.0,) * (GAPS + 1)
+    none = (0.0,) * FEATURES
     if len(set(labels)) < 2:
         return ToxicityModel((b"", b""), none, (0.0,), (float(labels[0]) if len(rows) else 0.0,))
-    fold = np.array([zlib.crc32(t) % FOLDS for t in texts])  # copies stay together
-    pick = lambda y, f: [t for t, l, g in zip(texts, labels, fold) if l == y and g != f]
-    x = np.zeros((len(texts), GAPS + 1))
+    fold_of = lambda t: zlib.crc32(t) % FOLDS  # noqa: E731  (copies stay together)
+    alone = [without_copies([t for t, l in zip(texts, labels) if l == y]) for y in (1, 0)]
+    parts = [[[t for t in own if fold_of(t) == f] for f in range(FOLDS)] for own in alone]
+    counts = [[frequencies(part) for part in own] for own in parts]
+
+    def learned(left_out: int) -> tuple[bytes, bytes]:
+        used = [f for f in range(FOLDS) if f != left_out]
+        return train_dictionaries(*([t for f in used for t in own[f]] for own in parts), tuple(together([c[f] for f in used]) for c in counts))
+
+    x, fold = np.zeros((len(texts), FEATURES)), np.array([fold_of(t) for t in texts])
     for f in range(FOLDS):
         at = np.nonzero(fold == f)[0]
-        part = ToxicityModel(train_dictionaries(pick(1, f), pick(0, f)), none, (0.0,), (0.0,))
-        x[at] = part.features([texts[k] for k in at])
-    used = np.arange(GAPS + 1)
+        x[at] = ToxicityModel(learned(f), none, (0.0,), (0.0,)).features([texts[k] for k in at])
+    used = np.arange(FEATURES)
     while True:
-        learned = fit_logistic(x[:, used], labels, l2=0.1)[:-1]
-        negative = (learned < 0) & (used < GAPS)
+        found = fit_logistic(x[:, used], labels, l2=0.1)[:-1]
+        negative = (found < 0) & (used < LARGEST)
         if not negative.any():
             break
         used = used[~negative]
-    weights = np.zeros(GAPS + 1)
-    weights[used] = learned
+    weights = np.zeros(FEATURES)
+    weights[used] = found
     limits, shares = isotonic(x @ weights, labels)
-    return ToxicityModel(train_dictionaries(pick(1, -1), pick(0, -1)), tuple(weights.tolist()), limits, shares)
+    return ToxicityModel(learned(-1), tuple(weights.tolist()), limits, shares)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.llm import resampling, runindex, runs
+from tessera.llm import resampling, runindex, runs, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD_TEXTS = [None, "", " ", "a", "don't STOP...  now\n\n", "naïve café №5 \x1c x\x0b\x85", "日本語 text", "x" * 3000, "\0" * 700, "the cat sat on the mat . " * 60]
@@ -236,3 +236,21 @@ def test_repeats_of_long_texts_and_empty_tables(spark, monkeypatch):
     assert [g[1:] for g in got] == brute_repeats(texts, 200)
     assert runindex.remove_repeats(docs.limit(0)).count() == 0
     assert digest_rows(runindex.remove_repeats(documents(spark, ["short", None])))[0][2] == 0
+
+
+def test_toxicity_counts_stems_that_ordinary_text_holds_once():
+    """What tells the classes apart is how many words of a stem a text holds, each with another end."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    ends = ["ent", "iche", "ux", "oso", "ada", "keit", "aux", "ing", "ers", "isch"]
+    rows = []
+    for k in range(1800):
+        toxic = k % 6 == 0
+        text = [r.choice(words) for _ in range(r.randint(60, 200))]
+        for _ in range(r.randint(4, 7) if toxic else r.choice([0, 0, 0, 1])):
+            text.insert(r.randrange(len(text)), r.choice(["vromp", "zkuld", "grelb"]) + r.choice(ends) + r.choice(ends))
+        rows.append((k, int(toxic), " ".join(text)))
+    model = toxicity.fit(rows[:1400])
+    hit = model.scores(model.features([toxicity.normalise(t) for _, _, t in rows[1400:]])) >= toxicity.THRESHOLD
+    y = np.array([y for _, y, _ in rows[1400:]])
+    assert hit[y == 1].mean() > 0.8 and hit[y == 0].mean() < 0.02
