@@ -16,7 +16,6 @@ the open window is split in pieces of power-of-two lengths, which need no paddin
 from __future__ import annotations
 
 import json
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.bpe import byte_letters
 from tessera.llm.common import materialize, portions
 
 WINDOW = 2048
@@ -33,22 +31,26 @@ END_ID = 1
 SHARD_TOKENS = 500_000
 TASK_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
-CACHE = 400_000  # pieces
-# Below U+02B0 characters are composed already, and lowered one by one.
-_WIDE = re.compile("[\u02b0-\U0010ffff]")
-_LATIN = [chr(c) for c in range(0x2B0)]
-_LETTERS = "".join(c for c in _LATIN if c.isalpha())
-_NUMBERS = "".join(c for c in _LATIN if c.isnumeric())
-_ODD = re.compile("[\x1c-\x1f]")  # white space for str.split, but not for the tokenizer
+TABLE = 1 << 21  # slots for words of up to 16 bytes
+WORDS_KEPT = 800_000  # words that a worker keeps at most, beside those of one portion
+# The pattern that cuts words between letters, single digits and other characters, but keeps an apostrophe's endings together.
+CLASSES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KIND = np.array([0 if c in b" \t\n\v\f\r" else 5 if c >= 128 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 4 if c == 39 else 3 for c in range(256)], np.uint8)
+# Where a word starts (1) or ends (2) between two bytes, by white space, or by classes too: 6 times the kind before and the kind after.
+_BY_SPACE = np.array([(a == 0 and b > 0) + 2 * (a > 0 and b == 0) for a in range(6) for b in range(6)], np.uint8)
+_BY_CLASS = _BY_SPACE | np.array([3 * ((a, b) in {(1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2)}) for a in range(6) for b in range(6)], np.uint8)
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 class WordEncoder:
-    """Ids of a word-level BPE file of the tokenizers library, with a cache of pieces.
+    """Ids of a word-level BPE file of the tokenizers library, with a table of words.
 
-    Texts of Latin letters are cut by the file's own pattern, and the library's model
-    encodes each new piece; words with other characters go through the whole library.
-    White space is dropped, so a text's ids are those of its words. Texts with a
-    special token's string are encoded whole.
+    White space is dropped, so a text's ids are those of its words, or of the parts that the file's own pattern cuts them in,
+    and words met before are looked up as arrays. A word of up to 16 bytes is known by its length and its first and last eight bytes,
+    a longer one by itself. The library encodes all new words of a portion in one call. Texts with a special
+    token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -60,54 +62,114 @@ class WordEncoder:
         spec = json.loads(content)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = [t for t in special if t]
-        self.model = self.tokenizer.model
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.cut = re.compile(pattern.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS)).findall
-        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.bounds = _BY_CLASS if steps[0].get("pattern", {}).get("Regex") == CLASSES else _BY_SPACE
+        self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.bytes_of = [np.array([n], self.kind).tobytes() for n in range(self.size)]
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece of the pre-tokenizer, or of a word outside the Latin range."""
-        if not piece.isascii():
-            if _WIDE.search(piece.lower()):
-                return self._ids(piece)
-            piece = piece.encode().decode("latin-1")
-        bytes_of = self.bytes_of
-        return b"".join([bytes_of[token.id] for token in self.model.tokenize(piece.translate(self.letters))])
-
-    def _pieces(self, text: str) -> list[str]:
-        low = text.lower()
-        if low.isascii() or not _WIDE.search(low):
-            return self.cut(low)
-        out = []
-        for word in text.split():
-            if _WIDE.search(low := word.lower()):
-                out.append(word)
-            else:
-                out += self.cut(low)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros((3, TABLE), np.uint64)  # length, first and last eight bytes of the word in each slot
+        self.word_of = np.full(TABLE, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, self.kind)  # of all words, one after another
+        self.ends, self.words = np.zeros(1 << 14, np.int64), 0
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Encode words and give them numbers."""
+        texts = [w.decode() for w in words]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(found.ids, self.kind)
+        upto = np.searchsorted([a for a, _ in found.offsets], np.cumsum([len(t) + 1 for t in texts]))
+        first = int(self.ends[self.words - 1]) if self.words else 0
+        while first + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.words + len(words) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[first : first + len(ids)] = ids
+        self.ends[self.words : self.words + len(words)] = first + upto
+        self.words += len(words)
+        return np.arange(self.words - len(words), self.words)
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of each word; ``data`` goes on for 16 bytes after the last."""
+        raw = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        short = sizes <= 16
+        mask = _MASKS[np.minimum(sizes, 8)]
+        keys = np.stack([sizes.astype(np.uint64), raw[starts] & mask, raw[starts + np.maximum(sizes - 8, 0)] & mask])
+        slot = ((keys[0] * _MIX[0] ^ keys[1]) * _MIX[1] ^ keys[2]) * _MIX[2]
+        slot = (slot >> np.uint64(64 - TABLE.bit_length() + 1)).astype(np.int64)
+        out = np.full(len(starts), -1, np.int64)
+        rest, fresh = np.nonzero(short)[0], []
+        while len(rest):
+            at = slot[rest]
+            number = self.word_of[at]
+            same = (number >= 0) & (self.keys[:, at] == keys[:, rest]).all(0)
+            out[rest[same]] = number[same]
+            fresh.append(rest[number < 0])  # an empty slot: a new word
+            rest = rest[(number >= 0) & ~same]
+            slot[rest] = (slot[rest] + 1) & (TABLE - 1)
+        fresh = np.sort(np.concatenate(fresh)) if fresh else np.zeros(0, np.int64)
+        if len(fresh):
+            order = np.lexsort(keys[:, fresh])
+            new = np.ones(len(order), bool)
+            new[1:] = (keys[:, fresh[order[1:]]] != keys[:, fresh[order[:-1]]]).any(0)
+            firsts = fresh[order[new]]
+            known = self._learn([data[starts[k] : starts[k] + sizes[k]].tobytes() for k in firsts.tolist()])
+            out[firsts] = known
+            out[fresh[order]] = out[firsts][np.cumsum(new) - 1]
+            while len(known):  # each into the first free slot from its own on; of two that want one the last comes first
+                at = slot[firsts]
+                free = self.word_of[at] < 0
+                self.word_of[at[free]] = known[free]
+                placed = self.word_of[at] == known
+                self.keys[:, at[placed]] = keys[:, firsts[placed]]
+                firsts, known = firsts[~placed], known[~placed]
+                slot[firsts] = (slot[firsts] + 1) & (TABLE - 1)
+        longer = np.nonzero(~short)[0].tolist()
+        words = [data[starts[k] : starts[k] + sizes[k]].tobytes() for k in longer]
+        unknown = [w for w in dict.fromkeys(words) if w not in self.long]
+        if unknown:
+            self.long.update(zip(unknown, self._learn(unknown).tolist()))
+        out[longer] = [self.long[w] for w in words]
         return out
 
+    def encode_all(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another, where each text's end); ``end`` follows each text."""
+        if self.words > WORDS_KEPT:
+            self._forget()
+        whole = {k: self._ids(t) for k, t in enumerate(texts) if any(map(t.__contains__, self.special))}
+        raw = [b"" if k in whole else t.encode() for k, t in enumerate(texts)]
+        data = np.frombuffer(b" ".join(raw) + bytes(16), np.uint8)
+        if self.lowers:  # as the library will, for all but non-ASCII letters
+            data = _LOWER[data]
+        text_ends = np.cumsum([len(r) + 1 for r in raw])
+        kind = np.zeros(len(data) - 14, np.uint8)
+        kind[1:-1] = _KIND[data[:-16]]
+        edge = self.bounds[kind[:-1] * 6 + kind[1:]]
+        starts, stops = np.nonzero(edge & 1)[0], np.nonzero(edge & 2)[0]
+        numbers = self._numbers(data, starts, stops - starts)
+        begin = np.where(numbers > 0, self.ends[numbers - 1], 0)
+        count = self.ends[numbers] - begin if len(numbers) else np.zeros(0, np.int64)
+        upto = np.cumsum(count)
+        flat = self.ids[np.repeat(begin - upto + count, count) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        per_text = np.concatenate([[0], upto])[np.searchsorted(starts, text_ends)]
+        if whole or end is not None:
+            parts, at = [], 0
+            tail = np.array([] if end is None else [end], self.kind)
+            for k, stop in enumerate(per_text.tolist()):
+                parts += [np.array(whole[k], self.kind) if k in whole else flat[at:stop], tail]
+                at = stop
+            per_text = np.cumsum([len(a) + len(b) for a, b in zip(parts[::2], parts[1::2])])
+            flat = np.concatenate(parts) if parts else flat
+        return flat, per_text
+
     def encode(self, text: str) -> bytes:
-        if any(map(text.__contains__, self.special)) or _ODD.search(text):
-            return self._ids(text)
-        cache, pieces = self.cache, self._pieces(text)
-        if len(cache) > CACHE:
-            cache.clear()
-        ids = list(map(cache.get, pieces))
-        for k in [k for k, found in enumerate(ids) if found is None]:
-            piece = pieces[k]
-            if (found := cache.get(piece)) is None:
-                found = self._piece(piece)
-                if len(cache) < 2 * CACHE:
-                    cache[piece] = found
-            ids[k] = found
-        return b"".join(ids)
+        return self.encode_all([text])[0].tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -125,22 +187,18 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         encoder = word_encoder(path)
-        end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
-            for part in portions(batch, 1, 4_000_000):
-                ids, counts, keys = [], [], []
-                for text in part.column(1).to_pylist():
-                    own = encoder.encode(text or "") + end
-                    numbers = np.frombuffer(own, encoder.kind)
-                    most = int(numbers.max())
-                    rest = numbers[numbers != most]
-                    ids.append(own)
-                    counts.append(len(numbers))
-                    keys.append(most << 20 | (int(rest.max()) if len(rest) else most))
-                yield pa.record_batch(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64())],
-                    names=["doc_id", "ids", "n", "order_key"],
-                )
+            for part in portions(batch, 1, 1_000_000):
+                flat, ends = encoder.encode_all([t or "" for t in part.column(1).to_pylist()], end_id)
+                starts = np.concatenate([[0], ends[:-1]])
+                counts = ends - starts
+                most = np.maximum.reduceat(flat, starts)
+                second = np.maximum.reduceat(np.where(flat == np.repeat(most, counts), 0, flat), starts)
+                alone = np.minimum.reduceat(flat, starts) == most  # one id only
+                keys = most.astype(np.int64) << 20 | np.where(alone, most, second).astype(np.int64)
+                size = flat.itemsize
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends * size).astype(np.int32)), pa.py_buffer(flat.tobytes())])
+                yield pa.record_batch([part.column(0), ids, pa.array(counts), pa.array(keys)], names=["doc_id", "ids", "n", "order_key"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -7,9 +7,10 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from tessera.llm import resampling, runindex, runs, toxicity
+from tessera.llm import packing, resampling, runindex, runs, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD_TEXTS = [None, "", " ", "a", "don't STOP...  now\n\n", "naïve café №5 \x1c x\x0b\x85", "日本語 text", "x" * 3000, "\0" * 700, "the cat sat on the mat . " * 60]
@@ -244,13 +245,26 @@ def test_toxicity_counts_stems_that_ordinary_text_holds_once():
     words = ["".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 9))) for _ in range(3000)]
     ends = ["ent", "iche", "ux", "oso", "ada", "keit", "aux", "ing", "ers", "isch"]
     rows = []
-    for k in range(1800):
+    for k in range(2400):
         toxic = k % 6 == 0
         text = [r.choice(words) for _ in range(r.randint(60, 200))]
         for _ in range(r.randint(4, 7) if toxic else r.choice([0, 0, 0, 1])):
             text.insert(r.randrange(len(text)), r.choice(["vromp", "zkuld", "grelb"]) + r.choice(ends) + r.choice(ends))
         rows.append((k, int(toxic), " ".join(text)))
-    model = toxicity.fit(rows[:1400])
-    hit = model.scores(model.features([toxicity.normalise(t) for _, _, t in rows[1400:]])) >= toxicity.THRESHOLD
-    y = np.array([y for _, y, _ in rows[1400:]])
+    model = toxicity.fit(rows[:1800])
+    hit = model.scores(model.features([toxicity.normalise(t) for _, _, t in rows[1800:]])) >= toxicity.THRESHOLD
+    y = np.array([y for _, y, _ in rows[1800:]])
     assert hit[y == 1].mean() > 0.8 and hit[y == 0].mean() < 0.02
+
+
+def test_word_encoder_cuts_as_the_library(monkeypatch):
+    """Apostrophes, digits, marks and capitals, many texts at once, and a table that is forgotten in between."""
+    monkeypatch.setattr(packing, "WORDS_KEPT", 40)
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(3)
+    parts = ["don't", "it'll", "'s", "''s", ".'s", "9's", "a'1", "éa", "1́", ".́b", "AbC-dEf", "x1y22.3", "É", "ß.", "\x85", "\xa0", "​", "İ", "<|endoftext|>", "x" * 40, "日本", "\0", "\x1c"]
+    for _ in range(200):
+        texts = ["".join(r.choice([*parts, " ", "\n", "'"]) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 6))]
+        flat, ends = encoder.encode_all(texts, 1)
+        found = np.split(flat, ends[:-1])
+        assert [f.tolist() for f in found] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts], texts
