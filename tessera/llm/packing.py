@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import materialize, portions
+from tessera.llm.common import give_back, materialize, portions
 
 WINDOW = 2048
 END_ID = 1
@@ -202,7 +202,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, n long, order_key long")
+    return rows.mapInArrow(lambda batches: give_back(run(batches)), f"doc_id {kind}, ids binary, n long, order_key long")
 
 
 def dealt_by_tokens(tokens: DataFrame, n_tokens: int, task_tokens: int = TASK_TOKENS) -> DataFrame:
@@ -394,4 +394,4 @@ def pack_documents(
 
     dealt = dealt_by_tokens(tokens, n_tokens)
     id_type = tokens.schema["doc_id"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return dealt.mapInArrow(lambda batches: give_back(run(batches)), f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

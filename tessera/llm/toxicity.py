@@ -45,6 +45,7 @@ BASE_BYTES, CLASS_BYTES = 8_192, 7_936  # of a dictionary; together within the 1
 BASE_WINDOWS = 60_000  # windows of ordinary text, evenly spaced, that the base is trained on at most
 PER_CLASS = 3000  # labelled documents of each class that training takes at most
 FOLDS = 5
+SLICES = 4  # of segments, counted one after another
 TIMES = 4  # a segment's texts are counted by whether they hold it once, twice, and so on up to so often
 LARGEST = 1  # largest gaps that are features
 LIMITS = (1, 2, 3, 5)  # bytes of gap above which windows are counted
@@ -74,47 +75,40 @@ def _packed(text: bytes) -> np.ndarray:
     return out
 
 
-def _added(counts: tuple[np.ndarray, np.ndarray], found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    some, n = np.unique(np.concatenate(found), return_counts=True)
-    total, back = np.unique(np.concatenate([counts[0], some]), return_inverse=True)
-    return total, np.bincount(back, np.concatenate([counts[1], n]), minlength=len(total)).astype(np.int64)
-
-
-Counts = list[tuple[np.ndarray, np.ndarray]]  # for once, twice, ... ``TIMES`` times: the segments that texts hold so often, and the number of such texts
-
-
-def frequencies(texts: list[bytes]) -> Counts:
-    """Summed up a few million at a time, which bounds the memory that training takes."""
-    total = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * TIMES
-    found: list[list] = [[] for _ in total]
-    held = 0
-    for k, text in enumerate(texts):
-        segments, times = np.unique(_packed(text), return_counts=True)
-        for least, some in enumerate(found, 1):
-            some.append(segments[times >= least])
-        held += len(segments)
-        if held > 2_000_000 or k == len(texts) - 1:
-            total = [_added(t, some) for t, some in zip(total, found)]
-            found, held = [[] for _ in total], 0
-    return total
-
-
-def together(parts: list[Counts]) -> Counts:
-    """The counts of all parts."""
-    out = []
-    for each in zip(*parts):
-        total, back = np.unique(np.concatenate([p[0] for p in each]), return_inverse=True)
-        out.append((total, np.bincount(back, np.concatenate([p[1] for p in each]), minlength=len(total)).astype(np.int64)))
+def common_segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(segments that two texts or more hold, sorted, the numbers of these texts, number of all segments). Summed up a few
+    hundred thousand at a time, and in slices of the segments, which bounds the memory that training takes."""
+    segments, held_by, tried = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], 0
+    for part in range(SLICES):
+        total, counts, found, held = np.zeros(0, np.uint64), np.zeros(0, np.int32), [], 0
+        for k, text in enumerate(texts):
+            packed = _packed(text)
+            found.append(np.unique(packed[packed * _MIX[0] >> np.uint64(62) == part]))
+            held += len(found[-1])
+            if held > 500_000 or k == len(texts) - 1:
+                some, n = np.unique(np.concatenate(found), return_counts=True)
+                total, back = np.unique(np.concatenate([total, some]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, n]), minlength=len(total)).astype(np.int32)
+                found, held = [], 0
+        segments.append(total[counts > 1])
+        held_by.append(counts[counts > 1])
+        tried += len(total)
+    order = np.argsort(found := np.concatenate(segments))
+    return found[order], np.concatenate(held_by)[order], tried
+
+
+def count_segments(texts: list[bytes], segments: np.ndarray) -> np.ndarray:
+    """(TIMES, segments): how many texts hold each of some sorted segments once, twice, and so on."""
+    out = np.zeros((TIMES, len(segments)), np.int64)
+    for text in texts if len(segments) else ():
+        packed = _packed(text)
+        at = np.minimum(np.searchsorted(segments, packed), len(segments) - 1)
+        held, times = np.unique(at[segments[at] == packed], return_counts=True)
+        for k in range(TIMES):
+            out[k, held[times > k]] += 1
     return out
 
 
-def _count(segments: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    if not len(known[0]):
-        return np.zeros(len(segments))
-    at = np.minimum(np.searchsorted(known[0], segments), len(known[0]) - 1)
-    return np.where(known[0][at] == segments, known[1][at], 0).astype(float)
-
-
 def without_copies(texts: list[bytes], length: int = 24) -> list[bytes]:
     """The texts that share none of their four minimum hashes of ``length``-byte runs with an earlier one."""
     seen: set = set()
@@ -136,19 +130,35 @@ def without_copies(texts: list[bytes], length: int = 24) -> list[bytes]:
     return out
 
 
-def typical_segments(ours: Counts, n: int, theirs: Counts, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segments that the ``n`` texts of ``ours`` hold, or hold repeatedly, at least eight times as frequently as the ``m`` of ``theirs`` beyond
-    chance, and their greatest test statistic. The statistic passes where less than one segment is expected to by chance."""
-    segments = ours[0][0]
-    best = np.zeros(len(segments))
-    m = max(1, m)
-    for known, their in zip(ours, theirs):
-        here, there = _count(segments, known), _count(segments, their)
+class Typical:
+    """Which segments are typical of either class, toxic (0) and ordinary (1), in any choice of folds of their texts.
+
+    A segment is typical if texts of the class hold it, or hold it repeatedly, at least eight times as frequently as those of the
+    other beyond chance. The statistic passes where less than one segment of all that were tried is expected to by chance.
+    Segments of so few texts that they can't pass are not counted.
+    """
+
+    def __init__(self, folds: list[list[list[bytes]]]):
+        self.sizes = np.array([[len(f) for f in own] for own in folds], float)
+        n, self.segments, self.limits, self.counts = self.sizes.sum(1), [], [], []
+        for y, own in enumerate(folds):
+            texts = [t for f in own for t in f]
+            chance = np.log(1 + max(1.0, n[1 - y]) / max(1.0, n[y]))
+            segments, held_by, tried = common_segments(texts)
+            limit = np.log(max(2, tried * TIMES))
+            segments = segments[held_by >= limit / chance]
+            self.segments.append(segments)
+            self.limits.append(2 * limit)
+            self.counts.append([[count_segments(f, segments) for f in side] for side in folds])
+
+    def of(self, y: int, folds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(segments, greatest test statistic) of a class."""
+        n, m = max(1.0, self.sizes[y, folds].sum()), max(1.0, self.sizes[1 - y, folds].sum())
+        here, there = (np.sum([self.counts[y][side][f] for f in folds], 0) for side in (y, 1 - y))
         both = np.maximum(here + there, 1e-9) / (n + m)
         statistic = 2 * (here * np.log(np.maximum(here, 1e-9) / (n * both)) + there * np.log(np.maximum(there, 1e-9) / (m * both)))
-        typical = (here / max(1, n) >= 8 * (there + 0.5) / (m + 1)) & (statistic > 2 * np.log(max(2, len(segments) * TIMES)))
-        best = np.where(typical, np.maximum(best, statistic), best)
-    return segments[best > 0], best[best > 0]
+        best = np.where((here / n >= 8 * (there + 0.5) / (m + 1)) & (statistic > self.limits[y]), statistic, 0.0).max(0)
+        return self.segments[y][best > 0], best[best > 0]
 
 
 def stretches(texts: list[bytes], segments: np.ndarray, statistic: np.ndarray) -> list[bytes]:
@@ -180,19 +190,17 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], counts: tuple[Counts, Counts] | None = None) -> tuple[bytes, bytes]:
-    """The toxic and the ordinary dictionary of texts without near copies; ``counts`` are those of the texts' segments, if known."""
+def train_dictionaries(texts: tuple[list[bytes], list[bytes]], typical: list[tuple[np.ndarray, np.ndarray]]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary of (toxic, ordinary) texts without near copies, given the typical segments of either."""
+    ordinary = texts[1]
     windows = sum(len(spans_of(len(t))) for t in ordinary)
     every, base, met = -(-windows // BASE_WINDOWS), [], 0
     for text in ordinary:
         spans = spans_of(len(text))
         base += [text[a : a + n] for a, n in spans[-met % every :: every].tolist()]
         met += len(spans)
-    held, there = counts or (frequencies(toxic), frequencies(ordinary))
-    parts = []
-    for own, ours, other, theirs in ((toxic, held, ordinary, there), (ordinary, there, toxic, held)):
-        found = stretches(own, *typical_segments(ours, len(own), theirs, len(other)))
-        parts.append(train_dictionary(found, CLASS_BYTES) if found else b"")
+    found = [stretches(own, *segments) for own, segments in zip(texts, typical)]
+    parts = [train_dictionary(f, CLASS_BYTES) if f else b"" for f in found]
     shared = train_dictionary(base, BASE_BYTES) if base else b""
     size = max(map(len, parts))
     return shared + parts[0].rjust(size, b"\0"), shared + parts[1].rjust(size, b"\0")
@@ -275,11 +283,11 @@ def fit(rows: list[tuple[int, int, str]]) -> ToxicityModel:
     fold_of = lambda t: zlib.crc32(t) % FOLDS  # noqa: E731  (copies stay together)
     alone = [without_copies([t for t, l in zip(texts, labels) if l == y]) for y in (1, 0)]
     parts = [[[t for t in own if fold_of(t) == f] for f in range(FOLDS)] for own in alone]
-    counts = [[frequencies(part) for part in own] for own in parts]
+    typical = Typical(parts)
 
     def learned(left_out: int) -> tuple[bytes, bytes]:
         used = [f for f in range(FOLDS) if f != left_out]
-        return train_dictionaries(*([t for f in used for t in own[f]] for own in parts), tuple(together([c[f] for f in used]) for c in counts))
+        return train_dictionaries(tuple([t for f in used for t in own[f]] for own in parts), [typical.of(y, used) for y in (0, 1)])
 
     x, fold = np.zeros((len(texts), FEATURES)), np.array([fold_of(t) for t in texts])
     for f in range(FOLDS):
