@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +54,13 @@ def discard(*tables: DataFrame) -> None:
 def release(df: DataFrame) -> None:
     """Let Spark delete the shuffle files of steps that are over: it does so when the driver collects garbage,
     which with a large heap may be long after."""
-    gc.collect()
+    trim()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def give_back(batches):
-    """The batches, and then the memory that this Python worker holds but no longer uses: workers outlive their task."""
-    import ctypes
-
-    import pyarrow as pa
-
-    yield from batches
+def trim() -> None:
+    """Return the memory that this process holds but no longer uses."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -70,6 +68,12 @@ def give_back(batches):
         pass
 
 
+def give_back(batches):
+    """The batches, and then the memory they took: Python workers outlive their task."""
+    yield from batches
+    trim()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -124,8 +128,6 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, score, schema: str, m
     The result has the id column as ``doc_id`` and the columns of ``schema``. Null
     texts are passed as empty strings; other columns are ignored.
     """
-    import pyarrow as pa
-
     names = ["doc_id", *(c.split()[0] for c in schema.split(","))]
 
     def run(batches):

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fit_logistic, held_out, labelled_sample, map_texts, text_column
+from tessera.llm.common import fit_logistic, held_out, labelled_sample, map_texts, text_column, trim
 
 WINDOW, STRIDE = 64, 48  # bytes of normalised text
 SEGMENT = 6
@@ -308,7 +308,9 @@ def fit(rows: list[tuple[int, int, str]]) -> ToxicityModel:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     """Fit on at most ``per_class`` labelled documents of each class, none of them held out."""
-    return fit(labelled_sample(docs, labels, "toxic", per_class))
+    model = fit(labelled_sample(docs, labels, "toxic", per_class))
+    trim()  # the texts and counts of training would stay with the driver
+    return model
 
 
 def _scorer(model: ToxicityModel):
