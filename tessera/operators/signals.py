@@ -11,10 +11,11 @@ from tessera.operators.statistics import KEYS, by_time
 
 # Names of standard signals without a prefix, all of the engine.
 STANDARD = (
-    "RPM SPEED COOLANT_TEMP INTAKE_TEMP IAT MAP BARO BAROMETRIC_PRESSURE ENGINE_LOAD ABSOLUTE_LOAD THROTTLE_POS THROTTLE_POS_B RELATIVE_THROTTLE_POS TIMING_ADVANCE MAF "
-    "FUEL_RAIL_PRESSURE_DIRECT SHORT_FUEL_TRIM_1 LONG_FUEL_TRIM_1 O2_B1S2 O2_S1_WR_CURRENT CONTROL_MODULE_VOLTAGE ELM_VOLTAGE ACCELERATOR_POS_D ACCELERATOR_POS_E "
-    "RUN_TIME DISTANCE_W_MIL DISTANCE_SINCE_DTC_CLEAR COMMANDED_EQUIV_RATIO"
-).split()
+    "RPM", "SPEED", "COOLANT_TEMP", "INTAKE_TEMP", "IAT", "MAP", "BARO", "BAROMETRIC_PRESSURE", "ENGINE_LOAD", "ABSOLUTE_LOAD", "THROTTLE_POS",
+    "THROTTLE_POS_B", "RELATIVE_THROTTLE_POS", "TIMING_ADVANCE", "MAF", "FUEL_RAIL_PRESSURE_DIRECT", "SHORT_FUEL_TRIM_1", "LONG_FUEL_TRIM_1",
+    "O2_B1S2", "O2_S1_WR_CURRENT", "CONTROL_MODULE_VOLTAGE", "ELM_VOLTAGE", "ACCELERATOR_POS_D", "ACCELERATOR_POS_E", "RUN_TIME", "DISTANCE_W_MIL",
+    "DISTANCE_SINCE_DTC_CLEAR", "COMMANDED_EQUIV_RATIO",
+)
 # Units of the dual-channel format's signals.
 UNITS = {
     "A_KL_RPM": "rpm", "A_KL_SPEED": "km/h", "A_KL_COOLANT_TEMP": "°C", "A_KL_IAT": "°C", "A_KL_MAP": "kPa", "A_KL_BARO": "kPa", "A_KL_TIMING_ADV": "deg",
@@ -23,6 +24,16 @@ UNITS = {
     "A_YAM_BATT_RAW": "raw", "A_YAM_MAP_RAW": "raw", "A_YAM_O2_FB_RAW": "raw", "A_YAM_TPS_RAW": "raw",
 }
 
+# Units of the standard signals, as their logs name them.
+STANDARD_UNITS = {
+    "RPM": "rpm", "SPEED": "km/h", "THROTTLE_POS": "percent", "THROTTLE_POS_B": "percent", "ENGINE_LOAD": "percent", "ABSOLUTE_LOAD": "percent",
+    "RELATIVE_THROTTLE_POS": "percent", "THROTTLE_ACTUATOR": "percent", "COOLANT_TEMP": "degC", "INTAKE_TEMP": "degC", "CATALYST_TEMP_B1S1": "degC", "MAF": "g/s",
+    "INTAKE_PRESSURE": "kPa", "BAROMETRIC_PRESSURE": "kPa", "FUEL_RAIL_PRESSURE_DIRECT": "kPa", "SHORT_FUEL_TRIM_1": "percent", "LONG_FUEL_TRIM_1": "percent",
+    "TIMING_ADVANCE": "degree", "O2_B1S2": "volt", "O2_S1_WR_CURRENT": "mA", "EGR_ERROR": "percent", "COMMANDED_EGR": "percent", "EVAPORATIVE_PURGE": "percent",
+    "RUN_TIME": "second", "WARMUPS_SINCE_DTC_CLEAR": "count", "DISTANCE_W_MIL": "km", "DISTANCE_SINCE_DTC_CLEAR": "km", "CONTROL_MODULE_VOLTAGE": "volt",
+    "ELM_VOLTAGE": "volt", "ACCELERATOR_POS_D": "percent", "ACCELERATOR_POS_E": "percent", "COMMANDED_EQUIV_RATIO": "ratio",
+}
+
 
 def subsystem(name: Column) -> Column:
     """F13."""
@@ -31,8 +42,8 @@ def subsystem(name: Column) -> Column:
     )
 
 
-def unit(name: Column, units: dict = UNITS) -> Column:
-    """a signal's unit, or unknown."""
+def unit(name: Column, units: dict = UNITS | STANDARD_UNITS) -> Column:
+    """a signal's unit, or unknown. Names count as they are written; a null name's unit is unknown."""
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in units.items() for v in kv]), name), F.lit("unknown"))
 
 
@@ -97,6 +108,6 @@ def first_events(events: DataFrame, most: int) -> DataFrame:
     return events.withColumn("nth", nth).where(F.col("nth") <= most)
 
 
-def by_unit(inventory: DataFrame, units: dict = UNITS) -> DataFrame:
+def by_unit(inventory: DataFrame, units: dict = UNITS | STANDARD_UNITS) -> DataFrame:
     """(session, unit, signals): a session's signals by unit, in order of name."""
     return inventory.groupBy("session", unit(F.col("signal"), units).alias("unit")).agg(F.array_sort(F.collect_set("signal")).alias("signals"))

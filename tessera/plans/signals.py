@@ -62,7 +62,7 @@ def suggested_names(spark, sf_dir):
 
 
 @query(f"""
-WITH {INVENTORY} SELECT session, CASE WHEN signal IN ('A_KL_RPM', 'A_YAM_RPM') THEN 'rpm' ELSE 'unknown' END AS unit, string_agg(signal, ',' ORDER BY signal) AS signals FROM i GROUP BY 1, 2""")
+WITH {INVENTORY} SELECT session, CASE WHEN signal IN ('A_KL_RPM', 'A_YAM_RPM') THEN 'rpm' WHEN signal = 'COOLANT_TEMP' THEN 'degC' ELSE 'unknown' END AS unit, string_agg(signal, ',' ORDER BY signal) AS signals FROM i GROUP BY 1, 2""")
 def signals_by_unit(spark, sf_dir):
     """G31."""
     return signals.by_unit(inventory(spark, sf_dir)).select("session", "unit", F.array_join("signals", ",").alias("signals"))

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+
 from tessera.functions import scalars
-from tessera.operators import detectors, events, relational, statistics
+from tessera.operators import detectors, events, relational, signals, statistics
 
 SCHEMA = "session long, signal string, us long, row_id long, value double"
 
@@ -135,3 +136,16 @@ def test_resample_of_a_long_series(spark):
     rows = spark.range(100_000).selectExpr("1L AS session", "'a' AS signal", "id * 2 AS us", "id AS row_id", "cast(id AS double) AS value")
     got = events.resample(rows, 1).agg(F.count("*"), F.sum("value"), F.max("value")).first()
     assert tuple(got) == (199_999, 99_999 * 199_999 / 2, 99_999)
+
+
+def test_units_of_standard_and_dual_channel_signals(spark):
+    names = ["RPM", "SPEED", "Speed", "COOLANT_TEMP", "A_KL_COOLANT_TEMP", "A_YAM_INJ_US", "RUN_TIME", "O2_B1S2", "B_WHEEL", "", None]
+    inventory = spark.createDataFrame([(1, n) for n in [*names, "RPM"]], "session long, signal string")
+    got = dict(inventory.select("signal", signals.unit(F.col("signal"))).collect())
+    assert got == {
+        "RPM": "rpm", "SPEED": "km/h", "Speed": "unknown", "COOLANT_TEMP": "degC", "A_KL_COOLANT_TEMP": "°C", "A_YAM_INJ_US": "us", "RUN_TIME": "second",
+        "O2_B1S2": "volt", "B_WHEEL": "unknown", "": "unknown", None: "unknown",
+    }
+    units = {r["unit"]: r["signals"] for r in signals.by_unit(inventory).collect()}
+    assert units["rpm"] == ["RPM"] and units["unknown"] == ["", "B_WHEEL", "Speed"] and units["km/h"] == ["SPEED"]
+    assert signals.by_unit(inventory.limit(0)).count() == 0
