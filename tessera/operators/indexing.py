@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,16 +11,26 @@ from tessera.functions import texts as X
 
 def unique_ids(nodes: DataFrame) -> DataFrame:
     """nodes(manual_id, nth, base) with an id each: the base, or with the least suffix from -2 on that no node before it has,
-    suffixed or natural. One manual's nodes are one list, folded in order."""
-    rows = F.array_sort(F.collect_list(F.struct("nth", "base")))
-
-    def step(used: Column, node: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(2), F.size(used) + 2), lambda k: ~F.array_contains(used, F.concat_ws("-", node["base"], k.cast("string"))))
-        name = F.when(F.array_contains(used, node["base"]), F.concat_ws("-", node["base"], free[0].cast("string"))).otherwise(node["base"])
-        return F.concat(used, F.array(name))
-
-    x = nodes.groupBy("manual_id").agg(rows.alias("r")).withColumn("ids", F.aggregate("r", F.array().cast("array<string>"), step))
-    return x.select("manual_id", F.posexplode(F.arrays_zip("r", "ids")).alias("p", "z")).select("manual_id", "z.r.nth", "z.r.base", F.col("z.ids").alias("node_id"))
+    suffixed or natural. A manual's nodes go to one task, which passes over them once, in order of nth and base; a null base has a null id,
+    repeated rows are nodes of their own, and an empty table gives an empty result."""
+
+    def name(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("nth", "ascending"), ("base", "ascending")])
+        used: set = set()
+        tried: dict = {}  # the last suffix of each base; all smaller ones are taken for good
+        ids = []
+        for base in table.column("base").to_pylist():
+            found = base
+            while found is not None and found in used:
+                tried[base] = tried.get(base, 1) + 1
+                found = f"{base}-{tried[base]}"
+            used.add(found)
+            ids.append(found)
+        return table.append_column("node_id", pa.array(ids, pa.string()))
+
+    x = nodes.select("manual_id", "nth", F.col("base").cast("string").alias("base"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields) + ", node_id string"
+    return x.groupBy("manual_id").applyInArrow(name, schema)
 
 
 def code_cards(nodes: DataFrame, items: DataFrame, pattern: str = r"\b[PCBU]\d[0-9A-F]{3}\b") -> DataFrame:

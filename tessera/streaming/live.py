@@ -22,7 +22,8 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; only a local session may lack that setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="tessera-stream-")
     return f"{shared.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"

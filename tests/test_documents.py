@@ -165,3 +165,17 @@ def test_a_tree_tiles_its_items(spark):
     assert got == [("Removing the pads", ["Brakes"], "Brakes", 0, 3), ("Fitting", ["Thin"], "Brakes", 3, 6), ("Engine", [], "Engine", 6, 9), ("Code table", [], "Engine", 9, 11)]
     assert {r["code"]: (r["n_rows"], r["detect_ref"] is not None) for r in cards.collect()} == {"P0101": (2, True), "P0102": (1, True)}
     assert all(r["passes"] for r in found.collect())
+
+
+def test_unique_ids_equal_a_search_of_all_suffixes(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(m, k, r.choice(["a", "a-2", "a-2-2", "b", "a-3", None, ""])) for m in (1, 2) for k in range(80)]
+    got = sorted(((x["manual_id"], x["nth"], x["node_id"]) for x in indexing.unique_ids(spark.createDataFrame(rows, "manual_id long, nth long, base string")).collect()))
+    want, used = [], {1: set(), 2: set()}
+    for m, k, base in rows:
+        free = base if base is None or base not in used[m] else next(f"{base}-{n}" for n in range(2, 200) if f"{base}-{n}" not in used[m])
+        used[m].add(free)
+        want.append((m, k, free))
+    assert got == want

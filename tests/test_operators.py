@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-
 from tessera.functions import scalars
 from tessera.operators import detectors, events, relational, signals, statistics
 
