@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scans import DAY_US, running
 from tessera.operators.statistics import KEYS, by_time
 
 GRID_RUN = 4096  # grid points that one row spreads to
@@ -25,18 +26,20 @@ def condition(kind: str, threshold: float | None = None) -> Column:
     return F.coalesce(found[kind], F.lit(False))
 
 
-def find_events(rows: DataFrame, kind: str, threshold: float | None = None, min_seconds: float = 1.0, merge_seconds: float = 5.0) -> DataFrame:
+def find_events(rows: DataFrame, kind: str, threshold: float | None = None, min_seconds: float = 1.0, merge_seconds: float = 5.0, width: int = DAY_US) -> DataFrame:
     """(session, signal, start_us, end_us, peak, seconds, n_rows): events in which a condition holds.
 
     Neighbouring rows that meet it form an island. Islands shorter than
     ``min_seconds`` go first; then those at most ``merge_seconds`` apart are one event.
-    The peak is the smallest value for conditions that look down, else the largest.
+    The peak is the smallest value for conditions that look down, else the largest. Rows are ordered
+    in ranges of ``width`` microseconds; only a series' islands are ordered as a whole.
     """
     down = kind in ("below", "falling_below", "rate_of_change_below")
-    x = rows.withColumn("before", F.lag("value").over(by_time())).withColumn("before_us", F.lag("us").over(by_time()))
+    x = running(rows, KEYS, "us", ["row_id"], width, befores={"_before": F.struct("value", "us")})
+    x = x.withColumn("before", F.col("_before.value")).withColumn("before_us", F.col("_before.us"))
+    # rows of one island have equally many rows before them that don't meet the condition
     x = x.withColumn("met", condition(kind, threshold))
-    opens = F.col("met") & ~F.coalesce(F.lag("met").over(by_time()), F.lit(False))
-    x = x.withColumn("island", F.sum(opens.cast("int")).over(by_time())).where("met")
+    x = running(x, KEYS, "us", ["row_id"], width, sums={"island": (~F.col("met")).cast("int")}).where("met")
     peak = (F.min if down else F.max)("value").alias("peak")
     islands = x.groupBy(*KEYS, "island").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), peak, F.count("*").alias("n_rows"))
     islands = islands.where((F.col("end_us") - F.col("start_us")) / 1e6 >= min_seconds)
@@ -49,10 +52,10 @@ def find_events(rows: DataFrame, kind: str, threshold: float | None = None, min_
     return out.withColumn("seconds", (F.col("end_us") - F.col("start_us")) / 1e6).drop("event")
 
 
-def consecutive_distinct(rows: DataFrame) -> DataFrame:
-    """Rows whose value differs from that of the row before."""
-    same = F.col("value").eqNullSafe(F.lag("value").over(by_time())) & (F.row_number().over(by_time()) > 1)
-    return rows.withColumn("_same", same).where(~F.col("_same")).drop("_same")
+def consecutive_distinct(rows: DataFrame, width: int = DAY_US) -> DataFrame:
+    """Rows whose value differs from that of the row before; rows are ordered in ranges of ``width`` microseconds."""
+    x = running(rows, KEYS, "us", ["row_id"], width, befores={"_before": F.struct("value")})
+    return x.where(F.col("_before").isNull() | ~F.col("value").eqNullSafe(F.col("_before.value"))).drop("_before")
 
 
 def read_window(rows: DataFrame, start_us: int | None, end_us: int | None, max_rows: int) -> DataFrame:
@@ -69,12 +72,12 @@ def read_window(rows: DataFrame, start_us: int | None, end_us: int | None, max_r
     return x.where((F.col("total") <= max_rows) | chosen | ends).drop("total")
 
 
-def resample(rows: DataFrame, step_us: int, fill: str = "interpolate") -> DataFrame:
+def resample(rows: DataFrame, step_us: int, fill: str = "interpolate", width: int = DAY_US) -> DataFrame:
     """(session, signal, us, value) on a uniform grid from each series' first to its last timestamp.
 
     fill: ``interpolate`` is linear in time between neighbours, ``ffill`` and ``bfill``
     take one of them, ``none`` keeps only values on the grid. Duplicate timestamps
-    must be averaged before.
+    must be averaged before. Rows and grid are ordered in ranges of ``width`` microseconds.
     """
     span = rows.groupBy(*KEYS).agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
     # the grid in runs of bounded length: one array for a long series would not fit in a row
@@ -84,9 +87,12 @@ def resample(rows: DataFrame, step_us: int, fill: str = "interpolate") -> DataFr
     both = rows.select(*KEYS, "us", "value", F.lit(0).alias("is_grid")).unionByName(grid.select(*KEYS, "us", F.lit(None).cast("double").alias("value"), F.lit(1).alias("is_grid")))
     point = F.when(F.col("is_grid") == 0, F.struct("us", "value"))
     # a row at a grid point sorts before it, so looking back finds it; the look ahead runs from the end, in the opposite order
-    back = Window.partitionBy(*KEYS).orderBy("us", "is_grid").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*KEYS).orderBy(F.desc("us"), F.desc("is_grid")).rowsBetween(Window.unboundedPreceding, 0)
-    x = both.withColumn("l", F.last(point, ignorenulls=True).over(back)).withColumn("r", F.last(point, ignorenulls=True).over(ahead)).where("is_grid = 1")
+    x = running(both, KEYS, "us", ["is_grid"], width, lasts={"l": point})
+    if fill in ("interpolate", "bfill"):
+        x = running(x.withColumns({"_us": -F.col("us"), "_grid": -F.col("is_grid")}), KEYS, "_us", ["_grid"], width, lasts={"r": point})
+    else:
+        x = x.withColumn("r", F.lit(None).cast(x.schema["l"].dataType))
+    x = x.where("is_grid = 1")
     on = F.col("l.us") == F.col("us")
     share = (F.col("us") - F.col("l.us")) / (F.col("r.us") - F.col("l.us"))
     value = {
@@ -105,14 +111,14 @@ def severity(events: DataFrame) -> DataFrame:
     return events.withColumn("composite", total).withColumn("severity", F.when(total < 0.33, "low").when(total < 0.66, "medium").otherwise("high"))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, tie: str) -> DataFrame:
-    """Each left row with the ``value`` of the last right row of its keys at or before it, null if none."""
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, tie: str, width: int = DAY_US) -> DataFrame:
+    """Each left row with the ``value`` of the last right row of its keys at or before it, null if none; both sides
+    are ordered in ranges of ``width`` (microseconds of a time, else units of ``at``)."""
     both = left.withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(right.schema[value].dataType))
     other = right.select(*keys, at, tie, F.lit(0).alias("_side"), F.col(value).alias("_value"))
     both = both.unionByName(other, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(at, "_side", tie).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(F.col("_side") == 0, F.struct(F.col("_value").alias("v"))), ignorenulls=True).over(order)
-    return both.withColumn("asof", found).where("_side = 1").withColumn("asof", F.col("asof.v")).drop("_side", "_value")
+    found = {"asof": F.when(F.col("_side") == 0, F.struct(F.col("_value").alias("v")))}
+    return running(both, keys, at, ["_side", tie], width, lasts=found).where("_side = 1").withColumn("asof", F.col("asof.v")).drop("_side", "_value")
 
 
 def overlaps(a: DataFrame, b: DataFrame, keys: list[str], bucket_us: int) -> DataFrame:

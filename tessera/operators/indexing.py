@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 from tessera.functions import texts as X
 
 
+def suffixed(bases: list) -> list:
+    """An id for each base in turn: the base, or with the least suffix from -2 on that none before has; null stays null."""
+    used: set = set()
+    tried: dict = {}  # the last suffix of each base; all smaller ones are taken for good
+    ids = []
+    for base in bases:
+        found = base
+        while found is not None and found in used:
+            tried[base] = tried.get(base, 1) + 1
+            found = f"{base}-{tried[base]}"
+        used.add(found)
+        ids.append(found)
+    return ids
+
+
 def unique_ids(nodes: DataFrame) -> DataFrame:
     """nodes(manual_id, nth, base) with an id each: the base, or with the least suffix from -2 on that no node before it has,
     suffixed or natural. A manual's nodes go to one task, which passes over them once, in order of nth and base; a null base has a null id,
@@ -16,17 +31,7 @@ def unique_ids(nodes: DataFrame) -> DataFrame:
 
     def name(table: pa.Table) -> pa.Table:
         table = table.sort_by([("nth", "ascending"), ("base", "ascending")])
-        used: set = set()
-        tried: dict = {}  # the last suffix of each base; all smaller ones are taken for good
-        ids = []
-        for base in table.column("base").to_pylist():
-            found = base
-            while found is not None and found in used:
-                tried[base] = tried.get(base, 1) + 1
-                found = f"{base}-{tried[base]}"
-            used.add(found)
-            ids.append(found)
-        return table.append_column("node_id", pa.array(ids, pa.string()))
+        return table.append_column("node_id", pa.array(suffixed(table.column("base").to_pylist()), pa.string()))
 
     x = nodes.select("manual_id", "nth", F.col("base").cast("string").alias("base"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields) + ", node_id string"
