@@ -131,7 +131,7 @@ def first_pattern(title: Column, patterns: list[tuple[str, str]], otherwise: str
 def augmented_code_rows(lines: DataFrame, cards: DataFrame) -> DataFrame:
     """lines of a document with the slug of cards(code, slug) that each table row's first code has, or NOT-INDEXED, as a last cell."""
     code = F.upper(F.regexp_extract("line", r"(?i)\b[PCBU]\d[0-9A-F]{3}\b", 0))
-    x = lines.withColumn("code", F.when(F.col("line").rlike(r"^\s*\|") & (code != ""), code)).join(F.broadcast(cards), "code", "left")
+    x = lines.withColumn("code", F.when(F.col("line").rlike(r"^\s*\|") & (code != ""), code)).join(cards, "code", "left")
     cell = F.concat(F.regexp_replace("line", r"\s*$", ""), F.lit(" "), F.coalesce("slug", F.lit("NOT-INDEXED")), F.lit(" |"))
     return x.select("id", "line_no", F.when(F.col("code").isNotNull(), cell).otherwise(F.col("line")).alias("line"))
 

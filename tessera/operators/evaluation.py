@@ -17,6 +17,9 @@ WEIGHTS = {
     "citation_quality": 0.05, "value_accuracy": 0.05, "answer_quality": 0.15,
 }
 BASE_TOKENS, TOKENS_A_FACT = 500, 2500
+# The kinds of questions about signals.
+SIGNAL_KINDS = ("signal_statistics", "event_finding", "dtc_enumeration", "dtc_decode", "compound_obd", "adversarial_obd")
+SIGNAL_COLUMNS = {"section_recall": "signal_recall", "claim_precision": "signal_precision", "citation_quality": "code_accuracy"}
 
 
 def _named(slugs: DataFrame) -> DataFrame:
@@ -109,6 +112,19 @@ def overall(rows: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
     return rows.withColumn("overall", F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled)))
 
 
+def by_lane(rows: DataFrame, kind: str = "question_type", signal_kinds: tuple = SIGNAL_KINDS) -> DataFrame:
+    """Rows with the metrics of their lane in the columns that ``overall`` weighs. Questions of ``signal_kinds`` put signal_recall,
+    signal_precision and code_accuracy in the place of section_recall, claim_precision and citation_quality, and cost and trajectory have
+    their neutral values; all others, and those of no kind, keep their own and have a neutral value_accuracy. The facts' metrics are the same in both
+    lanes. A column that the rows lack counts as null; the signal columns are dropped; other columns stay."""
+    of_signals = F.coalesce(F.col(kind).isin(*signal_kinds), F.lit(False))
+    get = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("double")
+    out = {own: F.when(of_signals, get(other)).otherwise(get(own)) for own, other in SIGNAL_COLUMNS.items()}
+    out |= {name: F.when(of_signals, value).otherwise(get(name)) for name, value in (("exploration_cost", 0.0), ("trajectory_efficiency", 1.0))}
+    out["value_accuracy"] = F.when(of_signals, get("value_accuracy")).otherwise(1.0)
+    return rows.withColumns(out).drop(*SIGNAL_COLUMNS.values())
+
+
 def signal_metrics(entries: DataFrame, expected: DataFrame, cited: DataFrame) -> DataFrame:
     """(entry, signal_recall, signal_precision, value_accuracy) of expected(entry, signal, stat, value, tolerance,
     start, end) and cited(entry, signal, stat, value, start, end). A citation matches if the signal is the same but for case, the

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import patterns
+
 
 def listed(rows: DataFrame, equal: dict | None = None, at_least: dict | None = None, at_most: dict | None = None, contains: dict | None = None) -> DataFrame:
     """Rows that meet all bounds given; a bound of None is no bound."""
@@ -42,11 +46,13 @@ def counts_by(rows: DataFrame, *columns: str) -> DataFrame:
 
 def pinned(inquiries: DataFrame, tokens: DataFrame, least: int = 4) -> DataFrame:
     """inquiries(id, text) with the only manual of tokens(manual_id, token) whose token is in the text, separators and case
-    aside; null if none or several are. Tokens of fewer than ``least`` letters don't count. There are few tokens: the catalog of manuals."""
+    aside; null if none or several are. Tokens of fewer than ``least`` letters don't count. All tokens are searched at once, however many."""
     bare = lambda c: F.lower(F.regexp_replace(c, r"[\s_\-./]+", ""))
-    t = tokens.select("manual_id", bare("token").alias("token")).where(F.length("token") >= least).distinct()
-    hits = inquiries.select("id", bare("text").alias("text")).join(F.broadcast(t), F.contains("text", F.col("token")))
-    one = hits.groupBy("id").agg(F.countDistinct("manual_id").alias("n"), F.min("manual_id").alias("manual_id")).where("n = 1")
+    t = tokens.select("manual_id", bare("token").alias("token")).where((F.length("token") >= least) & F.col("manual_id").isNotNull()).distinct()
+    owners = t.groupBy("token").agg(F.count("*").alias("n"), F.min("manual_id").alias("manual_id"))
+    hits = patterns.found_in(inquiries.select("id", bare("text").alias("text")), owners.select(F.col("token").alias("pattern_id"), F.col("token").alias("pattern")))
+    one = hits.join(owners, F.col("pattern_id") == F.col("token")).groupBy("id").agg(F.max("n").alias("n"), F.min("manual_id").alias("manual_id"), F.max("manual_id").alias("_most"))
+    one = one.where("n = 1 AND manual_id = _most")
     return inquiries.select("id").join(one.select("id", "manual_id"), "id", "left")
 
 
@@ -72,6 +78,38 @@ def closest_slug(requests: DataFrame, slugs: DataFrame, slug_of, least: float =
     return requests.join(x.groupBy("id", "name").agg(best.alias("slug")), ["id", "name"], "left")
 
 
+def closest_by_blocks(requests: DataFrame, slugs: DataFrame, slug_of, least: float = 0.4) -> DataFrame:
+    """requests(id, name) with the known slug of slugs(id, nth, slug) that each name's slug means: the same; else the first in
+    order of nth that contains it or that it contains; else the one of the greatest ratio of letters in matching blocks (the longest
+    common block, and so on left and right of it), the first on a tie, if that is ``least`` or more; null if none.
+
+    Equal slugs meet by a join on id and slug. Others are paired within an id only, and blocks are searched where the letters that both have,
+    in any order, allow a ratio of ``least``. A null name, id or slug has no match; repeated requests have one row; an empty
+    slug is in every other, and every other in none.
+    """
+    asked = requests.select("id", "name").distinct()
+    x = asked.withColumn("made", slug_of(F.col("name"))).where("id IS NOT NULL AND made IS NOT NULL")
+    known = slugs.where("id IS NOT NULL AND slug IS NOT NULL").groupBy("id", "slug").agg(F.min("nth").alias("nth"))
+    same = x.join(known, (x["id"] == known["id"]) & (x["made"] == known["slug"])).select(x["id"], "name", "slug")
+    pairs = x.join(same.select("id", "name"), ["id", "name"], "left_anti").join(known, "id")
+    inside = F.contains("slug", F.col("made")) | F.contains("made", F.col("slug"))
+    one, other = F.split("made", ""), F.split("slug", "")
+    held = lambda a, letter: F.size(F.filter(a, lambda y: y == letter))
+    common = F.aggregate(F.array_intersect(one, other), F.lit(0), lambda n, letter: n + F.least(held(one, letter), held(other, letter)))
+    possible = 2 * common / (F.length("made") + F.length("slug")) >= least - 1e-9
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b)])
+
+    pairs = pairs.withColumn("inside", inside).withColumn("possible", possible).where("inside OR possible")
+    contained = pairs.where("inside").groupBy("id", "name").agg(F.min_by("slug", F.struct("nth", "slug")).alias("slug"))
+    rest = pairs.where("NOT inside").join(contained.select("id", "name"), ["id", "name"], "left_anti").withColumn("ratio", ratio("made", "slug")).where((F.col("ratio") >= least) & (F.col("ratio") > 0))
+    nearest = rest.groupBy("id", "name").agg(F.min_by("slug", F.struct(-F.col("ratio"), "nth", "slug")).alias("slug"))
+    found = same.unionByName(contained).unionByName(nearest).withColumnsRenamed({"id": "_id", "name": "_name"})
+    return asked.join(found, F.col("id").eqNullSafe(F.col("_id")) & F.col("name").eqNullSafe(F.col("_name")), "left").select("id", "name", "slug")
+
+
 def nested_in(boundaries: DataFrame, chapters: DataFrame, keys: list[str], at: Column) -> DataFrame:
     """Boundaries with the chapter(keys, first, last, chapter) whose closed range holds them; chapters of a key don't overlap, so
     it is the last that begins at or before: a window over both, with no range join."""

@@ -168,18 +168,20 @@ def bigrams(text: Column) -> Column:
     )
 
 
-def resolve(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+def resolve(requests: DataFrame, nodes: DataFrame, most: int = 10_000) -> DataFrame:
     """(request, how, node_ids): nodes(node_id, names array) that each request(request) names. The
     first of these that finds any counts: the id, the exact name or its slug, a part of a name or
     slug, the longest run of CJK letters as one of these, and at most five names that share three
-    tenths or more of their pairs of letters, the most alike first. ``requests`` is a small stated set."""
+    tenths or more of their pairs of letters, the most alike first. ``requests`` is a stated set of at most ``most``, as each is compared with every name; more raise an error."""
+    if requests.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} requests")
     asked = requests.select("request", F.trim("request").alias("q"))
     runs = F.regexp_extract_all("q", F.lit(r"[⺀-鿿豈-﫿]{2,}"), F.lit(0))
     longest = F.aggregate(runs, F.lit(""), lambda a, r: F.when(F.length(r) > F.length(a), r).otherwise(a))
     tail = asked.withColumn("q", longest).where("q <> ''")
     both = asked.withColumn("step", F.lit(0)).unionByName(tail.withColumn("step", F.lit(10))).withColumn("s", S.slug(F.col("q")))
     named = nodes.select("node_id", F.explode("names").alias("name")).withColumn("slug", S.slug(F.col("name")))
-    x = named.join(F.broadcast(both))  # the requests are few
+    x = named.join(F.broadcast(both))  # counted above
     exact = (F.col("q") == F.col("name")) | (F.col("s") == F.col("slug"))
     part = F.contains("name", F.col("q")) | ((F.col("s") != "") & F.contains("slug", F.col("s")))
     rank = F.when(F.col("q") == F.col("node_id"), 0).when(exact, 1).when(part, 2)

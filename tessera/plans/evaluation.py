@@ -157,7 +157,7 @@ def code_accuracy(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT doc_id AS entry, doc_id % 50 AS slug, regexp_replace(substr(text, 5, 12), '\\s+', '  ', 'g') AS quote FROM documents), t AS (SELECT doc_id AS slug, text FROM documents WHERE doc_id < 50),
+WITH q AS (SELECT doc_id AS entry, doc_id - doc_id % 2 AS slug, regexp_replace(substr(text, 5, 12), '\\s+', '  ', 'g') AS quote FROM documents), t AS (SELECT doc_id AS slug, text FROM documents),
 f AS (SELECT entry, count(*) AS n_quotes, count(*) FILTER (trim(regexp_replace(quote, '\\s+', ' ', 'g')) <> '' AND contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))))) AS n_found FROM q LEFT JOIN t USING (slug) GROUP BY 1),
 c AS (SELECT doc_id AS entry, trim(CASE WHEN doc_id % 5 > 0 THEN lang ELSE ' ' END, ' ') <> '' AND source IS NOT NULL AS complete FROM documents)
 SELECT entry, complete, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_found, 0) AS n_found, complete AND coalesce(n_quotes, 0) > 0 AND n_quotes = n_found AS accepted FROM c LEFT JOIN f USING (entry)""")
@@ -165,8 +165,8 @@ def grounded_candidates(spark, sf_dir):
     """E10."""
     d = table(spark, sf_dir, "documents")
     candidates = d.select(F.col("doc_id").alias("entry"), F.when(F.col("doc_id") % 5 > 0, F.col("lang")).otherwise(" ").alias("lang"), "source")
-    quotes = d.select(F.col("doc_id").alias("entry"), (F.col("doc_id") % 50).alias("slug"), F.regexp_replace(F.substring("text", 5, 12), r"\s+", "  ").alias("quote"))
-    return E.grounded(candidates, ["lang", "source"], quotes, d.where("doc_id < 50").select(F.col("doc_id").alias("slug"), "text"))
+    quotes = d.select(F.col("doc_id").alias("entry"), (F.col("doc_id") - F.col("doc_id") % 2).alias("slug"), F.regexp_replace(F.substring("text", 5, 12), r"\s+", "  ").alias("quote"))
+    return E.grounded(candidates, ["lang", "source"], quotes, d.select(F.col("doc_id").alias("slug"), "text"))
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import manuals, writers
+from tessera.operators import evaluation, manuals, writers
 from tessera.operators.tools import TOOLS
 from tessera.registry import query
 from tessera.sources import logs
@@ -47,14 +47,14 @@ def log_formats(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id % 10 = 0 AND text IS NOT NULL AND doc_id % 20 = 0""")
+SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL""")
 def stored_texts(spark, sf_dir):
     """Texts moved to files of their own, and looked up again by the session's path."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0 AND text IS NOT NULL")
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     path = folder(spark, "texts")
     rows = writers.to_files(d.select("doc_id", "text"), "text", F.col("doc_id").cast("string"), path)
     back = spark.read.text(path, wholetext=True).select(F.concat(F.lit("session="), F.col("session").cast("string")).alias("file_path"), F.regexp_replace("value", "\n$", "").alias("body"))
-    sessions = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("session_id"), "file_path")
+    sessions = rows.select(F.col("doc_id").alias("session_id"), "file_path")
     return sources.session_files(sessions, back).select(F.col("session_id").alias("doc_id"), F.md5("body").alias("text_md5"))
 
 
@@ -87,6 +87,7 @@ def tool_calls(spark, sf_dir):
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN (o_orderkey % 7) / 7 ELSE 0 END AS section_recall, CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE (o_orderkey % 5) / 5 END::DOUBLE AS value_accuracy FROM orders""")
 def metrics_by_lane(spark, sf_dir):
-    """Each lane takes its own metrics, the others have their neutral value."""
-    k, manual = F.col("o_orderkey"), F.col("o_orderstatus") == "O"
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(manual, (k % 7) / 7).otherwise(0.0).alias("section_recall"), F.when(manual, 1.0).otherwise((k % 5) / 5).alias("value_accuracy"))
+    """Orders that are open count as entries of the manuals' lane, the others as the signals' lane."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k, ((k % 7) / 7).alias("section_recall"), ((k % 5) / 5).alias("value_accuracy"), F.when(F.col("o_orderstatus") != "O", "event_finding").alias("question_type"))
+    return evaluation.by_lane(rows.withColumn("signal_recall", F.lit(0.0))).select("o_orderkey", "section_recall", "value_accuracy")

@@ -87,7 +87,7 @@ def log_snapshots(spark, sf_dir):
 @query()
 def unique_node_ids(spark, sf_dir):
     """Ids that may collide with natural ones; a test folds them one by one."""
-    x = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
+    x = table(spark, sf_dir, "lineitem")
     base = F.when(F.col("l_partkey") % 3 == 0, "a").when(F.col("l_partkey") % 3 == 1, "a-2").otherwise("b")
     nodes = x.select((F.col("l_orderkey") % 500).cast("string").alias("manual_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("nth"), base.alias("base"))
     return indexing.unique_ids(nodes).groupBy("manual_id").agg(F.count("*").alias("n"), F.countDistinct("node_id").alias("n_ids"), F.md5(F.array_join(F.array_sort(F.collect_list("node_id")), ",")).alias("ids_md5"))
@@ -142,14 +142,14 @@ def index_gates(spark, sf_dir):
 
 
 @query("""
-WITH i AS (SELECT doc_id, (doc_id % 3 + nth // 4)::INT AS page, nth AS idx, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS nth FROM documents WHERE doc_id % 2 = 0)),
+WITH i AS (SELECT doc_id, (doc_id % 3 + nth // 4)::INT AS page, nth AS idx, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS nth FROM documents)),
 own AS (SELECT * FROM i WHERE idx % 3 > 0), k AS (SELECT *, regexp_replace(lower(line), '[^一-鿿㐀-䶿a-z0-9]+', '', 'g') AS bare FROM i),
 p AS (SELECT doc_id, page, string_agg(regexp_replace(lower(line), '[^一-鿿㐀-䶿a-z0-9]+', '', 'g'), '' ORDER BY idx) AS all_ FROM own GROUP BY 1, 2),
 u AS (SELECT doc_id, page, 0 AS late, idx, line FROM own WHERE trim(line, ' ') <> '' UNION ALL SELECT k.doc_id, k.page, 1, idx, line FROM k LEFT JOIN p USING (doc_id, page) WHERE length(bare) >= 4 AND NOT coalesce(contains(all_, bare), false))
 SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page, late, idx) - 1 AS place, md5(line) AS line_md5, late = 1 AS backfilled FROM u""")
 def composed_content(spark, sf_dir):
     """Two lines in three as items, all as the baseline."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0 AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
     x = d.withColumn("page", (F.col("doc_id") % 3 + F.expr("nth div 4")).cast("int"))
     items = x.where("nth % 3 > 0").select("doc_id", "page", F.col("nth").alias("idx"), F.col("line").alias("text"))
     return indexing.composed(items, x).select("doc_id", "page", "place", F.md5("line").alias("line_md5"), "backfilled")

@@ -199,7 +199,7 @@ RULES = [
 @query(f"""
 WITH {_ANOMALIES}, {VALID}, {_CONTEXT}, p AS (SELECT session, max(value) FILTER (signal = 'purchase') AS pm, count(*) FILTER (signal = 'view') AS vn FROM v GROUP BY 1),
 a2 AS (SELECT session, count(*) FILTER (signal = 'view') AS views, count(*) FILTER (context = 'idle') AS idle FROM c GROUP BY 1),
-d AS (SELECT user_id AS session, list_sort(list(DISTINCT CASE event_type WHEN 'error' THEN 'P0' || (300 + event_id % 3)::VARCHAR ELSE 'U0100' END)) AS codes FROM events WHERE event_type IN ('error', 'signup') AND event_id % 10 = 0 GROUP BY 1),
+d AS (SELECT user_id AS session, list_sort(list(DISTINCT CASE event_type WHEN 'error' THEN 'P0' || (300 + event_id % 3)::VARCHAR ELSE 'U0100' END)) AS codes FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1),
 x AS (SELECT p.*, coalesce(views, 0) AS views, coalesce(idle, 0) AS idle, coalesce(codes, []::VARCHAR[]) AS codes FROM p LEFT JOIN a2 USING (session) LEFT JOIN d USING (session)),
 y AS (SELECT *, array_to_string(list_filter(codes, lambda z: starts_with(z, 'P0')), ', ') AS pc, array_to_string(list_filter(codes, lambda z: starts_with(z, 'U')), ', ') AS uc FROM x)
 SELECT session, 'STAT_9' AS rule, 0 AS nth, 'peak ' || printf('%.2f', round(pm, 2)) || ', ' || vn::VARCHAR || ' views, N/A' AS clue, 'purchase.max=' || round(pm, 2)::VARCHAR || '|view_present=true' AS evidence FROM y WHERE pm > 60 AND vn > 0
@@ -212,7 +212,7 @@ def rule_clues(spark, sf_dir):
     x = signal_rows(spark, sf_dir)
     p = statistics.valid(x).groupBy("session", "signal").agg(F.round(F.max("value"), 2).alias("max"), F.count("*").alias("n"))
     found = anomalies.driving_context(_anomalies(spark, sf_dir), x, "view", "click", "purchase", 86_400_000_000).withColumn("severity", F.lit("low"))
-    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'signup') AND event_id % 10 = 0")
+    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'signup')")
     code = F.when(F.col("event_type") == "error", F.concat(F.lit("P0"), (300 + F.col("event_id") % 3).cast("string"))).otherwise("U0100")
     got = rules.evaluate(p, rules.validate(RULES), ["max", "n"], found, e.select(F.col("user_id").alias("session"), code.alias("code")))
     return got.select("session", "rule", "nth", "clue", F.array_join("evidence", "|").alias("evidence"))

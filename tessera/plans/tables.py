@@ -170,7 +170,7 @@ def pinned_manuals(spark, sf_dir):
 
 
 @query("""
-WITH k AS (SELECT l_orderkey AS id, l_linenumber AS nth, 'part-' || l_partkey::VARCHAR AS known FROM lineitem WHERE l_linenumber <= 3), c AS (SELECT l_orderkey AS id, l_linenumber AS position,
+WITH k AS (SELECT l_orderkey AS id, l_linenumber AS nth, 'part-' || l_partkey::VARCHAR AS known FROM lineitem), c AS (SELECT l_orderkey AS id, l_linenumber AS position,
   CASE l_linenumber % 3 WHEN 0 THEN 'Part ' || l_partkey::VARCHAR WHEN 1 THEN 'rt-' || (l_partkey // 10)::VARCHAR ELSE 'part-' || l_partkey::VARCHAR END AS slug FROM lineitem),
 x AS (SELECT c.*, known, nth, CASE WHEN slug = known THEN 0 WHEN replace(lower(slug), ' ', '-') = known THEN 1 WHEN contains(known, replace(lower(slug), ' ', '-')) THEN 2 END AS rank FROM c LEFT JOIN k USING (id)),
 b AS (SELECT id, position, slug, arg_min(known, (rank, nth, known)) FILTER (rank IS NOT NULL) AS known FROM x GROUP BY 1, 2, 3)
@@ -178,7 +178,7 @@ SELECT id, coalesce(known, slug) AS slug, min(position) AS position FROM b GROUP
 def canonical_slugs(spark, sf_dir):
     """F35, U9."""
     x, part = table(spark, sf_dir, "lineitem"), F.col("l_partkey").cast("string")
-    known = x.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("nth"), F.concat(F.lit("part-"), part).alias("known"))
+    known = x.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("nth"), F.concat(F.lit("part-"), part).alias("known"))
     k = F.col("l_linenumber") % 3
     slug = F.when(k == 0, F.concat(F.lit("Part "), part)).when(k == 1, F.concat(F.lit("rt-"), F.expr("cast(l_partkey div 10 as string)"))).otherwise(F.concat(F.lit("part-"), part))
     return filters.canonical_slugs(x.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("position"), slug.alias("slug")), known, S.slug)

@@ -472,3 +472,4 @@ import tessera.plans.texts  # noqa: E402, F401
 import tessera.plans.indexes  # noqa: E402, F401
 import tessera.plans.formats  # noqa: E402, F401
 import tessera.plans.trees  # noqa: E402, F401
+import tessera.plans.searches  # noqa: E402, F401
