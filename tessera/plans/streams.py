@@ -84,3 +84,13 @@ def stream_files(spark, sf_dir):
     x.write.partitionBy("s").text(landing)
     _, files = live.loaded_files(spark, landing, out, F.regexp_extract(F.col("_metadata.file_path"), "/s=([^/]*)/", 1))
     return files.select("session_id", F.col("n_lines").cast("int").alias("n_lines"), "n_rows")
+
+
+@query("""
+WITH s AS (SELECT *, epoch_us(ts) AS us, CASE WHEN isnan(value) THEN NULL ELSE value END AS v FROM events),
+o AS (SELECT *, lag(v) OVER w AS b, us - lag(us) OVER w AS gap FROM s WHERE us <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 3600000000 WINDOW w AS (PARTITION BY user_id, event_type ORDER BY us, event_id))
+SELECT user_id AS session, event_type AS signal, event_id AS row_id, value FROM o WHERE b <= 30 AND v > 30 AND gap <= 259200000000""")
+def stream_ordered_crossings(spark, sf_dir):
+    """Crossings of 30 within three days, decided when the watermark has passed; the last hour stays undecided."""
+    out = live.drained(live.ordered_crossings(stream(spark, sf_dir), 30.0, "1 hour", 3 * 86_400), live.folder(spark, "ordered"))
+    return out.select("session", "signal", "row_id", "value")

@@ -74,6 +74,51 @@ def crossings(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("session", "signal").applyInPandasWithState(run, out, "before double", "append", GroupStateTimeout.NoTimeout)
 
 
+def ordered_crossings(rows: DataFrame, threshold: float, lateness: str, forget_seconds: float) -> DataFrame:
+    """(session, signal, ts, row_id, value) of rows above a threshold whose row before, in order of (ts, row_id) and at most
+    ``forget_seconds`` older, was at or below it. A missing value forgets the one before.
+
+    Rows wait in the state of their series until the watermark has passed them, so those that come out of order within
+    ``lateness`` are put in order before anything is decided; ones that the watermark has passed are left out. A timer decides rows
+    without waiting for new ones of the series, and ends the state when a next row would be too far from the last. So the
+    rows written don't depend on how rows in time came in batches, and the state holds the rows of the last
+    ``lateness`` and the series seen within ``forget_seconds``. Rows without a time, or with one before 1970, are left out.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    forget_us = int(forget_seconds * 1_000_000)
+
+    def run(key, frames, state: GroupState):
+        last_us, last, waiting = (state.get[0], state.get[1], list(zip(*state.get[2:]))) if state.exists else (None, None, [])
+        passed = state.getCurrentWatermarkMs()
+        for frame in frames:
+            at = frame["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+            new = zip(at, frame["row_id"].tolist(), [None if pd.isna(v) else float(v) for v in frame["value"]])
+            waiting += [r for r in new if r[0] > passed * 1000]  # the source's own filter is a batch behind
+        waiting.sort(key=lambda r: r[:2])
+        hits = []
+        while waiting and waiting[0][0] <= passed * 1000:
+            us, row_id, value = waiting.pop(0)
+            if value is not None and last is not None and us - last_us <= forget_us and last <= threshold < value:
+                hits.append((key[0], key[1], pd.Timestamp(us, unit="us", tz=zone), row_id, value))
+            last_us, last = us, value
+        if waiting:
+            timer = waiting[0][0] // 1000 + 1
+        else:
+            timer = (last_us + forget_us) // 1000 + 1
+        if not waiting and timer <= passed:
+            state.remove()
+        else:
+            state.update((last_us, last, *([list(c) for c in zip(*waiting)] or [[], [], []])))
+            state.setTimeoutTimestamp(max(timer, passed + 1))
+        yield pd.DataFrame(hits, columns=["session", "signal", "ts", "row_id", "value"]).astype({"ts": f"datetime64[us, {zone}]" if zone else "datetime64[us]"})
+
+    zone = "UTC" if kinds["ts"] == "timestamp" else None
+    out = f"session {kinds['session']}, signal string, ts {kinds['ts']}, row_id long, value double"
+    state = "last_us long, last double, us array<long>, ids array<long>, waiting array<double>"
+    timed = rows.select("session", "signal", "ts", F.col("row_id").cast("long").alias("row_id"), F.col("value").cast("double").alias("value")).where("ts IS NOT NULL")
+    return timed.withWatermark("ts", lateness).groupBy("session", "signal").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def without_repeats(rows: DataFrame, keys: list[str], lateness: str) -> DataFrame:
     """Rows whose keys did not come before within the watermark."""
     return rows.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
