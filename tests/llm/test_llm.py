@@ -162,6 +162,22 @@ def test_ann_recall_on_the_embeddings(spark):
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("spread", ["clusters", "lengths", "huge"])
+def test_ann_recall_on_rows_that_codes_tell_apart_badly(spark, spread):
+    r = np.random.default_rng(5)
+    x = r.normal(0, 1, (2400, 24))
+    if spread == "clusters":
+        x = r.normal(0, 1, (4, 24))[r.integers(0, 4, 2400)] + 0.01 * x
+    elif spread == "lengths":
+        x *= np.exp(2 * r.normal(0, 1, (2400, 1)))
+    else:
+        x[:, 0] *= 1e30
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).astype(float).tolist())]
+    want = {(a, c) for a, _, c, _ in brute(rows, 50, 20, lambda v: v)}
+    got = {(a, c) for a, _, c, _ in (tuple(row) for row in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 20, 50).collect())}
+    assert len(got) == len(want) and len(got & want) >= 0.999 * len(want)
+
+
 def test_anisotropic_loss_spares_the_parallel_part():
     x = np.random.default_rng(0).normal(0, 1, (2000, 32))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
