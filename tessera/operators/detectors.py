@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.streaming.live import folder
+
 MAX_POINTS = 2_000  # per piece of a series, as the cost grows with the square; longer ones are cut in overlapping pieces
 CORE = MAX_POINTS // 2  # values that a piece of a longer series decides on; the rest is margin, half of it on each side
 
@@ -136,6 +138,7 @@ def _mean_depth(n: np.ndarray) -> np.ndarray:
 
 
 TREES, TREE_ROWS, POOL = 100, 256, 4096  # trees of a forest, rows that each is grown on, rows of a session that these are drawn from at most
+PIECE = 4 * POOL  # rows of a session that a task scores at a time, about
 
 
 def grow(x: np.ndarray, trees: int = TREES, sample: int = TREE_ROWS, seed: int = 42) -> list[np.ndarray]:
@@ -188,7 +191,7 @@ def isolation_forest(wide: DataFrame, key: str, at: str, columns: list[str], sha
     next; columns count as deviations from the key's mean. A run's signals are the ``most_signals`` of largest mean deviation,
     its score how far the rows lie above the key's limit on average, 0 to 1.
 
-    A key's forest is grown in one task, on at most ``POOL`` of its rows; rows are scored wherever they are.
+    A key's forest is grown on about ``POOL`` of its rows at most, alike in each of the pieces of ``PIECE`` rows in which it scores them.
     """
     back = Window.partitionBy(key).orderBy(at)
     ahead = Window.partitionBy(key).orderBy(F.desc(at))
@@ -202,24 +205,24 @@ def isolation_forest(wide: DataFrame, key: str, at: str, columns: list[str], sha
     # about POOL rows a key, by a hash of their place, so that no window counts a long series
     pool = x.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(at).cast("string")), F.col("n_")) < POOL)
 
-    def forest_of(group: pd.DataFrame) -> pd.DataFrame:
-        rows = np.array(group.sort_values(at)["z"].tolist(), float)
-        forest = grow(rows)
-        return pd.DataFrame({key: [group[key].iloc[0]], "sizes": [[len(t) for t in forest]], "trees": [np.concatenate(forest).astype("<f8").tobytes()], "size": [min(TREE_ROWS, len(rows))]})
-
-    forests = pool.groupBy(key).applyInPandas(forest_of, f"{key} {kinds[key]}, sizes array<int>, trees binary, size int")
-
-    @F.pandas_udf("double")
-    def score_of(z: pd.Series, sizes: pd.Series, trees: pd.Series, size: pd.Series) -> pd.Series:
-        out = np.zeros(len(z))
-        for content, rows in trees.groupby(trees).groups.items():
-            nodes = np.frombuffer(content, "<f8").reshape(-1, 5)
-            forest = np.split(nodes, np.cumsum(sizes[rows[0]])[:-1])
-            out[z.index.get_indexer(rows)] = isolation_scores(np.array(z[rows].tolist(), float), forest, int(size[rows[0]]))
-        return pd.Series(out)
-
-    # rows of a key lie together, so a task reads a forest, some 0.2 MB, with few keys at a time
-    scored = x.join(forests, key).select(key, at, "z", "varying", score_of("z", "sizes", "trees", "size").alias("s"))
+    # pieces of a key's rows, each with the rows that the forest is drawn from: a forest, some 2 MB, is grown where it is used and never sent
+    pieces = F.ceil(F.col("n_") / PIECE).cast("int")
+    own = x.withColumns({"piece": F.pmod(F.xxhash64(at), pieces).cast("int"), "own": F.lit(True)})
+    drawn = pool.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn("own", F.lit(False))
+
+    def score_of(group: pd.DataFrame) -> pd.DataFrame:
+        mine = group["own"].to_numpy(bool)
+        rows = np.array(group[~mine].sort_values(at)["z"].tolist(), float)
+        scored = group.loc[mine, [key, at, "z", "varying"]]
+        if not len(rows):
+            return scored.assign(s=0.0)  # a pool is empty in theory only
+        return scored.assign(s=isolation_scores(np.array(scored["z"].tolist(), float), grow(rows), min(TREE_ROWS, len(rows))))
+
+    # few bytes and much work: so many tasks whatever the bytes, and once, as the limits and the runs both read the scores
+    both = own.unionByName(drawn).repartition(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "piece")
+    path = folder(wide.sparkSession, "isolation")
+    both.groupBy(key, "piece").applyInPandas(score_of, f"{key} {kinds[key]}, {at} {kinds[at]}, z array<double>, varying array<string>, s double").write.parquet(path)
+    scored = wide.sparkSession.read.parquet(path)
     limits = scored.groupBy(key).agg(F.percentile("s", F.lit(1 - share)).alias("limit"))
     y = scored.join(limits, key).withColumn("odd", F.col("s") > F.col("limit"))
     opens = F.col("odd") & ~F.coalesce(F.lag("odd").over(back), F.lit(False))

@@ -131,6 +131,18 @@ def test_isolation_forest_runs(spark):
     assert detectors.isolation_forest(wide.limit(0), "session", "t", ["a", "b", "c", "d"]).count() == 0
 
 
+def test_isolation_forests_of_pieces_score_alike(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    rows = [(s, t, *map(float, draw.normal(0, 1, 3))) for s in range(3) for t in range(150)]
+    wide = spark.createDataFrame(rows, "session long, t long, a double, b double, c double")
+    found = []
+    for piece in (100_000, 40):
+        monkeypatch.setattr(detectors, "PIECE", piece)
+        runs = detectors.isolation_forest(wide, "session", "t", ["a", "b", "c"])
+        found.append(sorted((r["session"], r["start"], r["end"], r["n_rows"], round(r["score"], 9)) for r in runs.collect()))
+    assert found[0] == found[1] and found[0]
+
+
 def test_resample_of_a_long_series(spark):
     rows = spark.range(100_000).selectExpr("1L AS session", "'a' AS signal", "id * 2 AS us", "id AS row_id", "cast(id AS double) AS value")
     got = events.resample(rows, 1).agg(F.count("*"), F.sum("value"), F.max("value")).first()
@@ -148,3 +160,13 @@ def test_units_of_standard_and_dual_channel_signals(spark):
     units = {r["unit"]: r["signals"] for r in signals.by_unit(inventory).collect()}
     assert units["rpm"] == ["RPM"] and units["unknown"] == ["", "B_WHEEL", "Speed"] and units["km/h"] == ["SPEED"]
     assert signals.by_unit(inventory.limit(0)).count() == 0
+
+
+def test_means_of_flat_summaries_are_added_up_in_order_of_time(spark, tmp_path):
+    from tessera.queries import QUERIES
+
+    # in order of time these add up to 4, the other way round to 5: a mean of 1.33 or 1.67
+    rows = [(k, 1_700_000_000 + k, 1, "view", v) for k, v in enumerate([5.0, 1e16, -1e16])]
+    events = spark.createDataFrame(rows[::-1], "event_id long, t long, user_id long, event_type string, value double").coalesce(1)
+    events.selectExpr("event_id", "cast(timestamp_seconds(t) AS timestamp_ntz) AS ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    assert "mean=1.00" in QUERIES["flat_summaries"](spark, str(tmp_path)).first()["pids"]
