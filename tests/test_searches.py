@@ -68,6 +68,14 @@ def test_index_reads_few_postings(index):
     assert built.within_reach(["rare", "the"], 3).count() < 0.1 * of_both  # a frequent word beside a rare one: blocks without the rare one can't reach the third rank
 
 
+def test_postings_are_made_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, 7, 4, ["", "of", "the", "of"]), (1, 8, 1, [""]), (2, 9, 2, ["the", "the"])], "block long, id int, n_words int, w array<string>")
+    made = keywords._postings(rows)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in made.collect()) == [("of", 1, 7, 2, 4, [1, 3]), ("the", 1, 7, 1, 4, [2]), ("the", 2, 9, 2, 2, [0, 1])]
+    assert keywords._postings(rows.limit(0)).count() == 0
+
+
 def test_phrases_equal_a_scan(index):
     rows, _, built = index
     for phrase in (["of", "the"], ["the", "the"], ["of", "the", "of"], ["zz"], ["none", "the"]):
