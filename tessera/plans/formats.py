@@ -49,11 +49,11 @@ def log_formats(spark, sf_dir):
 @query("""
 SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL""")
 def stored_texts(spark, sf_dir):
-    """Texts moved to files of their own, and looked up again by the session's path."""
+    """Texts moved to files, and looked up again by the session's path."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     path = folder(spark, "texts")
     rows = writers.to_files(d.select("doc_id", "text"), "text", F.col("doc_id").cast("string"), path)
-    back = spark.read.text(path, wholetext=True).select(F.concat(F.lit("session="), F.col("session").cast("string")).alias("file_path"), F.regexp_replace("value", "\n$", "").alias("body"))
+    back = spark.read.schema("file_path string, body string, shelf int").parquet(path).select("file_path", "body")
     sessions = rows.select(F.col("doc_id").alias("session_id"), "file_path")
     return sources.session_files(sessions, back).select(F.col("session_id").alias("doc_id"), F.md5("body").alias("text_md5"))
 

@@ -170,3 +170,19 @@ def test_means_of_flat_summaries_are_added_up_in_order_of_time(spark, tmp_path):
     events = spark.createDataFrame(rows[::-1], "event_id long, t long, user_id long, event_type string, value double").coalesce(1)
     events.selectExpr("event_id", "cast(timestamp_seconds(t) AS timestamp_ntz) AS ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
     assert "mean=1.00" in QUERIES["flat_summaries"](spark, str(tmp_path)).first()["pids"]
+
+
+def test_texts_share_files_and_come_back_by_path(spark, tmp_path, monkeypatch):
+    import os
+
+    from tessera.operators import writers
+
+    monkeypatch.setattr(writers, "TEXTS_A_FILE", 40, raising=False)
+    texts = [f"text {k}" for k in range(300)] + ["ends\n\n", "", "\r\n", "a/b=c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    moved = writers.to_files(rows, "body", F.col("id").cast("string"), str(tmp_path / "t"))
+    files = [f for _, _, names in os.walk(tmp_path / "t") for f in names if f.startswith("part-")]
+    assert moved.columns == ["id", "file_path"] and len(files) <= 8
+    back = moved.join(spark.read.parquet(str(tmp_path / "t")), "file_path").select("id", "body")
+    assert sorted(tuple(r) for r in back.collect()) == list(enumerate(texts))
+    assert writers.to_files(rows.limit(0), "body", F.col("id").cast("string"), str(tmp_path / "e")).count() == 0
