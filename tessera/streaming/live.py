@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,16 +60,20 @@ def crossings(rows: DataFrame, threshold: float) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(key, frames, state: GroupState):
-        rows_ = pd.concat(list(frames)).sort_values(["ts", "row_id"])
+        # arrays, and no frame without a crossing: frames for each of very many series are most of the time
+        frames = list(frames)
+        rows_ = frames[0] if len(frames) == 1 else pd.concat(frames)
+        at = rows_["ts"].to_numpy("datetime64[us]").astype("int64")
+        at[at == np.iinfo(np.int64).min] = np.iinfo(np.int64).max  # no time comes last
+        order = np.lexsort((rows_["row_id"].to_numpy(), at))
+        values = rows_["value"].to_numpy("float64")[order]
         before = state.get[0] if state.exists else None
-        values = rows_["value"].astype(float)
-        prior = values.shift(1)
-        if before is not None and len(prior):
-            prior.iloc[0] = before
-        last = values.iloc[-1]
-        state.update((None if pd.isna(last) else float(last),))
-        hit = rows_[(prior <= threshold) & (values > threshold)]
-        yield pd.DataFrame({"session": [key[0]] * len(hit), "signal": [key[1]] * len(hit), "ts": hit["ts"], "row_id": hit["row_id"], "value": hit["value"]})
+        prior = np.append(np.nan if before is None else before, values[:-1])
+        state.update((None if np.isnan(values[-1]) else float(values[-1]),))
+        hits = order[(prior <= threshold) & (values > threshold)]
+        if len(hits):
+            hit = rows_.iloc[hits]
+            yield pd.DataFrame({"session": [key[0]] * len(hit), "signal": [key[1]] * len(hit), "ts": hit["ts"], "row_id": hit["row_id"], "value": hit["value"]})
 
     out = f"session {kinds['session']}, signal string, ts {kinds['ts']}, row_id long, value double"
     return rows.groupBy("session", "signal").applyInPandasWithState(run, out, "before double", "append", GroupStateTimeout.NoTimeout)
@@ -92,7 +97,7 @@ def ordered_crossings(rows: DataFrame, threshold: float, lateness: str, forget_s
         passed = state.getCurrentWatermarkMs()
         for frame in frames:
             at = frame["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
-            new = zip(at, frame["row_id"].tolist(), [None if pd.isna(v) else float(v) for v in frame["value"]])
+            new = zip(at, frame["row_id"].tolist(), [None if v != v else v for v in frame["value"].to_numpy("float64").tolist()])
             waiting += [r for r in new if r[0] > passed * 1000]  # the source's own filter is a batch behind
         waiting.sort(key=lambda r: r[:2])
         hits = []
@@ -110,7 +115,8 @@ def ordered_crossings(rows: DataFrame, threshold: float, lateness: str, forget_s
         else:
             state.update((last_us, last, *([list(c) for c in zip(*waiting)] or [[], [], []])))
             state.setTimeoutTimestamp(max(timer, passed + 1))
-        yield pd.DataFrame(hits, columns=["session", "signal", "ts", "row_id", "value"]).astype({"ts": f"datetime64[us, {zone}]" if zone else "datetime64[us]"})
+        if hits:  # frames without rows for very many series would be much of the time
+            yield pd.DataFrame(hits, columns=["session", "signal", "ts", "row_id", "value"]).astype({"ts": f"datetime64[us, {zone}]" if zone else "datetime64[us]"})
 
     zone = "UTC" if kinds["ts"] == "timestamp" else None
     out = f"session {kinds['session']}, signal string, ts {kinds['ts']}, row_id long, value double"
