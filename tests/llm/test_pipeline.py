@@ -125,3 +125,46 @@ def test_labelled_sample_of_repeated_rows_is_bounded(spark):
     labels = spark.createDataFrame([(k, 1, k % 2) for k in (0, 1, 2, 9)] * 2, "doc_id long, quality int, toxic int")
     got = labelled_sample(docs, labels, "toxic", 10, class_bytes=500)
     assert len(got) == len({g[0] for g in got}) <= 3 and 9 not in {g[0] for g in got}
+
+
+def test_quality_learns_from_every_permitted_row(spark):
+    import numpy as np
+    from tessera.llm import quality
+    from tessera.llm.common import held_out
+
+    draw = np.random.default_rng(5)
+    plain = lambda k: " ".join(f"word{n}" for n in draw.integers(0, 50, 20 + k % 30))
+    rows = [(k, ("@@ ## %% " * 5 + plain(k)) if k % 20 == 0 else plain(k), int(k % 20 > 0)) for k in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    blocks = quality._blocks(docs, labels, 50)
+    width = 4 * len(quality.features(""))
+    permitted = {r["doc_id"]: r["text"] for r in docs.where(~held_out(docs["doc_id"])).collect()}
+    found = {(c, b[at : at + width]) for r in blocks.collect() for c in ("good", "bad") for b in [bytes(r[c])] for at in range(0, len(b), width)}
+    assert found == {("bad" if k % 20 == 0 else "good", quality.features(t).astype("<f4").tobytes()) for k, t in permitted.items()}
+    assert blocks.where("good = '' OR bad = ''").count() == 0
+    model = quality.train(docs, labels, 50)
+    got = model.scores(np.array([quality.features(t) for _, t, _ in rows])) >= 0.5
+    assert (got == [y == 1 for _, _, y in rows]).mean() > 0.99
+
+
+def test_threshold_is_the_exact_quantile():
+    import numpy as np
+    from tessera.llm import quality
+
+    s = np.sort(np.random.default_rng(3).choice(np.random.default_rng(4).standard_cauchy(3000), 5000))
+
+    def total(edges):
+        if edges is None:
+            return s[0], s[-1]
+        x = s[(s >= edges[0]) & (s <= edges[-1])]
+        at = np.minimum(np.searchsorted(edges, x, "right") - 1, quality.BINS - 1)
+        least, most = np.full(quality.BINS, np.inf), np.full(quality.BINS, -np.inf)
+        np.minimum.at(least, at, x)
+        np.maximum.at(most, at, x)
+        return np.bincount(at, minlength=quality.BINS) / len(s), least, most
+
+    for share in (0.001, 0.15, 0.5, 0.97):
+        k = int(np.ceil(share * len(s) - 1e-6))
+        low = s[k - 1]
+        assert quality._quantile(total, share) == (low + s[s > low][0]) / 2
