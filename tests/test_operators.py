@@ -186,3 +186,14 @@ def test_texts_share_files_and_come_back_by_path(spark, tmp_path, monkeypatch):
     back = moved.join(spark.read.parquet(str(tmp_path / "t")), "file_path").select("id", "body")
     assert sorted(tuple(r) for r in back.collect()) == list(enumerate(texts))
     assert writers.to_files(rows.limit(0), "body", F.col("id").cast("string"), str(tmp_path / "e")).count() == 0
+
+
+def test_canonical_slugs_in_tasks_of_bounded_size(spark, monkeypatch):
+    from tessera.operators import filters
+
+    claims = spark.range(1000).selectExpr("id", "1 as position", "concat('part ', id) as slug")
+    known = spark.range(1000).selectExpr("id", "1 as nth", "concat('part-', id) as known")
+    monkeypatch.setattr(filters, "CLAIMS_A_TASK", 50, raising=False)
+    got = filters.canonical_slugs(claims, known, lambda c: F.replace(c, F.lit(" "), F.lit("-")))
+    assert got.rdd.getNumPartitions() == 20  # 4 in the session: its tasks would grow with the claims
+    assert sorted(r["slug"] for r in got.collect()) == sorted(f"part-{k}" for k in range(1000))
