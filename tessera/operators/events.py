@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators.scans import DAY_US, running
 from tessera.operators.statistics import KEYS, by_time
 
-GRID_RUN = 4096  # grid points that one row spreads to
+GRID_RUN = 4096  # grid points that one array holds
 
 
 def condition(kind: str, threshold: float | None = None) -> Column:
@@ -77,27 +77,21 @@ def resample(rows: DataFrame, step_us: int, fill: str = "interpolate", width: in
 
     fill: ``interpolate`` is linear in time between neighbours, ``ffill`` and ``bfill``
     take one of them, ``none`` keeps only values on the grid. Duplicate timestamps
-    must be averaged before. Rows and grid are ordered in ranges of ``width`` microseconds.
+    must be averaged before. Rows are ordered in ranges of ``width`` microseconds; the grid is not ordered.
     """
-    span = rows.groupBy(*KEYS).agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    # the grid in runs of bounded length: one array for a long series would not fit in a row
-    runs = span.withColumn("first", F.explode(F.sequence("lo", "hi", F.lit(step_us * GRID_RUN).cast("long"))))
-    upto = F.least(F.col("hi"), F.col("first") + step_us * (GRID_RUN - 1))
-    grid = runs.select(*KEYS, F.explode(F.sequence("first", upto, F.lit(step_us).cast("long"))).alias("us"))
-    both = rows.select(*KEYS, "us", "value", F.lit(0).alias("is_grid")).unionByName(grid.select(*KEYS, "us", F.lit(None).cast("double").alias("value"), F.lit(1).alias("is_grid")))
-    point = F.when(F.col("is_grid") == 0, F.struct("us", "value"))
-    # a row at a grid point sorts before it, so looking back finds it; the look ahead runs from the end, in the opposite order
-    x = running(both, KEYS, "us", ["is_grid"], width, lasts={"l": point})
-    if fill in ("interpolate", "bfill"):
-        x = running(x.withColumns({"_us": -F.col("us"), "_grid": -F.col("is_grid")}), KEYS, "_us", ["_grid"], width, lasts={"r": point})
-    else:
-        x = x.withColumn("r", F.lit(None).cast(x.schema["l"].dataType))
-    x = x.where("is_grid = 1")
-    on = F.col("l.us") == F.col("us")
+    own = F.struct("us", "value")
+    # only the rows are ordered; each then makes the grid points after the row before it and up to its own time, the first row the grid's first
+    x = running(rows.where("us IS NOT NULL").select(*KEYS, "us", "value"), KEYS, "us", [], width, befores={"l": own}, mins={"lo": F.col("us")})
+    x = x.withColumns({"a": F.coalesce(F.expr(f"(l.us - lo) div {step_us} + 1"), F.lit(0).cast("long")), "z": F.expr(f"(us - lo) div {step_us}")}).where("a <= z")
+    # points in runs of bounded length: one array for a long gap would not fit in a row
+    x = x.withColumn("first", F.explode(F.sequence("a", "z", F.lit(GRID_RUN).cast("long"))))
+    x = x.withColumn("k", F.explode(F.sequence("first", F.least("z", F.col("first") + GRID_RUN - 1))))
+    x = x.select(*KEYS, (F.col("lo") + F.col("k") * step_us).alias("us"), "l", own.alias("r"))
+    on = F.col("r.us") == F.col("us")
     share = (F.col("us") - F.col("l.us")) / (F.col("r.us") - F.col("l.us"))
     value = {
-        "interpolate": F.when(on | F.col("r").isNull(), F.col("l.value")).otherwise(F.col("l.value") + (F.col("r.value") - F.col("l.value")) * share),
-        "ffill": F.col("l.value"), "bfill": F.when(on, F.col("l.value")).otherwise(F.col("r.value")), "none": F.when(on, F.col("l.value")),
+        "interpolate": F.when(on, F.col("r.value")).otherwise(F.col("l.value") + (F.col("r.value") - F.col("l.value")) * share),
+        "ffill": F.when(on, F.col("r.value")).otherwise(F.col("l.value")), "bfill": F.col("r.value"), "none": F.when(on, F.col("r.value")),
     }[fill]
     return x.select(*KEYS, "us", value.alias("value"))
 

@@ -14,33 +14,36 @@ DAY_US = 86_400_000_000
 
 
 def running(
-    rows: DataFrame, keys: list[str], at: str, ties: list[str], width: int, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, befores: dict[str, Column] | None = None
+    rows: DataFrame, keys: list[str], at: str, ties: list[str], width: int, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, befores: dict[str, Column] | None = None,
+    mins: dict[str, Column] | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """Rows with columns over all rows of their keys up to their own in order of (at, ties): ``sums`` of values with the row's own,
-    ``lasts`` the last value that is not null, the row's own included, ``befores`` the same without it.
+    ``lasts`` the last value that is not null, the row's own included, ``befores`` the same without it, ``mins`` the smallest with the row's own.
 
     ``at`` is a number, a time (in microseconds) or null; a range is ``width`` of it, so a task orders one range of a series, and one row a range is scanned by
     series. All rows with one ``at`` are in one range. Nulls come first, as keys they are keys, a sum of no values is 0, rows that tie in everything
-    come in any order, and an empty table stays empty.
+    come in any order, and an empty table stays empty. The ranges are dealt to ``tasks`` tasks, by default as many as the session's shuffles have.
     """
-    sums, lasts, befores = sums or {}, lasts or {}, befores or {}
-    values = {f"_v{k}": c for k, c in enumerate([*sums.values(), *lasts.values(), *befores.values()])}
-    names = dict(zip([*sums, *lasts, *befores], values))
+    sums, lasts, befores, mins = sums or {}, lasts or {}, befores or {}, mins or {}
+    values = {f"_v{k}": c for k, c in enumerate([*sums.values(), *lasts.values(), *befores.values(), *mins.values()])}
+    names = dict(zip([*sums, *lasts, *befores, *mins], values))
     part, order = [*keys, "_range"], [at, *ties]
     place = F.unix_micros(F.col(at).cast("timestamp")) if rows.schema[at].dataType.typeName().startswith("timestamp") else F.col(at)
     x = rows.withColumns({"_range": F.floor(place / width), **values})
 
     def total(n: str, w=None) -> Column:
-        c = F.sum(names[n]) if n in sums else F.last(names[n], ignorenulls=True)
+        c = F.sum(names[n]) if n in sums else F.min(names[n]) if n in mins else F.last(names[n], ignorenulls=True)
         return c.over(w) if w is not None else c
 
     def summary(n: str) -> Column:
         c = names[n]
-        return (F.sum(c) if n in sums else F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))).alias(c)
+        return (F.sum(c) if n in sums else F.min(c) if n in mins else F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))).alias(c)
 
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = x.groupBy(*part).agg(*[summary(n) for n in names]).select(*part, F.lit(0).alias("_own"), *[total(n, before).alias(names[n]) for n in names])
     both = x.withColumn("_own", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    if tasks:
+        both = both.repartition(tasks, *part)
     inside = Window.partitionBy(*part).orderBy("_own", *order)
     upto, past = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
     out = both.withColumns({f"_o{c}": F.coalesce(total(n, upto), F.lit(0)) if n in sums else total(n, past if n in befores else upto) for n, c in names.items()})

@@ -149,6 +149,20 @@ def test_resample_of_a_long_series(spark):
     assert tuple(got) == (199_999, 99_999 * 199_999 / 2, 99_999)
 
 
+def test_resample_orders_rows_only(spark):
+    at = [0, 3, 3 + 2 * events.GRID_RUN * 5, 7 + 2 * events.GRID_RUN * 5]
+    rows = spark.createDataFrame([(1, "a", t, k, float(k)) for k, t in enumerate(at)] + [(2, "b", None, 9, 1.0), (None, "c", 4, 8, 7.0)], SCHEMA)
+    out = events.resample(rows, 5, width=1000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Generate" not in plan[plan.index("Exchange") :]  # the grid is made after all ordering
+    got = {(r["session"], r["us"]): r["value"] for r in out.collect()}
+    x = np.arange(0, at[-1] + 1, 5)
+    assert got.keys() == {(1, int(t)) for t in x} | {(None, 4)} and got[None, 4] == 7.0
+    assert np.allclose([got[1, int(t)] for t in x], np.interp(x, at, range(4)))
+    held = {r["us"]: r["value"] for r in events.resample(rows.where("session = 1"), 5, "ffill", 1000).collect()}
+    assert held == {int(t): float(np.searchsorted(at, t, "right") - 1) for t in x}
+
+
 def test_units_of_standard_and_dual_channel_signals(spark):
     names = ["RPM", "SPEED", "Speed", "COOLANT_TEMP", "A_KL_COOLANT_TEMP", "A_YAM_INJ_US", "RUN_TIME", "O2_B1S2", "B_WHEEL", "", None]
     inventory = spark.createDataFrame([(1, n) for n in [*names, "RPM"]], "session long, signal string")
