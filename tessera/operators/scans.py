@@ -7,10 +7,16 @@ with goes into it as one more row, so a window within the range continues from t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
+ROWS_A_TASK = 1_000_000
+
+
+def tasks_for(spark: SparkSession, n_rows: int) -> int:
+    """Tasks of at most about ``ROWS_A_TASK`` rows, as many as the session's shuffles have at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_A_TASK))
 
 
 def running(
@@ -50,20 +56,20 @@ def running(
     return out.where("_own = 1").select(*[c for c in rows.columns if c not in names], *[F.col(f"_o{c}").alias(n) for n, c in names.items()])
 
 
-def deepest_span(points: DataFrame, spans: DataFrame, keys: list[str], width: int) -> DataFrame:
+def deepest_span(points: DataFrame, spans: DataFrame, keys: list[str], width: int, tasks: int | None = None) -> DataFrame:
     """points(keys, at, ...) with the ``span_id`` of the deepest of nested half-open spans(keys, start, end, span_id) around each, null if
     none; of equal spans the one with the greater id.
 
     Spans of one key nest or are apart, so the spans open at a point are as many as its depth, and the deepest is the last one
     that opened at that depth: a running sum gives the depth, a last value by depth the span. Nothing is compared in pairs. Spans without
-    extent hold no point; repeated points stay, a point or span without a place meets none.
+    extent hold no point; repeated points stay, a point or span without a place meets none. ``tasks`` is that of ``running``.
     """
     real = spans.where("start < end")
     # at one place: ends, then starts from the longest on, then points
     edge = lambda c, side, d: F.struct(F.col(c).alias("at"), F.lit(side).alias("_side"), F.lit(d).alias("_d"), (F.col("end") * -side).alias("_far"))
     edges = real.select(*keys, F.col("span_id").alias("_span"), F.explode(F.array(edge("end", 0, -1), edge("start", 1, 1))).alias("_e")).select(*keys, "_e.*", "_span")
     both = points.withColumns({"_side": F.lit(2), "_d": F.lit(0)}).unionByName(edges, allowMissingColumns=True)
-    x = running(both, keys, "at", ["_side", "_far", "_span"], width, sums={"_depth": F.col("_d")}).where("_side > 0")
+    x = running(both, keys, "at", ["_side", "_far", "_span"], width, sums={"_depth": F.col("_d")}, tasks=tasks).where("_side > 0")
     opened = F.when(F.col("_side") == 1, F.col("_span"))
-    x = running(x, [*keys, "_depth"], "at", ["_side", "_far", "_span"], width, lasts={"span_id": opened}).where("_side = 2")
+    x = running(x, [*keys, "_depth"], "at", ["_side", "_far", "_span"], width, lasts={"span_id": opened}, tasks=tasks).where("_side = 2")
     return x.withColumn("span_id", F.when(F.col("_depth") > 0, F.col("span_id"))).select(*points.columns, "span_id")

@@ -26,11 +26,14 @@ p AS (SELECT l_suppkey % 5 AS k, l_orderkey AS "at", count(*) AS n FROM lineitem
 SELECT p.k, p."at", max(n) AS n, arg_min(lo, hi - lo) AS lo, min(hi - lo) AS size FROM p LEFT JOIN s ON p.k = s.k AND p."at" >= lo AND p."at" < hi GROUP BY 1, 2""")
 def deepest_spans(spark, sf_dir):
     """The deepest of nested ranges of orders around each order's lines."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.expr("shiftleft(1, cast(2 * (o_custkey % 6) AS int))").cast("long").alias("w"))
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    tasks = scans.tasks_for(spark, 2 * orders.count() + lines.count())
+    o = orders.select((F.col("o_custkey") % 5).alias("k"), "o_orderkey", F.expr("shiftleft(1, cast(2 * (o_custkey % 6) AS int))").cast("long").alias("w"))
     start = F.floor(F.col("o_orderkey") / F.col("w")) * F.col("w")
-    spans = o.select((F.col("o_custkey") % 5).alias("k"), start.alias("start"), (start + F.col("w")).alias("end")).distinct().withColumn("span_id", F.struct("start", "end"))
-    points = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("k"), F.col("l_orderkey").alias("at")).agg(F.count("*").alias("n"))
-    return scans.deepest_span(points, spans, ["k"], 4096).select("k", "at", "n", F.col("span_id.start").alias("lo"), (F.col("span_id.end") - F.col("span_id.start")).alias("size"))
+    spans = o.select("k", start.alias("start"), (start + F.col("w")).alias("end")).repartition(tasks, "k", "start", "end").distinct().withColumn("span_id", F.struct("start", "end"))
+    points = lines.select((F.col("l_suppkey") % 5).alias("k"), F.col("l_orderkey").alias("at")).repartition(tasks, "k", "at").groupBy("k", "at").agg(F.count("*").alias("n"))
+    found = scans.deepest_span(points, spans, ["k"], 4096, tasks)
+    return found.select("k", "at", "n", F.col("span_id.start").alias("lo"), (F.col("span_id.end") - F.col("span_id.start")).alias("size"))
 
 
 WORDS = trees.Vocabulary(

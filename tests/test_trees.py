@@ -1,6 +1,7 @@
 """Running values over ranges, nested spans, trees and cards, against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -226,6 +227,22 @@ def test_a_three_level_tree(spark):
     assert trees.nested_tree(df.limit(0), WORDS).count() == 0
 
 
+def test_tasks_of_nested_spans_follow_the_rows(spark, monkeypatch):
+    few = sorted(map(tuple, QUERIES["deepest_spans"](spark, SF).collect()), key=str)
+    monkeypatch.setattr(scans, "ROWS_A_TASK", 500)
+    out = QUERIES["deepest_spans"](spark, SF)
+    dealt = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\), REPARTITION", out._jdf.queryExecution().executedPlan().toString())
+    assert dealt and min(map(int, dealt)) >= 18  # some 9,000 rows; the session's shuffles have 4
+    assert sorted(map(tuple, out.collect()), key=str) == few
+
+
+def test_running_minimum(spark):
+    rows = [(k % 2, (7 * k) % 40, k, None if k % 3 else (11 * k) % 29) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, at int, tie int, v int")
+    plain = df.withColumn("m", F.min("v").over(Window.partitionBy("k").orderBy("at", "tie").rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(map(str, scans.running(df, ["k"], "at", ["tie"], 7, mins={"m": F.col("v")}, tasks=3).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_cards_point_to_the_deepest_node(spark, built):
     items, tree = built
     nodes = tree.collect()
