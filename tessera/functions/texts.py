@@ -15,6 +15,8 @@ UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{
 
 
 def _folded(texts: pd.Series) -> pd.Series:
+    if texts.isna().all():  # a batch of plain ASCII
+        return texts
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 

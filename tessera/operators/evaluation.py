@@ -26,44 +26,61 @@ def _named(slugs: DataFrame) -> DataFrame:
     return slugs.where("slug <> ''").select("entry", "slug").distinct().withColumn("key", X.normal_slug(F.col("slug")))
 
 
-def quoted(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entry, slug) of quotes(entry, slug, quote) found in the entry's texts(entry, text), spacing and case aside."""
+def _found(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     plain = lambda c: F.lower(X.single_spaced(F.col(c)))
     q = quotes.select("entry", "slug", plain("quote").alias("q")).where("q <> ''")
-    return q.join(texts.select("entry", plain("text").alias("t")), "entry").where(F.contains("t", F.col("q"))).select("entry", "slug").distinct()
+    return q.join(texts.select("entry", plain("text").alias("t")), "entry").where(F.contains("t", F.col("q"))).select("entry", "slug")
+
+
+def quoted(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entry, slug) of quotes(entry, slug, quote) found in the entry's texts(entry, text), spacing and case aside."""
+    return _found(quotes, texts).distinct()
 
 
 def covered(expected: DataFrame, surfaced: DataFrame, quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """The expected (entry, slug) that surfaced, in other spelling too, or of which a quote is in the text."""
-    e = _named(expected)
-    by_slug = e.join(_named(surfaced).select("entry", "key"), ["entry", "key"], "left_semi")
-    found = quoted(quotes, texts).select("entry", X.normal_slug(F.col("slug")).alias("key"))
-    return by_slug.unionByName(e.join(found, ["entry", "key"], "left_semi")).select("entry", "slug").distinct()
+    there = surfaced.where("slug <> ''").select("entry", "slug").unionByName(_found(quotes, texts))
+    return _named(expected).join(there.select("entry", X.normal_slug(F.col("slug")).alias("key")), ["entry", "key"], "left_semi").select("entry", "slug")
+
+
+def _marked(entries: DataFrame, **slugs: DataFrame) -> DataFrame:
+    """(entry, slug, a column for each of ``slugs``): whether it has the slug, 1 or 0. Every entry has a row with a null slug besides, and
+    ``listed``: slugs of other entries have it 0. One frame under several names is read once."""
+    marks = ["listed", *slugs]
+    frames: list = [(entries.select("entry", F.lit(None).cast("string").alias("slug")), {"listed"})]
+    for name, df in slugs.items():
+        same = next((own for other, own in frames if other is df), None)
+        if same is None:
+            frames.append((df, {name}))
+        else:
+            same.add(name)
+    parts = [df.where("slug <> '' AND entry IS NOT NULL" if k else "true").select("entry", "slug", *[F.lit(int(m in own)).alias(m) for m in marks]) for k, (df, own) in enumerate(frames)]
+    x = parts[0]
+    for part in parts[1:]:
+        x = x.unionByName(part)
+    return x.groupBy("entry", "slug").agg(*[F.max(m).alias(m) for m in marks])
 
 
 def section_metrics(entries: DataFrame, expected: DataFrame, covered_: DataFrame, claims: DataFrame, covered_claims: DataFrame) -> DataFrame:
     """(entry, section_recall, claim_precision): the share of expected slugs that are covered, and of claimed ones that
     are expected or covered by a quote only, at most all. Null without expected slugs; precision is 1 without claims."""
-    e, c = _named(expected), _named(claims)
-    n = lambda df, name: df.groupBy("entry").agg(F.count("*").alias(name))
-    hits = _named(covered_).join(e, ["entry", "slug"], "left_semi")
-    matched = c.join(e.select("entry", "key").distinct(), ["entry", "key"], "left_semi")
-    quote_only = _named(covered_claims).join(matched.select("entry", "key").distinct(), ["entry", "key"], "left_anti")
-    x = entries.select("entry").distinct()
-    for df, name in ((e, "n_expected"), (hits, "n_hits"), (c, "n_claims"), (matched, "n_matched"), (quote_only, "n_quoted")):
-        x = x.join(n(df, name), "entry", "left")
-    x = x.na.fill(0)
-    correct = F.least("n_claims", F.col("n_matched") + F.col("n_quoted"))
-    precision = F.when(F.col("n_claims") == 0, 1.0).otherwise(correct / F.nullif("n_claims", F.lit(0)))
+    x = _marked(entries, expected=expected, hit=covered_, claim=claims, quote=covered_claims)
+    total = lambda c, name: F.sum(c).alias(name)
+    # sums by key, then by entry: a claim counts where its key is expected, a quote where no claim does
+    counts = [total("listed", "listed"), total("expected", "n_expected"), total(F.col("hit") * F.col("expected"), "n_hits"), total("claim", "n_claims"), total("quote", "n_quoted")]
+    x = x.withColumn("key", X.normal_slug(F.col("slug"))).groupBy("entry", "key").agg(*counts)
+    matched, both = F.when(F.col("n_expected") > 0, F.col("n_claims")).otherwise(0), (F.col("n_expected") > 0) & (F.col("n_claims") > 0)
+    sums = [total(c, c) for c in ("listed", "n_expected", "n_hits", "n_claims")]
+    x = x.groupBy("entry").agg(*sums, total(matched + F.when(both, 0).otherwise(F.col("n_quoted")), "n_correct")).where("listed > 0")
+    precision = F.when(F.col("n_claims") == 0, 1.0).otherwise(F.least("n_claims", "n_correct") / F.nullif("n_claims", F.lit(0)))
     return x.select("entry", F.when(F.col("n_expected") > 0, F.col("n_hits") / F.col("n_expected")).alias("section_recall"), F.when(F.col("n_expected") > 0, precision).alias("claim_precision"))
 
 
 def exploration_cost(entries: DataFrame, reads: DataFrame, claims: DataFrame) -> DataFrame:
     """(entry, exploration_cost): the share of slugs read that are not claimed; 0 without any read."""
-    r = reads.where("slug <> ''").select("entry", "slug").distinct()
-    used = claims.select("entry", "slug").distinct().withColumn("used", F.lit(1))
-    x = r.join(used, ["entry", "slug"], "left").groupBy("entry").agg((1 - F.count("used") / F.count("*")).alias("exploration_cost"))
-    return entries.select("entry").distinct().join(x, "entry", "left").na.fill({"exploration_cost": 0.0})
+    x = _marked(entries, read=reads, used=claims)
+    x = x.groupBy("entry").agg(F.sum("listed").alias("listed"), F.sum("read").alias("n"), F.sum(F.col("read") * F.col("used")).alias("used")).where("listed > 0")
+    return x.select("entry", F.coalesce(1 - F.col("used") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("exploration_cost"))
 
 
 def citation_quality(n_expected: Column, n_claims: Column, matched: Column) -> Column:

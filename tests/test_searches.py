@@ -1,6 +1,8 @@
 """Percentiles, the keyword index, many patterns and slugs by blocks against plain forms."""
 
 import random
+import re
+import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -158,3 +160,26 @@ def test_lanes_put_signal_metrics_in_the_common_columns(spark):
     assert (a["section_recall"], a["value_accuracy"], a["exploration_cost"], a["trajectory_efficiency"], a["claim_precision"]) == (0.2, 0.3, 0.0, 1.0, None)
     assert b.asDict() | {"question_type": 0} == c.asDict() | {"question_type": 0}
     assert (b["section_recall"], b["value_accuracy"], b["exploration_cost"]) == (0.1, 1.0, None)
+
+
+def test_section_metrics_by_hand_and_without_joins(spark):
+    r = random.Random(11)
+    spell = lambda: r.choice(["A-1", "a_1", "b 2", "B2", "c", "ｃ", "d-4", "", "--", None])
+    frames = {n: [(r.choice([1, 2, 3, 4, 9, None]), spell()) for _ in range(30)] for n in ("expected", "covered", "claims", "quoted", "read")}
+    ids = [1, 2, 2, 3, 4, 5]
+    df = {n: spark.createDataFrame(x, "entry int, slug string") for n, x in frames.items()}
+    entries = spark.createDataFrame([(k,) for k in ids], "entry int")
+    key = lambda t: re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", t).casefold())
+    want, cost = {}, {}
+    for k in set(ids):
+        e, h, c, q, d = ({s for n, s in x if n == k and s} for x in frames.values())
+        known, matched = {key(s) for s in e}, [s for s in c if key(s) in {key(t) for t in e}]
+        only = [s for s in q if key(s) not in {key(t) for t in matched}]
+        want[k] = (len(h & e) / len(e), min(len(c), len(matched) + len(only)) / len(c) if c else 1.0) if known or e else (None, None)
+        cost[k] = 1 - len(d & c) / len(d) if d else 0.0
+    out = evaluation.section_metrics(entries, df["expected"], df["covered"], df["claims"], df["quoted"])
+    costs = evaluation.exploration_cost(entries, df["read"], df["claims"])
+    assert {r["entry"]: (r["section_recall"], r["claim_precision"]) for r in out.collect()} == want
+    assert {r["entry"]: r["exploration_cost"] for r in costs.collect()} == cost
+    for x in (out, costs):  # each join of slugs would order them once more
+        assert "Join" not in x._jdf.queryExecution().executedPlan().toString()
