@@ -1,5 +1,7 @@
 """Chunking, ids, trees and filters on small known cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +181,21 @@ def test_unique_ids_equal_a_search_of_all_suffixes(spark):
         used[m].add(free)
         want.append((m, k, free))
     assert got == want
+
+
+def test_sections_are_cut_once_and_dealt_without_joins(spark):
+    lines = ["intro STF 900", "# One", "Aa bb. " * 9, "text P0301", "## 3. step", "# Two", "", "### Three", "nmax 155 end"]
+    df = spark.createDataFrame([(k, n + 1, line) for k in (1, 2) for n, line in enumerate(lines[k - 1 :])], "id long, line_no int, line string")
+    parsed = manuals.parse_sections(df)
+    got = [(r["nth"], r["title"], r["level"], r["body"], r["vehicle_model"], r["codes"]) for r in parsed.where("id = 1").orderBy("nth").collect()]
+    assert got[:2] == [(0, "Introduction", 0, "intro STF 900", "STF-900", []), (1, "One", 1, ("Aa bb. " * 9) + "\ntext P0301\n## 3. step", "STF-900", ["P0301"])]
+    assert [g[:2] for g in got[2:]] == [(2, "Two"), (3, "Three")] and [g[4] for g in got[2:]] == ["STF-900", "NMAX-155"]
+    assert {r["vehicle_model"] for r in parsed.where("id = 2").collect()} == {"NMAX-155"}
+    chunks = chunking.chunk_sections(parsed, 30, 5)
+    for k in (1, 2):
+        rows = chunks.where(F.col("id") == k).orderBy("chunk_index").collect()
+        bodies = {r["nth"]: r["body"] for r in parsed.where(F.col("id") == k).collect()}
+        assert [(r["section"], r["text"]) for r in rows] == [(n, t) for n in sorted(bodies) for t in chunking.Chunker(30, 5).chunks(bodies[n])]
+        assert [r["chunk_index"] for r in rows] == list(range(len(rows)))
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("MapInArrow|ArrowEvalPython", plan)) == 1 and plan.count("Join") == 1  # with the documents' models
