@@ -159,6 +159,7 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = TREE_ROWS, seed: int =
                 continue
             j = draw.choice(wide)
             cut = draw.uniform(low[j], high[j])
+            cut = cut if cut > low[j] else high[j]  # of close values the draw may be the lower one, which would leave no row below
             below = x[rows, j] < cut
             nodes[at] = (j, cut, len(nodes), len(nodes) + 1, 0.0)
             stack += [(len(nodes), rows[below], depth + 1), (len(nodes) + 1, rows[~below], depth + 1)]

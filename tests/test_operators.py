@@ -117,6 +117,11 @@ def test_change_points_fill_missing_values(spark):
     assert got == [(k, pytest.approx(s)) for k, s in whole_search(filled)] and len(got) == 1
 
 
+def test_isolation_trees_split_the_closest_values():
+    x = np.array([[1.0, 0.0], [np.nextafter(1.0, 2.0), 0.0]] * 40)
+    assert len(detectors.grow(x)) == detectors.TREES and np.isfinite(detectors.isolation_scores(x)).all()
+
+
 def test_isolation_forest_runs(spark):
     draw = np.random.default_rng(5)
     rows = [(1, t, *map(float, draw.normal(0, 1, 3)), 5.0) for t in range(200)] + [(2, t, 1.0, 2.0, 3.0, 5.0) for t in range(50)] + [(3, t, *map(float, draw.normal(0, 1, 3)), 5.0) for t in range(20)]
