@@ -191,6 +191,21 @@ def test_means_of_flat_summaries_are_added_up_in_order_of_time(spark, tmp_path):
     assert "mean=1.00" in QUERIES["flat_summaries"](spark, str(tmp_path)).first()["pids"]
 
 
+def test_flat_summaries_add_repeated_rows_and_times_as_the_sql_does(spark, tmp_path):
+    import duckdb
+    from tessera.queries import ORACLE_SQL, QUERIES
+
+    # user 1: ids against time, a sum of 4 by id and of 5 by time; user 2: one time, so that ids decide; user 3: one row three times
+    sums = [5.0, 1e16, -1e16]
+    rows = [(k, 9 - k, 1, "view", v) for k, v in enumerate(sums)] + [(k + 10, 5, 2, "view", v) for k, v in enumerate(sums)] + [(20, 7, 3, "view", 6.0)] * 3
+    events = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double").coalesce(1)
+    events.selectExpr("event_id", "cast(timestamp_seconds(t) AS timestamp_ntz) AS ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect(config={"threads": 1})
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["flat_summaries"](spark, str(tmp_path)).collect())
+    assert got == sorted(duck.execute(ORACLE_SQL["flat_summaries"]).fetchall()) and "mean=6.00" in got[2][3]
+
+
 def test_texts_share_files_and_come_back_by_path(spark, tmp_path, monkeypatch):
     import os
 
