@@ -225,18 +225,23 @@ def hex64(col) -> "F.Column":
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, found: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, all columns kept.
-
-    Components are those of ``near_duplicates`` unless ``found`` gives others.
-
-    Repeated rows of one id stay once, the one with the smallest hash of its text.
-    Rows with a null id can't be told apart from one another and all stay.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, grouped=None) -> DataFrame:
+    """One row of ``docs`` for each component of its texts, the one with the smallest id, all columns kept.
+
+    ``grouped`` gives the component_id of each row of a (doc_id, text) table, by
+    default that of ``near_duplicates`` with shingles of ``width`` words. It gets the
+    texts' hashes as ids, so rows without an id and rows that share one are placed by
+    their texts. A null id comes after all others; rows of one id in one component
+    stay once, the one with the smallest hash of its text.
     """
-    found = near_duplicates(docs, id_col, text_col, width) if found is None else found
-    lead = found.select(F.col("component_id").alias("lead")).where("lead IS NOT NULL").distinct()
-    whole = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = whole.join(lead, F.col("id") == F.col("lead"), "left_semi")
-    order = Window.partitionBy("id").orderBy(F.xxhash64(f"row.`{text_col}`"), f"row.`{text_col}`")
-    first = kept.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    of, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+    found = grouped(texts) if grouped else near_duplicates(texts, width=width)
+    placed = found.select(F.col("doc_id").alias("text_hash"), "component_id").distinct()
+    key = ["none", "id", "text_hash"]
+    rows = docs.select(of.isNull().alias("none"), F.coalesce(of, F.lit(0)).alias("id"), F.xxhash64(text).alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # the first row of each text and then of each component, so that a text with very many copies is no task's list
+    first = rows.groupBy("text_hash").agg(F.min(F.struct("none", "id")).alias("at")).join(placed, "text_hash")
+    leads = first.groupBy("component_id").agg(F.min(F.struct("at.none", "at.id", "text_hash")).alias("lead")).select("lead.*")
+    order = Window.partitionBy(key).orderBy(f"row.`{text_col}`")
+    return rows.join(leads, key, "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
