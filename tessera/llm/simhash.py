@@ -243,5 +243,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the first row of each text and then of each component, so that a text with very many copies is no task's list
     first = rows.groupBy("text_hash").agg(F.min(F.struct("none", "id")).alias("at")).join(placed, "text_hash")
     leads = first.groupBy("component_id").agg(F.min(F.struct("at.none", "at.id", "text_hash")).alias("lead")).select("lead.*")
+    # one row a key before any is sent, so that a repeated row is no task's list either
     order = Window.partitionBy(key).orderBy(f"row.`{text_col}`")
-    return rows.join(leads, key, "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
+    return rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").join(leads, key, "left_semi").select("row.*")
